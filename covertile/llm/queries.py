@@ -56,6 +56,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    done = remove_repeats(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_pieces(spark, sf_dir: str) -> DataFrame:
     from .sentence_pieces import encode
 
@@ -89,5 +96,5 @@ SELECT p.page_id, host, path, m.rule, coalesce(m.v, 'allow') AS verdict FROM p L
 """
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_media": op2_media, "op3_topk": op3_topk, "op7_pieces": op7_pieces, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_packing": op1_packing, "op2_media": op2_media, "op3_topk": op3_topk, "op4_suffix_dedup": op4_suffix_dedup, "op7_pieces": op7_pieces, "op8_url_filter": op8_url_filter}
 ORACLE_SQL = {"op3_topk": OP3_SQL, "op8_url_filter": OP8_SQL}
