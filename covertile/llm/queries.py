@@ -63,6 +63,26 @@ def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_minhash(spark, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import link_classes
+
+    return link_classes(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(x) < 2 THEN x ELSE list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+      AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS v, a AS t FROM both_ways UNION SELECT r.v, b.b FROM r JOIN both_ways b ON r.t = b.a),
+c AS (SELECT v, min(t) AS m FROM r GROUP BY v)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON v = doc_id
+"""
+
+
 def op7_pieces(spark, sf_dir: str) -> DataFrame:
     from .sentence_pieces import encode
 
@@ -96,5 +116,46 @@ SELECT p.page_id, host, path, m.rule, coalesce(m.v, 'allow') AS verdict FROM p L
 """
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_media": op2_media, "op3_topk": op3_topk, "op4_suffix_dedup": op4_suffix_dedup, "op7_pieces": op7_pieces, "op8_url_filter": op8_url_filter}
-ORACLE_SQL = {"op3_topk": OP3_SQL, "op8_url_filter": OP8_SQL}
+def op6_quality(spark, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scored = score(docs, fit(docs, labels.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op9_licenses(spark, sf_dir: str) -> DataFrame:
+    from .licenses import by_document
+
+    return by_document(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_sql() -> str:
+    from .licenses import duckdb_sql
+
+    return duckdb_sql()
+
+
+def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = score(docs, fit(docs, labels.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_media": op2_media,
+    "op3_topk": op3_topk,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_minhash": op5_minhash,
+    "op6_quality": op6_quality,
+    "op7_pieces": op7_pieces,
+    "op8_url_filter": op8_url_filter,
+    "op9_licenses": op9_licenses,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licenses": op9_sql()}

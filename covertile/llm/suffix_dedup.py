@@ -355,7 +355,7 @@ def expand_buckets(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 # ---- the operator ---------------------------------------------------------------------------
-def cut_spans(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+def cut_spans(texts: DataFrame, spans: DataFrame, key: str, as_text: bool) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         ids, begin, end, data = _texts(table)
         got = [load(b.as_py()) for kind, b in zip(table.column("kind").to_pylist(), table.column("block"), strict=True) if kind == "span"]
@@ -373,16 +373,19 @@ def cut_spans(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
                 for x, y in cuts.tolist():
                     keep[x:y] = False
                 text = text[keep]
-            kept.append(text.tobytes())
+            kept.append(text.tobytes().decode("utf-8", "ignore") if as_text else text.tobytes())
             rows.append([{"start": x, "end": y} for x, y in cuts.tolist()])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([pa.array(ids), pa.array(end - begin, pa.int64()), pa.array(rows, kind), pa.array(kept, pa.binary())], names=[key, "n_bytes", "spans", "kept"])
+        return pa.table([pa.array(ids), pa.array(end - begin, pa.int64()), pa.array(rows, kind), pa.array(kept, pa.string() if as_text else pa.binary())], names=[key, "n_bytes", "spans", "kept"])
 
-    return texts.unionByName(spans).groupBy("bucket").applyInArrow(work, f"`{key}` long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return texts.unionByName(spans).groupBy("bucket").applyInArrow(work, f"`{key}` long, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, bucket_bytes: int = 8_000_000, hot: int = 20_000) -> DataFrame:
-    """``key, n_bytes, spans, kept binary``: the bytes of every text that no smaller document repeats, and what went."""
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, bucket_bytes: int = 8_000_000, hot: int = 20_000, as_text: bool = False) -> DataFrame:
+    """``key, n_bytes, spans, kept``: the bytes of every text that no smaller document repeats, and what went.
+
+    ``kept`` is binary, as a cut may part a character; ``as_text`` makes it a string without such parts.
+    """
     if not 4 <= k <= length:
         raise ValueError("k must be between 4 and the length")
     df = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
@@ -391,4 +394,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     resolved = staged(resolve_contexts(find_contexts(df, key, text, buckets, length, k), buckets, hot), "spans")
     texts = pack_texts(df, key, text, buckets)
     more = expand_buckets(fetch_contexts(texts, resolved.where("kind = 'ask'"), buckets, length, k), buckets, length)
-    return cut_spans(texts, resolved.where("kind = 'span'").unionByName(more), key)
+    return cut_spans(texts, resolved.where("kind = 'span'").unionByName(more), key, as_text)
+
+
+def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """All columns of ``df`` with the text that is left; bytes of characters cut in two are dropped."""
+    done = remove_repeats(df, key, text, as_text=True, **how).select(key, F.col("kept").alias("_kept"))
+    return df.drop(text).join(done, key).withColumnRenamed("_kept", text).select(df.columns)
