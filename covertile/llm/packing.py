@@ -310,7 +310,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, rows_per_bucket: int = 200_000) -> DataFrame:
+def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, rows_per_bucket: int = 5_000) -> DataFrame:
     """Adds ``sequence_id, offset, padded_length`` to pieces (``key, start, length``, further columns stay).
 
     Ranks are made per length and hash bucket, the number of buckets follows the number of pieces,
