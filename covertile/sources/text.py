@@ -38,11 +38,12 @@ def cram_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Lines without exactly six integers are an error; unmapped slices are skipped; a negative span ends
     its file.  Order is the line's place in its file, which gzip keeps in one task.
     """
-    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("ord"), F.split("value", "\t").alias("p"))
-    wrong = F.raise_error(F.concat(F.lit("expected six integers in "), F.col("path"))).cast("bigint")
-    number = lambda i: F.when((F.size("p") == 6) & F.col("p")[i].try_cast("bigint").isNotNull(), F.col("p")[i].try_cast("bigint")).otherwise(wrong)
     names = ["ref_id", "start", "span", "container", "slice", "bytes"]
-    rows = lines.select("path", "ord", *(number(i).alias(n) for i, n in enumerate(names)))
+    numbers = F.transform(F.split("value", "\t"), lambda x: x.try_cast("bigint"))
+    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("ord"), numbers.alias("v"))
+    wrong = F.raise_error(F.concat(F.lit("expected six integers in "), F.col("path"))).cast("array<bigint>")
+    lines = lines.withColumn("v", F.when((F.size("v") == len(names)) & ~F.exists("v", lambda x: x.isNull()), F.col("v")).otherwise(wrong))
+    rows = lines.select("path", "ord", *(F.col("v")[i].alias(n) for i, n in enumerate(names)))
     ended = F.max(F.when(F.col("span") < 0, 1).otherwise(0)).over(Window.partitionBy("path").orderBy("ord"))
     return rows.withColumn("_ended", ended).where("_ended = 0 AND ref_id <> -1").select(short_name(F.col("path")).alias("sample"), "ref_id", "ord", *names[1:])
 
