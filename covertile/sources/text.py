@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,23 @@ def cram_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``sample, ref_id, ord, start, span, container, slice, bytes`` of gzip-compressed CRAM indexes.
 
     Lines without exactly six integers are an error; unmapped slices are skipped; a negative span ends
-    its file.  Order is the line's place in its file, which gzip keeps in one task.
+    its file.  Order is the line's place in its file; an index has some thousand lines per contig.
     """
     names = ["ref_id", "start", "span", "container", "slice", "bytes"]
     numbers = F.transform(F.split("value", "\t"), lambda x: x.try_cast("bigint"))
-    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("ord"), numbers.alias("v"))
+
+    def work(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                data = bytes(content)
+                kept = [x for x in (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode().split("\n") if x]
+                yield pd.DataFrame({"path": path, "ord": range(len(kept)), "value": kept})
+
+    # the files' names do not end in .gz, so Spark's text reader would not unpack them
+    files = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(work, "path string, ord bigint, value string")
+    lines = files.select("path", "ord", numbers.alias("v"))
     wrong = F.raise_error(F.concat(F.lit("expected six integers in "), F.col("path"))).cast("array<bigint>")
     lines = lines.withColumn("v", F.when((F.size("v") == len(names)) & ~F.exists("v", lambda x: x.isNull()), F.col("v")).otherwise(wrong))
     rows = lines.select("path", "ord", *(F.col("v")[i].alias(n) for i, n in enumerate(names)))
