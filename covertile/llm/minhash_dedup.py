@@ -13,7 +13,7 @@
 4. Components come from repeated contraction of the link table, in Spark.
 
 With 60 bands of 6 rows a pair of similarity 0.8 shares no bucket with a chance of about 1e-8; the
-sketch bound lies more than five standard deviations under the threshold.
+sketch bound lies five standard deviations under the threshold.
 
 Defined results: null and empty texts (and those without words) have no shingles and no link;
 fewer words than a shingle make one shingle of the whole sequence; repeated rows with different
@@ -182,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "id long, label long")
 
 
-def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, slack: float = 0.2) -> DataFrame:
+def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, slack: float = 0.13) -> DataFrame:
     """``key, n_shingles, component_id, kept``: one row per document with its class.
 
     Documents are linked at ``100 * intersection >= percent * union`` of their shingle sets.
@@ -202,7 +202,7 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     labels = sketches.select("id", F.col("id").alias("label"))
     most = most_differing_bits(max(0.0, percent / 100 - slack))
     words = " + ".join(f"bit_count(p.sketch[{i}] ^ q.sketch[{i}])" for i in range(SKETCH_BITS // 64))
-    tested, linked, quota, cap, step = None, None, 1, 256, 0
+    tested, linked, joined, quota, cap, step = None, None, None, 1, 256, 0
     while True:
         known = rows.join(sketches, "id").join(labels, "id")
         if step == 0:
@@ -234,12 +234,17 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
         chosen = nearest.where(F.col("r") <= quota).select("a", "b").distinct()
         seen = staged(confirm(chosen, texts, width, percent), "tested")
         tested = seen if tested is None else staged(tested.unionByName(seen), "tested")
+        quota *= 16
         found = seen.where("linked").select("a", "b")
+        if found.isEmpty():
+            if step > 1 and not full and seen.count() == pairs.count():
+                break  # every pair across components is tested
+            continue
         linked = found if linked is None else staged(linked.unionByName(found), "linked")
         joined = components(linked)
         labels = staged(sketches.select("id").join(joined, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-        quota *= 1 if step == 1 else 4
-    joined = components(linked) if linked is not None else spark.createDataFrame([], "id long, label long")
+    if joined is None:
+        joined = spark.createDataFrame([], "id long, label long")
     classes = firsts.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
     classes = staged(classes, "classes")
     out = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
