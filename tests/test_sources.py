@@ -94,3 +94,19 @@ def test_sinks(spark, tmp_path):
     lines = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).replace("chrom\tstart\tend\tv\n", "")
     assert lines == "c\t0\t5\t2\nc\t5\t9\t1.23\n"
     assert df.select(sinks.fixed(F.col("v"))).first()[0] == "1.23"
+
+
+def test_references(spark, tmp_path):
+    from covertile.sources import references
+
+    (tmp_path / "x.fai").write_text("chr2\t50\t100\t60\t61\nX\t70\t5\t60\t61\n")
+    contigs = references.contigs_of(spark, ["a.cram"], str(tmp_path / "x.fai"))
+    assert references.contig_length(contigs, "X") == 70
+    assert [r["chrom"] for r in references.find_contig(contigs, "chrX").collect()] == ["X"]
+    with pytest.raises(ValueError, match="no contig 2"):
+        references.contig_length(contigs, "2")
+    raw = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c9\0" + struct.pack("<i", 12)
+    (tmp_path / "y.bam").write_bytes(bgzf(raw))
+    assert references.contig_length(references.contigs_of(spark, [str(tmp_path / "y.bam")]), "c9") == 12
+    with pytest.raises(ValueError, match="neither"):
+        references.contigs_of(spark, ["a.cram"])
