@@ -13,7 +13,8 @@ On Spark: lines explode into grams, grams meet the weights in a broadcast join (
 templates, some hundreds of rows whatever the corpus), and only grams that have weights are summed per
 paragraph.  A paragraph without any is ordinary text.
 
-Defined results: null and empty texts have no licence; repeated paragraphs count each; ties between
+Defined results: null and empty texts have no licence; repeated paragraphs count each; rows
+with a null id get no findings; ties between
 families go to the first in alphabetical order.
 """
 

@@ -17,7 +17,8 @@ sketch bound lies five standard deviations under the threshold.
 
 Defined results: null and empty texts (and those without words) have no shingles and no link;
 fewer words than a shingle make one shingle of the whole sequence; repeated rows with different
-ids are one class; ids must be unique 64-bit integers; further columns are not read.
+ids are one class; ids must be unique 64-bit integers; rows with a null id
+join the class of their set but found none, and are kept only where there is none; further columns are not read.
 """
 
 from __future__ import annotations
@@ -190,7 +191,7 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     spark = df.sparkSession
     signed = staged(signatures(df, key, text, width), "signatures")
-    some = signed.where("n > 0")
+    some = signed.where("n > 0 AND id IS NOT NULL")
     firsts = staged(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     own = staged(some.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands", "sketch")).alias("x")).select("x.id", "n", "x.bands", "x.sketch"), "representatives")
     rows = own.select("id", F.explode("bands").alias("bucket"))
@@ -249,4 +250,4 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     classes = staged(classes, "classes")
     out = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     component = F.coalesce("label", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))

@@ -22,7 +22,7 @@ a bucket stays within a task's memory.
 
 Defined results: null and empty texts stay empty; texts under ``length`` bytes stay whole; repeats
 inside one document stay; of equal texts only the smallest id's keeps its bytes; ids must be unique
-64-bit integers (a null id is an error); further columns are not read.
+64-bit integers; rows with a null id neither give nor lose bytes; further columns are not read.
 """
 
 from __future__ import annotations
@@ -388,16 +388,21 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """
     if not 4 <= k <= length:
         raise ValueError("k must be between 4 and the length")
-    df = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    df = df.select(F.col(key).cast("bigint").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+    nameless = df.where(F.col(key).isNull())
+    df = df.where(F.col(key).isNotNull())
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(min(65_536, max(8, total // bucket_bytes)))
     resolved = staged(resolve_contexts(find_contexts(df, key, text, buckets, length, k), buckets, hot), "spans")
     texts = pack_texts(df, key, text, buckets)
     more = expand_buckets(fetch_contexts(texts, resolved.where("kind = 'ask'"), buckets, length, k), buckets, length)
-    return cut_spans(texts, resolved.where("kind = 'span'").unionByName(more), key, as_text)
+    out = cut_spans(texts, resolved.where("kind = 'span'").unionByName(more), key, as_text)
+    untouched = nameless.select(key, F.octet_length(text).cast("bigint").alias("n_bytes"), F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"), F.col(text).cast("string" if as_text else "binary").alias("kept"))
+    return out.unionByName(untouched)
 
 
 def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """All columns of ``df`` with the text that is left; bytes of characters cut in two are dropped."""
     done = remove_repeats(df, key, text, as_text=True, **how).select(key, F.col("kept").alias("_kept"))
-    return df.drop(text).join(done, key).withColumnRenamed("_kept", text).select(df.columns)
+    own = df.where(F.col(key).isNotNull()).drop(text).join(done, key).withColumnRenamed("_kept", text).select(df.columns)
+    return own.unionByName(df.where(F.col(key).isNull()).withColumn(text, F.coalesce(F.col(text), F.lit(""))))

@@ -6,7 +6,7 @@ one list per query; the lists of all tasks are merged as a tree of two levels: p
 ``fan`` branches, then per query.
 
 Components become ``floor(scale * x)`` with x as a double, so scores are exact integers and ties are
-real: they go to the smaller id.  Null vectors, null or non-finite components and vectors of another
+real: they go to the smaller id.  Null ids, null vectors, null or non-finite components and vectors of another
 length than the queries' take no part.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """``key, v array<bigint>`` of the vectors that take part."""
-    whole = f"{vector} IS NOT NULL AND size({vector}) > 0 AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(double(x)) < double('infinity'))"
+    whole = f"{key} IS NOT NULL AND {vector} IS NOT NULL AND size({vector}) > 0 AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(double(x)) < double('infinity'))"
     return df.where(whole).selectExpr(key, f"transform({vector}, x -> floor({scale} * double(x))) AS v")
 
 

@@ -49,6 +49,8 @@ def test_kept_texts_keep_columns(spark):
     out = suffix_dedup.kept_texts(df)
     assert out.columns == df.columns and [r["text"] for r in out.orderBy("doc_id").collect()] == ["é" * 60, "x", ""]
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+    nameless = df.union(spark.createDataFrame([(None, "é" * 60, None, None)], df.schema))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in suffix_dedup.kept_texts(nameless).collect()) == [(0, "é" * 60), (1, "é" * 60), (2, "x"), (3, "")]
 
 
 def test_expansion_finds_exactly_the_common_prefixes():
@@ -120,6 +122,9 @@ def test_classes_equal_brute_force(spark, width):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_dedup.link_classes(df).count() == 0
+    nameless = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (None, "other words"), (None, None)], df.schema)
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.link_classes(nameless).collect()]
+    assert sorted(got, key=repr) == sorted([(7, 7, True), (None, 7, False), (None, None, True), (None, None, True)], key=repr)
 
 
 def test_sketch_estimates_high_similarity():
