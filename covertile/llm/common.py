@@ -37,6 +37,13 @@ def staged(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df, rows: int):
+    """``df``, marked for broadcast if it has at most ``rows`` rows by count; otherwise joins shuffle it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _drop_staged() -> None:
     for spark, path in _STAGED:
         try:

@@ -28,9 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, lowered, mix64, row_chunks, staged, word_spans
+from .common import RangeHash, flat_bytes, lowered, mix64, row_chunks, small, staged, word_spans
 
 BANDS, ROWS, SKETCH_BITS = 60, 6, 512
+#: Tables of ids and labels (16 bytes a row) up to so many rows are broadcast, larger ones shuffled.
+SMALL_ROWS = 500_000
+#: Sketches (100 bytes a row) likewise.
+SMALL_SKETCHES = 100_000
+#: Up to so many pairs are all confirmed at once; of more, each row's nearest first.
+FEW_PAIRS = 200_000
 _C = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -168,18 +174,19 @@ def components(edges: DataFrame) -> DataFrame:
     Each pass hooks every vertex to its smallest neighbour and contracts the links accordingly; the
     vertices left fall at least by half, so the passes grow with the logarithm of the table.
     """
-    links = staged(edges.select("a", "b").where("a <> b").distinct(), "links")
+    links = staged(edges.select("a", "b").where("a <> b"), "links")
     labels = None
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         hook = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "hooks")
+        side = small(hook, SMALL_ROWS)
         if labels is None:
             labels = hook
         else:
-            step = hook.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            step = side.select(F.col("id").alias("label"), F.col("label").alias("next"))
             labels = staged(labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
-        one, two = (hook.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        links = staged(links.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), "links")
+        one, two = (side.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        links = staged(links.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b"), "links")
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "id long, label long")
 
 
@@ -197,56 +204,60 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     rows = own.select("id", F.explode("bands").alias("bucket"))
     shared = staged(rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("bucket", "leader"), "buckets")
     rows = staged(rows.join(shared, "bucket").select("bucket", "id", "leader"), "rows")
-    active = rows.select("id").distinct()
+    active = small(staged(rows.select("id").distinct(), "active"), SMALL_ROWS)
     sketches = staged(own.select("id", "n", "sketch").join(active, "id"), "sketches")
     texts = staged(_compressed(df, key, text).join(active, "id"), "texts")
+    sketched = small(sketches, SMALL_SKETCHES)
     labels = sketches.select("id", F.col("id").alias("label"))
     most = most_differing_bits(max(0.0, percent / 100 - slack))
     words = " + ".join(f"bit_count(p.sketch[{i}] ^ q.sketch[{i}])" for i in range(SKETCH_BITS // 64))
+    row = F.struct("id", "label", "n", "sketch")
     tested, linked, joined, quota, cap, step = None, None, None, 1, 256, 0
     while True:
-        known = rows.join(sketches, "id").join(labels, "id")
+        known = rows.join(sketched, "id").join(small(labels, SMALL_ROWS), "id")
         if step == 0:
-            leads = sketches.join(shared.select("bucket", F.col("leader").alias("id")), "id")
-            leads = leads.join(labels, "id").select("bucket", F.array(F.struct("id", "label", "n", "sketch")).alias("leads"))
-            full = False
+            leads, full = known.where("id = leader").groupBy("bucket").agg(F.collect_list(row).alias("leads")), False  # one row each
         else:
             counts = known.groupBy("bucket", "label").agg(F.count("*").alias("c"))
             largest = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1")
             rest = known.join(largest.select("bucket", F.col("x.label").alias("main")), "bucket").where("label <> main")
             rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
+            rest = staged(rest.where(F.col("r") <= cap + 1).select("bucket", "id", "label", "n", "sketch", "r"), "leaders")
             full = not rest.where(F.col("r") == cap + 1).isEmpty()
-            leads = rest.where(F.col("r") <= cap).groupBy("bucket").agg(F.collect_list(F.struct("id", "label", "n", "sketch")).alias("leads"))
-        met = known.join(leads, "bucket").select(F.struct("id", "label", "n", "sketch").alias("p"), F.explode("leads").alias("q"))
+            leads = rest.where(F.col("r") <= cap).groupBy("bucket").agg(F.collect_list(row).alias("leads"))
+        met = known.join(leads, "bucket").select(row.alias("p"), F.explode("leads").alias("q"))
         met = met.where(f"p.label <> q.label AND 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)").withColumn("far", F.expr(words)).where(F.col("far") <= most)
         pairs = met.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).agg(F.min("far").alias("far"))
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(small(tested.select("a", "b"), SMALL_ROWS), ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
+        left = pairs.count()
         step += 1
-        if pairs.isEmpty():
+        if not left:
             if step > 1 and not full:
                 break
             cap *= 4 if full else 1
             continue
-        # each row's nearest few; a row stands in as many pairs as other rows choose it
-        ends = pairs.select("a", "b", "far", F.explode(F.array("a", "b")).alias("end"))
-        nearest = ends.withColumn("r", F.row_number().over(Window.partitionBy("end").orderBy("far", "a", "b")))
-        chosen = nearest.where(F.col("r") <= quota).select("a", "b").distinct()
+        chosen = pairs
+        if left > FEW_PAIRS:
+            # each row's nearest few; a row stands in as many pairs as other rows choose it
+            ends = pairs.select("a", "b", "far", F.explode(F.array("a", "b")).alias("end"))
+            nearest = ends.withColumn("r", F.row_number().over(Window.partitionBy("end").orderBy("far", "a", "b")))
+            chosen = nearest.where(F.col("r") <= quota).select("a", "b").distinct()
+            quota *= 16
         seen = staged(confirm(chosen, texts, width, percent), "tested")
-        tested = seen if tested is None else staged(tested.unionByName(seen), "tested")
-        quota *= 16
+        tested = seen if tested is None else tested.unionByName(seen)
         found = seen.where("linked").select("a", "b")
         if found.isEmpty():
-            if step > 1 and not full and seen.count() == pairs.count():
+            if step > 1 and not full and seen.count() == left:
                 break  # every pair across components is tested
             continue
-        linked = found if linked is None else staged(linked.unionByName(found), "linked")
+        linked = found if linked is None else linked.unionByName(found)
         joined = components(linked)
-        labels = staged(sketches.select("id").join(joined, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+        labels = staged(sketches.select("id").join(small(joined, SMALL_ROWS), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
     if joined is None:
         joined = spark.createDataFrame([], "id long, label long")
-    classes = firsts.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
+    classes = firsts.join(small(joined, SMALL_ROWS).withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
     classes = staged(classes, "classes")
     out = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     component = F.coalesce("label", "id")
