@@ -332,14 +332,14 @@ def _reads(spark, d) -> DataFrame:
     pos = F.datediff(F.col("l_shipdate").cast("date"), F.expr("DATE'1992-01-01'")).cast("bigint")
     length = 50 + F.col("l_quantity").cast("int")
     flag = F.when(F.col("l_linenumber") == 7, 4).when((F.col("l_orderkey") % 11) == 0, 1024).when((F.col("l_orderkey") % 13) == 0, 512).otherwise(F.when(F.col("l_partkey") % 4 != 0, 2).otherwise(0))
-    order = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber")) - 1
+    order = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")) - 1
     return items.select(
         F.col("l_returnflag").alias("sample"), order.cast("bigint").alias("ord"), flag.alias("flag"), pos.alias("pos"), (pos + F.col("l_suppkey") % 300 - 20).alias("mate_pos"), (pos + length).alias("end"),
         (F.col("l_suppkey") % 300 + length).alias("tlen"), length.alias("read_len"), F.when(F.col("l_partkey") % 9 == 0, 2).otherwise(1).alias("n_cigar"), F.lit("M").alias("cigar_first"),
     )
 
 
-_READS = """WITH reads AS (SELECT l_returnflag AS sample, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS ord,
+_READS = """WITH reads AS (SELECT l_returnflag AS sample, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) - 1 AS ord,
 CASE WHEN l_linenumber = 7 THEN 4 WHEN l_orderkey % 11 = 0 THEN 1024 WHEN l_orderkey % 13 = 0 THEN 512 WHEN l_partkey % 4 <> 0 THEN 2 ELSE 0 END AS flag,
 date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS pos, pos + l_suppkey % 300 - 20 AS mate, pos + 50 + l_quantity::INT AS e, l_suppkey % 300 + 50 + l_quantity::INT AS tlen, 50 + l_quantity::INT AS len, l_partkey % 9 <> 0 AS plain FROM lineitem),
 r AS (SELECT *, flag IN (0, 2) AS good, flag = 2 AND pos < mate AND plain AS ins FROM reads WHERE ord >= 100),
