@@ -359,7 +359,7 @@ sh AS (SELECT sample, count(*) FILTER (flag IN (512, 1024)) / count(*) AS bad, c
 _STATS = ["bad", "duplicate", "proper", "unmapped", "read_mean", "insert_mean", "insert_sd", "template_mean", "template_sd"]
 
 
-@query("read_statistics", _READS + "SELECT sample, " + ", ".join(f"round({c}, 6) AS {c}" for c in _STATS) + ", read_median, read_max, insert_5, insert_95 FROM sh JOIN lm USING (sample) JOIN ip USING (sample) JOIN im USING (sample) JOIN tm USING (sample)")
+@query("read_statistics", _READS + "SELECT sample, " + ", ".join(f"round({c}, 6) AS {c}" for c in _STATS) + ", read_median, read_max, insert_5, insert_95 FROM sh LEFT JOIN lm USING (sample) LEFT JOIN ip USING (sample) LEFT JOIN im USING (sample) LEFT JOIN tm USING (sample)")
 def read_statistics(spark, d):
     return readstats.statistics(_reads(spark, d), 1000, 100).withColumns({c: F.round(c, 6) for c in _STATS})
 
