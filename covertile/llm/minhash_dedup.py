@@ -35,8 +35,8 @@ BANDS, ROWS, SKETCH_BITS = 60, 6, 512
 SMALL_ROWS = 500_000
 #: Sketches (100 bytes a row) likewise.
 SMALL_SKETCHES = 100_000
-#: Up to so many pairs are all confirmed at once; of more, each row's nearest first.
-FEW_PAIRS = 200_000
+#: Up to so many pairs a row on average are all confirmed at once; of more, each row's nearest first.
+FEW_PAIRS = 100
 _C = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -196,7 +196,6 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     Documents are linked at ``100 * intersection >= percent * union`` of their shingle sets.
     ``slack`` is how far under the threshold a sketch may lie and still be confirmed exactly.
     """
-    spark = df.sparkSession
     signed = staged(signatures(df, key, text, width), "signatures")
     some = signed.where("n > 0 AND id IS NOT NULL")
     firsts = staged(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
@@ -208,11 +207,11 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     sketches = staged(own.select("id", "n", "sketch").join(active, "id"), "sketches")
     texts = staged(_compressed(df, key, text).join(active, "id"), "texts")
     sketched = small(sketches, SMALL_SKETCHES)
-    labels = sketches.select("id", F.col("id").alias("label"))
+    labels, few = sketches.select("id", F.col("id").alias("label")), FEW_PAIRS * sketches.count()
     most = most_differing_bits(max(0.0, percent / 100 - slack))
     words = " + ".join(f"bit_count(p.sketch[{i}] ^ q.sketch[{i}])" for i in range(SKETCH_BITS // 64))
     row = F.struct("id", "label", "n", "sketch")
-    tested, linked, joined, quota, cap, step = None, None, None, 1, 256, 0
+    tested, quota, cap, step = None, 1, 256, 0
     while True:
         known = rows.join(sketched, "id").join(small(labels, SMALL_ROWS), "id")
         if step == 0:
@@ -239,7 +238,7 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
             cap *= 4 if full else 1
             continue
         chosen = pairs
-        if left > FEW_PAIRS:
+        if left > few:
             # each row's nearest few; a row stands in as many pairs as other rows choose it
             ends = pairs.select("a", "b", "far", F.explode(F.array("a", "b")).alias("end"))
             nearest = ends.withColumn("r", F.row_number().over(Window.partitionBy("end").orderBy("far", "a", "b")))
@@ -252,12 +251,13 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
             if step > 1 and not full and seen.count() == left:
                 break  # every pair across components is tested
             continue
-        linked = found if linked is None else linked.unionByName(found)
-        joined = components(linked)
-        labels = staged(sketches.select("id").join(small(joined, SMALL_ROWS), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-    if joined is None:
-        joined = spark.createDataFrame([], "id long, label long")
-    classes = firsts.join(small(joined, SMALL_ROWS).withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
+        # links between components; each new round has few of them
+        known_as = small(labels, SMALL_ROWS)
+        one, two = (known_as.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        moved = components(found.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        step_to = small(moved, SMALL_ROWS).select(F.col("id").alias("label"), F.col("label").alias("next"))
+        labels = staged(labels.join(step_to, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+    classes = firsts.join(small(labels, SMALL_ROWS).withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
     classes = staged(classes, "classes")
     out = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     component = F.coalesce("label", "id")
