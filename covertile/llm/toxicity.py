@@ -71,20 +71,22 @@ def grams(flat: np.ndarray, begin: np.ndarray):
 
 
 class Table:
-    """Sums of a value by hash, looked up with whole arrays; 0 where a hash is not known."""
+    """Sums of one or several values by hash, looked up with whole arrays; 0 where a hash is not known."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         by = np.argsort(keys)
         keys, values = keys[by], values[by]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         self.keys = keys[first]
-        self.values = np.add.reduceat(values, first) if len(first) else values
+        self.values = (np.add.reduceat(values, first, axis=0) if len(first) else values).astype(np.float32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(len(keys))
+            return np.zeros((len(keys), *self.values.shape[1:]))
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], 0.0)
+        out = self.values[at].astype(float)
+        out[self.keys[at] != keys] = 0
+        return out
 
 
 class SpellingModels:
@@ -107,34 +109,38 @@ class SpellingModels:
             self.low.append(self._counted(hashed(a - n, a + 1), hashed(a - n, a), np.ones(len(a))))
 
     @staticmethod
-    def _counted(gram: np.ndarray, context: np.ndarray, weight: np.ndarray) -> tuple[Table, tuple[Table, ...]]:
+    def _counted(gram: np.ndarray, context: np.ndarray, weight: np.ndarray) -> tuple[Table, Table]:
         """Counts of n-grams; of contexts, their sums and how many n-grams have 1, 2, and 3 or more."""
         _, one, which = np.unique(gram, return_index=True, return_inverse=True)
         count, context = np.bincount(which, weight, len(one)), context[one]
         kinds = [(count < 2), (count >= 2) & (count < 3), (count >= 3)]
-        return Table(gram[one], count), (Table(context, count), *(Table(context, k.astype(float)) for k in kinds))
+        return Table(gram[one], count), Table(context, np.stack([count, *kinds], 1).astype(float))
 
     @staticmethod
     def _mixed(count, context, lower, discounts):
         """Discounted share of the context, and what the discounts freed dealt by the lower order."""
-        total = context[0]
+        total = context[:, 0]
         known = total > 0
         safe = np.where(known, total, 1)
         less = np.where(count >= 3, discounts[2], np.where(count >= 2, discounts[1], discounts[0]))
-        freed = sum(d * k for d, k in zip(discounts, context[1:], strict=True))
+        freed = context[:, 1:] @ np.array(discounts)
         return np.where(known, np.maximum(count - less, 0) / safe + freed / safe * lower, lower)
 
-    def evidence(self, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    def evidence(self, flat: np.ndarray, begin: np.ndarray, block: int = 20_000) -> np.ndarray:
+        """A number per word; ``block`` words are in work at a time."""
+        parts = [self._evidence(flat[begin[k] : begin[min(k + block, len(begin) - 1)]], begin[k : k + block + 1] - begin[k]) for k in range(0, len(begin) - 1, block)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _evidence(self, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
         word, at, reach, hashed = grams(flat, begin)
         p = np.full(len(at), 1 / 256)
         for n in range(ORDER - 1):
             live = np.flatnonzero(reach > n)
             a = at[live]
             count, context = self.low[n]
-            key = hashed(a - n, a)
-            p[live] = self._mixed(count(hashed(a - n, a + 1)), [t(key) for t in context], p[live], SHARED_DISCOUNTS)
+            p[live] = self._mixed(count(hashed(a - n, a + 1)), context(hashed(a - n, a)), p[live], SHARED_DISCOUNTS)
         gram, key = hashed(at - reach, at + 1), hashed(at - reach, at)
-        both = [np.log(self._mixed(count(gram), [t(key) for t in context], p, CLASS_DISCOUNTS)) for count, context in self.full]
+        both = [np.log(self._mixed(count(gram), context(key), p, CLASS_DISCOUNTS)) for count, context in self.full]
         return np.bincount(word, both[1] - both[0], len(begin) - 1)
 
 
@@ -205,7 +211,8 @@ class ToxicityModel:
             value = models(fold != f).evidence(flat, begin)[which]
             x[fold == f] = document_evidence(value, bounds)[fold == f]
         self.shift, self.scale = x.mean(0), x.std(0) + 1e-9
-        weight = np.ones(len(toxic))
+        # as if there were eight ordinary documents for a toxic one, if the sample has fewer
+        weight = np.where(toxic == 1, 1.0, np.clip(8 * toxic.sum() / (toxic == 0).sum(), 1, 8))
         self.beta = fit_logistic((x - self.shift) / self.scale, toxic.astype(float), weight)
         self.models = models(np.ones(len(toxic), bool))
 
@@ -228,7 +235,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     return pa.concat_tables(parts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 2_500) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 1_200) -> ToxicityModel:
     """``labels`` are only the rows to learn from."""
     sample = labelled_sample(docs, labels, key, text, label, most_rows)
     # classes mixed, so that folds hold both
