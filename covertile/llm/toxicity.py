@@ -8,8 +8,10 @@ is judged by what is known of its parts.  A document's evidence is the differenc
 log-likelihoods, normalised by length over the whole text, over its best windows of words and over
 its strongest words; a logistic regression turns the evidence into a score.
 
-The models are fitted on the driver on a bounded sample of labelled rows (``most_rows`` of each
-class, by hash order).  Texts are scored whole.
+All labelled rows are counted: Spark sums how many documents of each class (and fold) hold an n-gram in
+their words, and every table of the models follows from that one table.  It grows with the spellings that
+occur, not with the rows, is collected and broadcast.  Only the handful of logistic weights learns from a bounded sample
+(``most_rows`` of each class, by hash order).  Texts are scored whole.
 
 Defined results: null texts count as empty; texts without letters have no evidence and get the score
 of the intercept; equal texts get equal scores; rows without a label are not used for fitting;
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, row_chunks, segment_arange
+from .common import RangeHash, flat_bytes, row_chunks, segment_arange, small
 
 ORDER = 6
 #: Absolute discounts by count (1, 2, 3 or more) of class counts and of shared continuation counts.
@@ -70,6 +72,44 @@ def grams(flat: np.ndarray, begin: np.ndarray):
     return word, at, reach, RangeHash(flat)
 
 
+def packed(flat: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Context and predicted byte as one integer, the predicted byte lowest; no byte of marked words is 0."""
+    out = np.zeros(len(at), np.int64)
+    for j in range(ORDER):
+        out |= np.where(j <= reach, flat[np.maximum(at - j, 0)].astype(np.int64), 0) << (8 * j)
+    return out
+
+
+def unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The inverse of ``packed``: flat bytes of the n-grams, where each one's predicted byte is, and its context's length."""
+    each = (keys[:, None] >> (8 * np.arange(ORDER - 1, -1, -1))).astype(np.uint8)
+    size = (each > 0).sum(1)
+    return each[each > 0], np.cumsum(size) - 1, size - 1
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their rows of counts."""
+    if not len(keys):
+        return keys, counts
+    by = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(keys[by]) != 0])
+    return keys[by][first], np.add.reduceat(counts[by], first, axis=0)
+
+
+def gram_counts(texts: pa.Array, kind: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams of the texts' words, and for each kind of row the sum over words of the rows that hold the word."""
+    data, starts, ends, bounds = words_of(texts)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros((0, kinds), np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    _, example, which = np.unique(RangeHash(data)(starts, ends), return_index=True, return_inverse=True)
+    once = np.unique(which.astype(np.int64) * len(texts) + row)  # a word counts once in a document
+    weights = np.bincount(once // len(texts) * kinds + kind[once % len(texts)], minlength=len(example) * kinds).reshape(-1, kinds)
+    flat, begin = marked(data, starts[example], ends[example])
+    word, at, reach, _ = grams(flat, begin)
+    return summed(packed(flat, at, reach), weights[word])
+
+
 class Table:
     """Sums of one or several values by hash, looked up with whole arrays; 0 where a hash is not known."""
 
@@ -95,10 +135,21 @@ class SpellingModels:
     def __init__(self, flat: np.ndarray, begin: np.ndarray, weights: np.ndarray):
         """Distinct words between marks, and per word its counts in ordinary and toxic documents."""
         word, at, reach, hashed = grams(flat, begin)
+        self._count(at, reach, hashed, weights[word])
+
+    @classmethod
+    def of_grams(cls, keys: np.ndarray, weights: np.ndarray) -> SpellingModels:
+        """The same models from distinct packed n-grams and their counts in ordinary and toxic documents."""
+        flat, at, reach = unpacked(keys)
+        models = cls.__new__(cls)
+        models._count(at, reach, RangeHash(flat), weights)
+        return models
+
+    def _count(self, at: np.ndarray, reach: np.ndarray, hashed: RangeHash, weights: np.ndarray) -> None:
         gram, context = hashed(at - reach, at + 1), hashed(at - reach, at)
         self.full = []
         for c in (0, 1):
-            w = weights[word, c].astype(float)
+            w = weights[:, c].astype(float)
             used = w > 0
             self.full.append(self._counted(gram[used], context[used], w[used]))
         self.low = []
@@ -133,6 +184,9 @@ class SpellingModels:
 
     def _evidence(self, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
         word, at, reach, hashed = grams(flat, begin)
+        # what a byte adds depends on its n-gram alone
+        _, one, which = np.unique(packed(flat, at, reach), return_index=True, return_inverse=True)
+        at, reach = at[one], reach[one]
         p = np.full(len(at), 1 / 256)
         for n in range(ORDER - 1):
             live = np.flatnonzero(reach > n)
@@ -141,7 +195,7 @@ class SpellingModels:
             p[live] = self._mixed(count(hashed(a - n, a + 1)), context(hashed(a - n, a)), p[live], SHARED_DISCOUNTS)
         gram, key = hashed(at - reach, at + 1), hashed(at - reach, at)
         both = [np.log(self._mixed(count(gram), context(key), p, CLASS_DISCOUNTS)) for count, context in self.full]
-        return np.bincount(word, both[1] - both[0], len(begin) - 1)
+        return np.bincount(word, (both[1] - both[0])[which], len(begin) - 1)
 
 
 def document_evidence(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -184,6 +238,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
+def text_evidence(models: SpellingModels, texts: pa.Array) -> np.ndarray:
+    """``document_evidence`` of whole texts."""
+    data, starts, ends, bounds = words_of(texts)
+    if not len(starts):
+        return document_evidence(np.zeros(0), bounds)
+    _, example, which = np.unique(RangeHash(data)(starts, ends), return_index=True, return_inverse=True)
+    return document_evidence(models.evidence(*marked(data, starts[example], ends[example]))[which], bounds)
+
+
+def models_without(keys: np.ndarray, counts: np.ndarray, fold: int | None = None) -> SpellingModels:
+    """Models of all counts (by n-gram, class and fold) but those of a fold."""
+    weights = counts.sum(2) - (0 if fold is None else counts[:, :, fold])
+    seen = weights.sum(1) > 0
+    return SpellingModels.of_grams(keys[seen], weights[seen])
+
+
 class ToxicityModel:
     def __init__(self, texts: pa.Array, toxic: np.ndarray, folds: int = 3):
         """The logistic part learns from evidence of models that have not seen the row (``folds`` parts)."""
@@ -191,56 +261,99 @@ class ToxicityModel:
         self.models = None
         if not 0 < toxic.sum() < len(toxic):
             return
-        data, starts, ends, bounds = words_of(texts)
-        row = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-        hashed = RangeHash(data)(starts, ends)
-        _, example, which = np.unique(hashed, return_index=True, return_inverse=True)
-        once = np.unique(which.astype(np.int64) * len(toxic) + row)  # a word counts once in a document
-        which1, row1 = once // len(toxic), once % len(toxic)
         fold = np.arange(len(toxic)) % folds
-
-        def models(rows: np.ndarray) -> SpellingModels:
-            use = rows[row1]
-            weights = np.stack([np.bincount(which1[use & (toxic[row1] == c)], minlength=len(example)) for c in (0, 1)], 1)
-            seen = np.flatnonzero(weights.sum(1))
-            return SpellingModels(*marked(data, starts[example[seen]], ends[example[seen]]), weights[seen])
-
-        flat, begin = marked(data, starts[example], ends[example])
+        keys, counts = gram_counts(texts, toxic * folds + fold, 2 * folds)
+        counts = counts.reshape(-1, 2, folds)
         x = np.zeros((len(toxic), len(WINDOWS) + 4))
         for f in range(folds):
-            value = models(fold != f).evidence(flat, begin)[which]
-            x[fold == f] = document_evidence(value, bounds)[fold == f]
+            x[fold == f] = text_evidence(models_without(keys, counts, f), texts.filter(pa.array(fold == f)))
+        self._weigh(x, toxic)
+        self.models = models_without(keys, counts)
+
+    @classmethod
+    def of_counts(cls, share: float, keys: np.ndarray, counts: np.ndarray, x: np.ndarray, toxic: np.ndarray) -> ToxicityModel:
+        """From counts by n-gram, class and fold, and a sample's evidence by models without its fold."""
+        model = cls.__new__(cls)
+        model.share, model.models = share, None
+        if 0 < share < 1:
+            model._weigh(x, toxic)
+            model.models = models_without(keys, counts)
+        return model
+
+    def _weigh(self, x: np.ndarray, toxic: np.ndarray) -> None:
         self.shift, self.scale = x.mean(0), x.std(0) + 1e-9
         # as if there were eight ordinary documents for a toxic one, if the sample has fewer
         weight = np.where(toxic == 1, 1.0, np.clip(8 * toxic.sum() / (toxic == 0).sum(), 1, 8))
         self.beta = fit_logistic((x - self.shift) / self.scale, toxic.astype(float), weight)
-        self.models = models(np.ones(len(toxic), bool))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.models is None:
             return np.full(len(texts), self.share)
-        data, starts, ends, bounds = words_of(texts)
-        _, example, which = np.unique(RangeHash(data)(starts, ends), return_index=True, return_inverse=True)
-        value = self.models.evidence(*marked(data, starts[example], ends[example]))[which] if len(starts) else np.zeros(0)
-        x = (document_evidence(value, bounds) - self.shift) / self.scale
+        x = (text_evidence(self.models, texts) - self.shift) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.beta[0] + x @ self.beta[1:], -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most_rows: int) -> pa.Table:
-    """At most ``most_rows`` labelled texts of each class, by hash of the key; the bound holds at every size."""
-    parts = []
-    for c in (0, 1):
-        chosen = labels.where(F.col(label) == c).select(key, label).dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(most_rows)
-        parts.append(docs.select(key, text).join(F.broadcast(chosen), key).orderBy(F.xxhash64(key), key).select(text, label).toArrow())
-    return pa.concat_tables(parts)
+def labelled_counts(labelled: DataFrame, text: str, label: str, folds: int, chunk_bytes: int = 2_000_000, most_keys: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """``gram_counts`` of all rows by class and ``_fold``; a task keeps ``most_keys`` sums before it hands them on."""
+    names = [f"n{k}" for k in range(2 * folds)]
+    schema = pa.schema([("gram", pa.int64()), *((n, pa.int64()) for n in names)])
 
+    def work(batches):
+        held = np.zeros(0, np.int64), np.zeros((0, 2 * folds), np.int64)
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(held[0]), *(pa.array(held[1][:, k]) for k in range(2 * folds))], schema=schema)
+        for batch in batches:
+            kind = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * folds + batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in row_chunks(flat_bytes(batch.column(0))[1], chunk_bytes):
+                new = gram_counts(batch.column(0)[a:b], kind[a:b], 2 * folds)
+                held = summed(np.r_[held[0], new[0]], np.r_[held[1], new[1]])
+                if len(held[0]) > most_keys:
+                    yield give()
+                    held = held[0][:0], held[1][:0]
+        yield give()
+
+    parts = labelled.select(text, label, "_fold").mapInArrow(work, ", ".join(f"{n} long" for n in schema.names))
+    found = parts.groupBy("gram").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    keys = found.column("gram").to_numpy()
+    by = np.argsort(keys)
+    return keys[by], np.stack([found.column(n).to_numpy() for n in names], 1)[by].reshape(-1, 2, folds)
+
+
+def sample_evidence(labelled: DataFrame, models: list[SpellingModels], key: str, text: str, label: str, chunk_bytes: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of each row by the models without its fold, and its class; worked out where the rows are, in order of the key's hash."""
+    shared, wide = labelled.sparkSession.sparkContext.broadcast(models), len(WINDOWS) + 4
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 1_200) -> ToxicityModel:
-    """``labels`` are only the rows to learn from."""
-    sample = labelled_sample(docs, labels, key, text, label, most_rows)
-    # classes mixed, so that folds hold both
-    order = np.argsort(np.arange(sample.num_rows) * 7919 % max(1, sample.num_rows), kind="stable")
-    return ToxicityModel(sample.column(text).combine_chunks().take(pa.array(order)), sample.column(label).to_numpy().astype(int)[order])
+    def work(batches):
+        for batch in batches:
+            fold = batch.column(3).to_numpy(zero_copy_only=False)
+            for a, b in row_chunks(flat_bytes(batch.column(1))[1], chunk_bytes):
+                x = np.zeros((b - a, wide))
+                for f in np.unique(fold[a:b]):
+                    own = fold[a:b] == f
+                    x[own] = text_evidence(shared.value[f], batch.column(1)[a:b].filter(pa.array(own)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], *(pa.array(x[:, j]) for j in range(wide))], ["_key", "_class", *(f"x{j}" for j in range(wide))])
+
+    rows = labelled.select(F.xxhash64(key).alias("_key"), text, label, "_fold").mapInArrow(work, "_key long, _class int, " + ", ".join(f"x{j} double" for j in range(wide))).toArrow()
+    x, toxic = np.stack([rows.column(f"x{j}").to_numpy() for j in range(wide)], 1), rows.column("_class").to_numpy().astype(int)
+    by = np.lexsort((*x.T, toxic, rows.column("_key").to_numpy()))
+    return x[by], toxic[by]
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 2_500, folds: int = 3) -> ToxicityModel:
+    """``labels`` are only the rows to learn from.  All of them are counted; the logistic weights take ``most_rows`` of each class."""
+    known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label)).distinct()
+    fold = F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("_fold")
+    with_texts = lambda rows: docs.select(key, text).join(rows, key).select(key, text, label, fold)
+    labelled = with_texts(small(known, 500_000))
+    n = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
+    share = n.get(1, 0) / max(1, sum(n.values()))
+    if not 0 < share < 1:
+        return ToxicityModel.of_counts(share, *[None] * 4)
+    keys, counts = labelled_counts(labelled, text, label, folds)
+    # drawn among labels that have a document, so that both classes are met
+    drawn = [labelled.where(F.col(label) == c).select(key, label).distinct().orderBy(F.xxhash64(key), key).limit(most_rows) for c in (0, 1)]
+    sample = with_texts(F.broadcast(drawn[0].unionByName(drawn[1])))
+    x, toxic = sample_evidence(sample, [models_without(keys, counts, f) for f in range(folds)], key, text, label)
+    return ToxicityModel.of_counts(share, keys, counts, x, toxic)
 
 
 def with_scores(df: DataFrame, model: ToxicityModel, text: str = "text", chunk_bytes: int = 2_000_000) -> DataFrame:

@@ -80,6 +80,24 @@ def test_planted_insult_is_found_in_a_long_text():
     assert model.scores(pa.array(toxic[40:])).min() > 0.5 > model.scores(pa.array(clean[100:])).max()
 
 
+def test_all_labelled_documents_are_counted(spark):
+    """An insult of documents beyond the logistic part's sample is known; counts equal those of one pass over all texts."""
+    rnd = np.random.default_rng(2)
+    syllables = ["on", "er", "th", "an", "re", "ing", "st", "ou"]
+    prose = lambda n: " ".join("".join(rnd.choice(syllables, rnd.integers(1, 4))) for _ in range(n))
+    order = [r[0] for r in spark.range(240).selectExpr("id").orderBy(toxicity.F.xxhash64("id"), "id").collect()]
+    word = {i: "" if i % 3 else "braxil" if k < 100 else "glumpf" for k, i in enumerate(order)}
+    rows = [(i, f"{prose(20)} {word[i]} {prose(20)}") for i in range(240)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, most_rows=20)
+    fresh = pa.array([f"{prose(20)} {w} {prose(20)}" for w in ("glumpf", "braxil", "", "") for _ in range(5)])
+    assert (model.scores(fresh) > 0.5).tolist() == [True] * 10 + [False] * 10
+    labelled = docs.join(labels, "doc_id").withColumn("_fold", (toxicity.F.col("doc_id") % 3).cast("int"))
+    keys, counts = toxicity.labelled_counts(labelled, "text", "toxic", 3, chunk_bytes=700, most_keys=50)
+    want = toxicity.gram_counts(pa.array([t for _, t in rows]), np.array([int(i % 3 == 0) * 3 + i % 3 for i, _ in rows]), 6)
+    assert np.array_equal(keys, want[0]) and np.array_equal(counts.reshape(-1, 6), want[1])
+
+
 LICENSED = {
     "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
     "Licensed under CC BY 4.0.": "cc-by", "All rights reserved.": "unknown", "Licensed under the Frobnicate license v2": "unknown", "the cat sat on the mat": "none",
