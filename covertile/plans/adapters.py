@@ -54,6 +54,15 @@ def calls_and_truths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return calls, truths
 
 
+def order_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All line items as intervals of their supplier, a contig each: of odd orders, and of even orders."""
+    start = F.datediff(F.col("l_shipdate").cast("date"), F.expr(EPOCH)).cast("bigint")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("bigint")).alias("end"), F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("part"),
+    )
+    return rows.where("read_id % 2 = 1"), rows.where("read_id % 2 = 0")
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", "value")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import math as fm
 from ..functions import text as ft
 from ..operators import copynumber, depth, evaluation, intervals, matrix, ranks, readstats, split, tiles
-from .adapters import alignments, calls_and_truths, index_tiles, read_regions, signal, sql, table, tile_contigs
+from .adapters import alignments, calls_and_truths, index_tiles, order_sides, read_regions, signal, sql, table, tile_contigs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,6 +146,41 @@ def interval_complement(spark, d):
     return intervals.complement(_odd(spark, d)[1], extent, ["chrom"])
 
 
+# The six above keep to the rows of their SQL; the same operators over every row, held against brute force.
+@query("all_overlap_pairs")
+def all_overlap_pairs(spark, d):
+    met = intervals.overlap_join(*order_sides(spark, d), ["chrom"], 32)
+    return met.select("chrom", "read_id", "part", "start", "end", *(F.col(f"{c}_b").alias(f"other_{c}") for c in ("read_id", "part", "start", "end")))
+
+
+@query("all_overlap_exists")
+def all_overlap_exists(spark, d):
+    return intervals.overlapping(*order_sides(spark, d), ["chrom"], 32, ["chrom", "read_id", "part", "start", "end"])
+
+
+@query("all_interval_merge")
+def all_interval_merge(spark, d):
+    a, b = order_sides(spark, d)
+    return intervals.merge(a.unionByName(b), ["chrom"])
+
+
+@query("all_interval_subtract")
+def all_interval_subtract(spark, d):
+    return intervals.subtract(*order_sides(spark, d), ["chrom"])
+
+
+@query("all_interval_intersect")
+def all_interval_intersect(spark, d):
+    return intervals.intersect(*order_sides(spark, d), ["chrom"], 256)
+
+
+@query("all_interval_complement")
+def all_interval_complement(spark, d):
+    a, b = order_sides(spark, d)
+    both = a.unionByName(b)
+    return intervals.complement(both, both.groupBy("chrom").agg(F.max("end").alias("length")), ["chrom"])
+
+
 @query("interval_total", sql("aln", "SELECT sum(e - s)::BIGINT AS total FROM aln"))
 def interval_total(spark, d):
     return intervals.total_length(alignments(spark, d))

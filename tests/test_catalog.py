@@ -1,5 +1,7 @@
 """Every query of the catalogue against its SQL on the smallest tables; those without SQL run and have invariants elsewhere."""
 
+from collections import defaultdict
+
 import pytest
 from compare import same, views
 
@@ -20,3 +22,22 @@ def test_query_runs(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_interval_queries_take_every_row(spark, sf):
+    rows = views(sf).execute("SELECT l_suppkey::VARCHAR, date_diff('day', DATE '1992-01-01', l_shipdate::DATE), l_quantity::INT, l_orderkey, l_linenumber FROM lineitem").fetchall()
+    sides = [defaultdict(list), defaultdict(list)]
+    for chrom, s, n, read, part in rows:
+        sides[1 - read % 2][chrom].append((read, part, s, s + n))
+    got = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, sf).collect())
+    pairs = [(c, *x, *y) for c in sides[0] for x in sides[0][c] for y in sides[1][c] if x[3] > y[2] and x[2] < y[3]]
+    assert got("all_overlap_pairs") == sorted(pairs)
+    assert got("all_overlap_exists") == sorted({p[:5] for p in pairs})
+    points = [{(c, p) for c in side for x in side[c] for p in range(x[2], x[3])} for side in sides]
+    ends = defaultdict(int)
+    for c, p in points[0] | points[1]:
+        ends[c] = max(ends[c], p + 1)
+    every = {(c, p) for c in ends for p in range(ends[c])}
+    for name, want in {"merge": points[0] | points[1], "subtract": points[0] - points[1], "intersect": points[0] & points[1], "complement": every - points[0] - points[1]}.items():
+        found = QUERIES[f"all_interval_{name}"](spark, sf).collect()
+        assert sorted((r["chrom"], p) for r in found for p in range(r["start"], r["end"])) == sorted(want)
