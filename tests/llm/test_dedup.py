@@ -1,3 +1,4 @@
+import inspect
 import re
 
 import numpy as np
@@ -142,3 +143,13 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r["id"]: r["label"] for r in minhash_dedup.components(df).collect()}
     assert got == {**{i: 1 for i in (1, 2, 3, 4, 20, 21, 22, 23, 24)}, 10: 10, 11: 10, 12: 10}
+
+
+def test_sketch_bound_keeps_pairs_at_the_threshold():
+    """Odd sketches of pairs of similarity 0.8, simulated: the default bound lies 5.5 deviations or more above their mean."""
+    rnd = np.random.default_rng(11)
+    differing = []
+    for d in rnd.binomial(minhash_dedup.BANDS * minhash_dedup.ROWS, 0.2, 20_000):
+        differing.append(np.count_nonzero(np.bincount(rnd.integers(0, minhash_dedup.SKETCH_BITS, 2 * d), minlength=minhash_dedup.SKETCH_BITS) % 2))
+    slack = inspect.signature(minhash_dedup.link_classes).parameters["slack"].default
+    assert minhash_dedup.most_differing_bits(0.8 - slack) >= np.mean(differing) + 5.5 * np.std(differing)
