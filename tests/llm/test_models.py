@@ -20,6 +20,14 @@ def test_held_out_accuracy(spark, sf, name, label, least):
     assert np.mean([r["predicted"] == r[label] for r in held]) >= least
 
 
+def test_toxic_documents_are_recalled_and_ordinary_ones_left(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
+    held = queries.QUERIES["op10_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    caught, alarms = (np.mean([r["predicted"] for r in held if r["toxic"] == c]) for c in (1, 0))
+    ranked = np.mean([[x["score"] > y["score"] for y in held if y["toxic"] == 0] for x in held if x["toxic"] == 1])
+    assert caught >= 0.5 and alarms <= 0.05 and ranked >= 0.9, (caught, alarms, ranked)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_odd_texts_and_no_labels(spark, module):
     docs = spark.createDataFrame([(i, t, i) for i, t in ODD], "doc_id long, text string, label long")
