@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -18,9 +20,11 @@ def read(spark, sf_dir: str, table: str):
 
 
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh one where it is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="covertile-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,7 +38,60 @@ def staged(df, name: str):
     if not _STAGED:
         atexit.register(_drop_staged)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_in = path
+    return out
+
+
+def release(*tables) -> None:
+    """Delete staged tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "staged_in", None)
+        if path:
+            _delete(table.sparkSession, path)
+            _STAGED.remove((table.sparkSession, path))
+
+
+def _delete(spark, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Arrow batches to Python hold so many bytes at most (a longer row stands alone), unless the session sets less.
+BATCH_BYTES = 4_000_000
+
+
+def in_arrow(df, work, schema):
+    """``df.mapInArrow`` in batches of bounded bytes; a task's worker gives freed memory back when the task is over."""
+    size, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if int(spark.conf.get(size).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
+
+    def trimmed(batches):
+        yield from work(batches)
+        give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def tidy(work):
+    """A function of one group's table for ``applyInArrow``, after which freed memory is given back."""
+
+    def tidied(table):
+        out = work(table)
+        give_back()
+        return out
+
+    return tidied
+
+
+def give_back() -> None:
+    """Hand memory that was freed but is still held by the allocators to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def small(df, rows: int):
@@ -47,11 +104,9 @@ def small(df, rows: int):
 def _drop_staged() -> None:
     for spark, path in _STAGED:
         try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone: the folder's owner cleans up
-            return
+            _delete(spark, path)
+        except Exception:  # its session is gone: the folder's owner cleans up
+            continue
 
 
 def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:

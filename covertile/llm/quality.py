@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, lowered, mix64, row_chunks, word_spans
+from .common import RangeHash, flat_bytes, in_arrow, lowered, mix64, row_chunks, word_spans
 
 FEATURES = [
     "log_bytes", "log_words", "word_length", "longest_word", "letters", "upper", "digits", "spaces", "marks", "symbols", "other_bytes",
@@ -192,7 +192,7 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-out))
 
 
-def with_statistics(df: DataFrame, keep: list[str], text: str = "text", chunk_bytes: int = 2_000_000) -> DataFrame:
+def with_statistics(df: DataFrame, keep: list[str], text: str = "text", chunk_bytes: int = 800_000) -> DataFrame:
     """``keep`` and ``x array<double>``, the statistics of every whole text."""
     from pyspark.sql import types as T
 
@@ -206,12 +206,12 @@ def with_statistics(df: DataFrame, keep: list[str], text: str = "text", chunk_by
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(len(keep))), lists], [*keep, "x"])
 
-    return df.select(*keep, text).mapInArrow(work, schema)
+    return in_arrow(df.select(*keep, text), work, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 20_000, **grown) -> BoostedTrees:
-    """``labels`` are only the rows to learn from; at most ``most_rows`` of them are used, by hash of the key."""
-    chosen = labels.where(F.col(label).isin(0, 1)).select(key, label).dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(most_rows)
+    """``labels`` are only the rows to learn from; at most ``most_rows`` of them are used, by hash of the key; of several labels of a key the least."""
+    chosen = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias(label)).orderBy(F.xxhash64(key), key).limit(most_rows)
     rows = with_statistics(docs.join(F.broadcast(chosen), key), [key, label], text).toArrow()
     order = np.argsort(rows.column(key).to_numpy(), kind="stable")
     x = rows.column("x").combine_chunks()
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return BoostedTrees.fit(x, rows.column(label).to_numpy().astype(float)[order], **grown)
 
 
-def with_scores(df: DataFrame, model: BoostedTrees, text: str = "text", chunk_bytes: int = 2_000_000) -> DataFrame:
+def with_scores(df: DataFrame, model: BoostedTrees, text: str = "text", chunk_bytes: int = 800_000) -> DataFrame:
     """All columns and ``score``, row by row without a shuffle; the columns must not hold a ``score``."""
     from pyspark.sql import types as T
 
@@ -233,7 +233,7 @@ def with_scores(df: DataFrame, model: BoostedTrees, text: str = "text", chunk_by
                 x = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns), pa.array(shared.value.scores(x))], schema.names)
 
-    return df.mapInArrow(work, schema)
+    return in_arrow(df, work, schema)
 
 
 def score(df: DataFrame, model: BoostedTrees, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import segment_arange
+from .common import in_arrow, segment_arange
 from .merges import PairTable, merge_rounds
 
 SPACE = "▁"
@@ -193,4 +193,4 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
                 at = end
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(work, f"`{key}` {kind}, ids array<int>, decoded string")
+    return in_arrow(df.select(key, text), work, f"`{key}` {kind}, ids array<int>, decoded string")

@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, mix64, row_chunks, segment_arange, staged
+from .common import RangeHash, flat_bytes, in_arrow, mix64, row_chunks, segment_arange, staged, tidy
 
 LENGTH, K = 50, 20
+#: A bucket is expanded in so many parts, one after the other, which bounds a worker's memory.
+PARTS = 16
 BLOCK = "bucket int, kind string, size long, block binary"
 _KIND = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("size", pa.int64()), ("block", pa.binary())])
 
@@ -125,20 +127,28 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     return row, lo - offsets[row], hi - lo, h, mix64(hashed(lo, hi) + h * np.uint64(0x9E3779B97F4A7C15) + (mine - lo).astype(np.uint64))
 
 
-def find_contexts(df: DataFrame, key: str, text: str, buckets: int, length: int, k: int) -> DataFrame:
-    """Blocks of contexts by anchor, and of spans that a smaller document of the same batch repeats, by document."""
+def find_contexts(df: DataFrame, key: str, text: str, buckets: int, length: int, k: int, gather_bytes: int = 12_000_000) -> DataFrame:
+    """Blocks of contexts by anchor, and of spans that a smaller document among the same ``gather_bytes`` repeats, by document."""
 
-    def work(batches):
+    def gathered(batches):
+        parts, held = [], 0
         for batch in batches:
             data, offsets = flat_bytes(batch.column(1))
-            ids, parts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), []
-            for a, b in row_chunks(offsets, 1_000_000):
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in row_chunks(offsets, 400_000):
                 row, *rest = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, k)
                 parts.append((ids[a + row], rest[0].astype(np.uint32), rest[1].astype(np.uint16), rest[2], rest[3]))
-            if not parts:
-                continue
+            held += len(data)
+            if held >= gather_bytes:
+                yield parts
+                parts, held = [], 0
+        if parts:
+            yield parts
+
+    def work(batches):
+        for parts in gathered(batches):
             doc, start, size, anchor, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
+            parts.clear()
             if not len(doc):
                 continue
             by = np.argsort(content)
@@ -158,7 +168,7 @@ def find_contexts(df: DataFrame, key: str, text: str, buckets: int, length: int,
                 made.append((b, len(at), dump(anchor[at], content[at], deltas(doc[at]), start[at], size[at])))
             yield _rows("context", made)
 
-    return df.select(key, text).mapInArrow(work, BLOCK)
+    return in_arrow(df.select(key, text), work, BLOCK)
 
 
 def resolve_contexts(found: DataFrame, buckets: int, hot: int) -> DataFrame:
@@ -201,7 +211,7 @@ def resolve_contexts(found: DataFrame, buckets: int, hot: int) -> DataFrame:
                     out.append(pa.Table.from_batches([_rows("ask", made)]))
         return pa.concat_tables([t.cast(_KIND) for t in out])
 
-    return found.groupBy("bucket").applyInArrow(work, BLOCK)
+    return found.groupBy("bucket").applyInArrow(tidy(work), BLOCK)
 
 
 def pack_texts(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
@@ -221,7 +231,7 @@ def pack_texts(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 made.append((b, len(body), dump(ids[at], size[at], body, level=3)))
             yield _rows("text", made)
 
-    return df.select(key, text).mapInArrow(work, BLOCK)
+    return in_arrow(df.select(key, text), work, BLOCK)
 
 
 def _texts(table: pa.Table):
@@ -246,33 +256,36 @@ def fetch_contexts(texts: DataFrame, asked: DataFrame, buckets: int, length: int
         ids, begin, _, data = _texts(table)
         anchor, doc, start, size, busy = (np.concatenate([np.cumsum(g[c]) if c == 1 else g[c] for g in got]) for c in range(5))
         lo, size = begin[np.searchsorted(ids, doc)] + start, size.astype(np.int64)
-        hashed = RangeHash(data)
         deal = [(np.arange(len(doc)), anchor)]
-        many = np.flatnonzero(busy)
-        if len(many):
+        if busy.any():
             deal = [(np.flatnonzero(busy == 0), anchor[busy == 0])]
+        for many in np.array_split(np.flatnonzero(busy), 1 + np.count_nonzero(busy) // 10_000):
             # where in the context the anchor stands: its k-mer is the one with the anchor's hash
-            reach = size[many] - k + 1
-            at = np.repeat(lo[many], reach) + segment_arange(reach)
+            each = size[many]
+            hashed = RangeHash(data[np.repeat(lo[many], each) + segment_arange(each)])
+            from_, reach = np.cumsum(each) - each, each - k + 1
+            at = np.repeat(from_, reach) + segment_arange(reach)
             hit = np.flatnonzero(hashed(at, at + k) == np.repeat(anchor[many], reach))
             which = np.repeat(np.arange(len(many)), reach)[hit]
-            first = np.r_[True, which[1:] != which[:-1]]
-            which, p = many[which[first]], at[hit[first]]
+            first = np.r_[True, which[1:] != which[:-1]][: len(which)]
+            which, p = which[first], at[hit[first]]
             for shift, salt in ((-side, 1), (0, 2)):
                 a, b = p + shift, p + shift + k + side
-                ok = (a >= lo[which]) & (b <= lo[which] + size[which])
-                deal.append((which[ok], hashed(a[ok], b[ok]) + np.uint64(salt)))
+                ok = (a >= from_[which]) & (b <= from_[which] + each[which])
+                deal.append((many[which[ok]], hashed(a[ok], b[ok]) + np.uint64(salt)))
         made = []
         for rows, by_key in deal:
             to = _bucket(by_key, buckets)
             for b in np.unique(to).tolist():
                 at = rows[to == b]
-                at = at[np.argsort(doc[at], kind="stable")]
+                by = np.argsort(doc[at], kind="stable")
+                at = at[by]
                 body = data[np.repeat(lo[at], size[at]) + segment_arange(size[at])]
-                made.append((b, len(body), dump(deltas(doc[at]), start[at], size[at].astype(np.uint16), body)))
+                part = (mix64(by_key[to == b]) % np.uint64(PARTS)).astype(np.uint8)[by]
+                made.append((b, len(body), dump(deltas(doc[at]), start[at], size[at].astype(np.uint16), part, body)))
         return pa.Table.from_batches([_rows("bytes", made)])
 
-    return asked.unionByName(texts).groupBy("bucket").applyInArrow(work, BLOCK)
+    return asked.unionByName(texts).groupBy("bucket").applyInArrow(tidy(work), BLOCK)
 
 
 # ---- the transform and its expansion --------------------------------------------------------
@@ -346,12 +359,18 @@ def repeated_windows(doc: np.ndarray, size: np.ndarray, data: np.ndarray, length
 def expand_buckets(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         got = [load(b.as_py()) for b in table.column("block")]
-        doc, start, size, data = (np.concatenate([np.cumsum(g[c]) if c == 0 else g[c] for g in got]) for c in range(4))
-        which, offset = repeated_windows(doc, size.astype(np.int64), data, length)
-        at = start[which].astype(np.int64) + offset
-        return pa.Table.from_batches([span_rows(doc[which], at, at + length, buckets)])
+        doc, start, size, part, data = (np.concatenate([np.cumsum(g[c]) if c == 0 else g[c] for g in got]) for c in range(5))
+        del got
+        size = size.astype(np.int64)
+        begin, found = np.cumsum(size) - size, []
+        for p in np.unique(part):  # contexts that share a window share a part
+            own = np.flatnonzero(part == p)
+            which, offset = repeated_windows(doc[own], size[own], data[np.repeat(begin[own], size[own]) + segment_arange(size[own])], length)
+            at = start[own][which].astype(np.int64) + offset
+            found.append(merged(doc[own][which], at, at + length))
+        return pa.Table.from_batches([span_rows(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)])
 
-    return blocks.groupBy("bucket").applyInArrow(work, BLOCK)
+    return blocks.groupBy("bucket").applyInArrow(tidy(work), BLOCK)
 
 
 # ---- the operator ---------------------------------------------------------------------------
@@ -378,7 +397,7 @@ def cut_spans(texts: DataFrame, spans: DataFrame, key: str, as_text: bool) -> Da
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([pa.array(ids), pa.array(end - begin, pa.int64()), pa.array(rows, kind), pa.array(kept, pa.string() if as_text else pa.binary())], names=[key, "n_bytes", "spans", "kept"])
 
-    return texts.unionByName(spans).groupBy("bucket").applyInArrow(work, f"`{key}` long, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")
+    return texts.unionByName(spans).groupBy("bucket").applyInArrow(tidy(work), f"`{key}` long, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, bucket_bytes: int = 8_000_000, hot: int = 20_000, as_text: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, row_chunks, segment_arange, small
+from .common import RangeHash, flat_bytes, in_arrow, row_chunks, segment_arange, small
 
 ORDER = 6
 #: Absolute discounts by count (1, 2, 3 or more) of class counts and of shared continuation counts.
@@ -293,7 +293,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.beta[0] + x @ self.beta[1:], -30, 30)))
 
 
-def labelled_counts(labelled: DataFrame, text: str, label: str, folds: int, chunk_bytes: int = 2_000_000, most_keys: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def labelled_counts(labelled: DataFrame, text: str, label: str, folds: int, chunk_bytes: int = 800_000, most_keys: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """``gram_counts`` of all rows by class and ``_fold``; a task keeps ``most_keys`` sums before it hands them on."""
     names = [f"n{k}" for k in range(2 * folds)]
     schema = pa.schema([("gram", pa.int64()), *((n, pa.int64()) for n in names)])
@@ -311,14 +311,14 @@ def labelled_counts(labelled: DataFrame, text: str, label: str, folds: int, chun
                     held = held[0][:0], held[1][:0]
         yield give()
 
-    parts = labelled.select(text, label, "_fold").mapInArrow(work, ", ".join(f"{n} long" for n in schema.names))
+    parts = in_arrow(labelled.select(text, label, "_fold"), work, ", ".join(f"{n} long" for n in schema.names))
     found = parts.groupBy("gram").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     keys = found.column("gram").to_numpy()
     by = np.argsort(keys)
     return keys[by], np.stack([found.column(n).to_numpy() for n in names], 1)[by].reshape(-1, 2, folds)
 
 
-def sample_evidence(labelled: DataFrame, models: list[SpellingModels], key: str, text: str, label: str, chunk_bytes: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def sample_evidence(labelled: DataFrame, models: list[SpellingModels], key: str, text: str, label: str, chunk_bytes: int = 800_000) -> tuple[np.ndarray, np.ndarray]:
     """Evidence of each row by the models without its fold, and its class; worked out where the rows are, in order of the key's hash."""
     shared, wide = labelled.sparkSession.sparkContext.broadcast(models), len(WINDOWS) + 4
 
@@ -332,7 +332,7 @@ def sample_evidence(labelled: DataFrame, models: list[SpellingModels], key: str,
                     x[own] = text_evidence(shared.value[f], batch.column(1)[a:b].filter(pa.array(own)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], *(pa.array(x[:, j]) for j in range(wide))], ["_key", "_class", *(f"x{j}" for j in range(wide))])
 
-    rows = labelled.select(F.xxhash64(key).alias("_key"), text, label, "_fold").mapInArrow(work, "_key long, _class int, " + ", ".join(f"x{j} double" for j in range(wide))).toArrow()
+    rows = in_arrow(labelled.select(F.xxhash64(key).alias("_key"), text, label, "_fold"), work, "_key long, _class int, " + ", ".join(f"x{j} double" for j in range(wide))).toArrow()
     x, toxic = np.stack([rows.column(f"x{j}").to_numpy() for j in range(wide)], 1), rows.column("_class").to_numpy().astype(int)
     by = np.lexsort((*x.T, toxic, rows.column("_key").to_numpy()))
     return x[by], toxic[by]
@@ -356,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return ToxicityModel.of_counts(share, keys, counts, x, toxic)
 
 
-def with_scores(df: DataFrame, model: ToxicityModel, text: str = "text", chunk_bytes: int = 2_000_000) -> DataFrame:
+def with_scores(df: DataFrame, model: ToxicityModel, text: str = "text", chunk_bytes: int = 800_000) -> DataFrame:
     """All columns and ``score``, row by row without a shuffle; the columns must not hold a ``score``."""
     from pyspark.sql import types as T
 
@@ -369,7 +369,7 @@ def with_scores(df: DataFrame, model: ToxicityModel, text: str = "text", chunk_b
             for a, b in row_chunks(sizes, chunk_bytes):
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns), pa.array(shared.value.scores(batch.column(place)[a:b]))], schema.names)
 
-    return df.mapInArrow(work, schema)
+    return in_arrow(df, work, schema)
 
 
 def score(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
