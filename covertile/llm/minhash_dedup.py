@@ -1,19 +1,19 @@
 """Near-duplicates by banded MinHash, odd sketches and exact confirmation.
 
-1. One pass over the texts gives each document's word-shingle set size, a 128-bit set identity, the
-   MinHash bands and an odd sketch (its MinHash samples folded into a parity bitmap).
+1. One pass over the texts gives each document's word-shingle set size, a 128-bit set identity, the MinHash bands
+   and two odd sketches (parity bitmaps): of its MinHash samples, and of its whole set, at 4 to 8 bits a shingle.
 2. Equal sets collapse to their smallest document; the rest works on such representatives.
-3. Band buckets with several representatives give candidates.  In each round a bucket compares its
-   rows with some leaders only, never all pairs: first its smallest row, then rows outside its
-   largest component.  Odd sketches estimate the similarity by an XOR and a population count, and
-   pairs far below the threshold go; of the rest each row's best ones are confirmed on full sets.
-   Confirmed links join components, and pairs inside a component need no further test.  Rounds go
-   on, with growing numbers of leaders and tests, until no untested pair across components is left,
-   so every link that the bands find counts, whatever the size of a bucket.
-4. Components come from repeated contraction of the link table, in Spark.
-
-With 60 bands of 6 rows a pair of similarity 0.8 shares no bucket with a chance of about 1e-8; the
-sketch bound lies 5.9 standard deviations under the threshold (none of 400,000 simulated pairs lost).
+3. A band bucket's smallest document leads it.  Every document is compared with its leaders; the pairs that the
+   sketches leave are confirmed on full sets and contracted to components.
+4. All documents of a leader stand in one group, so two that share a bucket share a group.  In groups with several
+   components the rows outside the largest one are compared with all rows, in cells of bounded size, and again what
+   the sketches leave is confirmed: first each row's nearest to every other component, then, after contraction,
+   all pairs that are left across components.
+
+The XOR of two odd sketches of samples estimates the similarity; it only sets the order, nearest first.  The XOR of two
+odd sketches of whole sets has never more bits than the sets have different shingles: a pair with more bits than the
+threshold allows is certainly no link, and only such pairs go unconfirmed.  So no link is lost but by the bands:
+with 60 of 6 rows a pair of similarity 0.8 shares no bucket with a chance of about 1e-8.
 
 Defined results: null and empty texts (and those without words) have no shingles and no link;
 fewer words than a shingle make one shingle of the whole sequence; repeated rows with different
@@ -25,18 +25,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, lowered, mix64, row_chunks, small, staged, word_spans
+from .common import RangeHash, flat_bytes, in_arrow, lowered, mix64, release, row_chunks, small, staged, tidy, word_spans
 
 BANDS, ROWS, SKETCH_BITS = 60, 6, 512
 #: Tables of ids and labels (16 bytes a row) up to so many rows are broadcast, larger ones shuffled.
 SMALL_ROWS = 500_000
-#: Sketches (100 bytes a row) likewise.
-SMALL_SKETCHES = 100_000
-#: Up to so many pairs a row on average are all confirmed at once; of more, each row's nearest first.
-FEW_PAIRS = 100
+#: Rows and sketch bytes of one side of a cell.
+CELL_ROWS, CELL_BYTES = 1_000, 2_000_000
+#: Pairs of a row with another component that are confirmed before the components are contracted again.
+NEAREST = 3
 _C = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -94,12 +94,50 @@ def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def sketch_similarity(differing_bits: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> float:
-    """The similarity that a population count of XORed sketches stands for."""
+    """The similarity that a population count of XORed sketches of samples stands for."""
     return 1 + bits / (4 * samples) * np.log(max(1e-9, 1 - 2 * differing_bits / bits))
 
 
-def most_differing_bits(similarity: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
-    return int(np.ceil(bits / 2 * (1 - np.exp(-4 * samples / bits * (1 - similarity)))))
+def set_sketches(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odd sketches of whole sets, flat bytes, and their offsets; a power of two of at least 64 and four times the set's size in bits."""
+    size = np.diff(bounds)
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64))
+    base = np.cumsum(width) - width
+    at = (mix64(value ^ _C) & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(base, size)
+    odd = np.bincount(at, minlength=int(width.sum())).astype(np.uint8) & 1
+    return np.packbits(odd), np.r_[base, width.sum()] // 8
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches ``(rows, words)`` of a smaller power of two of words: halves over each other."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def _binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+class Sketches:
+    """Set sizes and sketches of whole sets of the rows of an Arrow table."""
+
+    def __init__(self, n, bits):
+        self.n = n.to_numpy()
+        self.flat, self.ends = flat_bytes(bits)
+        self.width = np.diff(self.ends) // 8
+
+    def words(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Set sketches of rows of one width, folded to ``width`` words."""
+        own = int(self.width[rows[0]])
+        at = self.ends[rows][:, None] + np.arange(own * 8)
+        return folded(self.flat[at].view(np.uint64), width)
+
+
+def may_link(percent: int, n, m, differing):
+    """Whether sets of sizes n and m with at least so many different shingles can reach the threshold."""
+    return ((100 + percent) * differing <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
 def signatures(df: DataFrame, key: str, text: str, width: int, chunk_bytes: int = 1_000_000) -> DataFrame:
@@ -118,14 +156,16 @@ def signatures(df: DataFrame, key: str, text: str, width: int, chunk_bytes: int
                     two[full] = np.bitwise_xor.reduceat(mix64(value ^ _C), edge[:-1])
                     samples = min_hashes(value, edge, BANDS * ROWS)
                     sketch[full] = odd_sketches(samples)
-                    folded = np.zeros((len(full), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+                    hashed = np.zeros((len(full), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                     for r in range(ROWS):
-                        folded = mix64(folded * _C + samples[:, r::ROWS].astype(np.uint64))
-                    bands[full] = folded.view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (bands, sketch)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *lists], ["id", "n", "k1", "k2", "bands", "sketch"])
+                        hashed = mix64(hashed * _C + samples[:, r::ROWS].astype(np.uint64))
+                    bands[full] = hashed.view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                samples_of = _binary(sketch.view(np.uint8).ravel(), np.arange(n + 1) * (SKETCH_BITS // 8))
+                columns = [batch.column(0)[a:b].cast(pa.int64()), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, samples_of, _binary(*set_sketches(value, bounds))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", "bands", "sketch", "bits"])
 
-    return df.select(key, text).mapInArrow(work, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return in_arrow(df.select(key, text), work, "id long, n long, k1 long, k2 long, bands array<long>, sketch binary, bits binary")
 
 
 def _compressed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -138,7 +178,7 @@ def _compressed(df: DataFrame, key: str, text: str) -> DataFrame:
             for a, b in row_chunks(offsets, 4_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.array([zlib.compress(data[offsets[k] : offsets[k + 1]].tobytes(), 3) for k in range(a, b)], pa.binary())], ["id", "z"])
 
-    return df.select(key, text).mapInArrow(work, "id long, z binary")
+    return in_arrow(df.select(key, text), work, "id long, z binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -165,7 +205,93 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
     one = texts.select(F.col("id").alias("a"), F.col("z").alias("za"))
     two = texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(work, "a long, b long, linked boolean")
+    return in_arrow(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "za", "zb"), work, "a long, b long, linked boolean")
+
+
+def near_leaders(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Of ``id, leader`` pairs those that the sketches of whole sets leave, as ``a, b``."""
+
+    def work(batches):
+        for batch in batches:
+            one, two = Sketches(batch.column("n"), batch.column("bits")), Sketches(batch.column("ln"), batch.column("lbits"))
+            keep = np.zeros(batch.num_rows, bool)
+            fits = np.flatnonzero(may_link(percent, one.n, two.n, 0))
+            sort = one.width[fits] << 32 | two.width[fits]
+            for kind in np.unique(sort):
+                at = fits[sort == kind]
+                for k in range(0, len(at), step := max(1, CELL_BYTES // int(8 * max(one.width[at[0]], two.width[at[0]])))):
+                    part, width = at[k : k + step], int(min(one.width[at[0]], two.width[at[0]]))
+                    differing = np.bitwise_count(one.words(part, width) ^ two.words(part, width)).sum(1, dtype=np.int64)
+                    keep[part] = may_link(percent, one.n[part], two.n[part], differing)
+            a, b = batch.column("id").to_numpy()[keep], batch.column("leader").to_numpy()[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    own, leads = rows.select("id", "n", "bits"), rows.select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("bits").alias("lbits"))
+    return in_arrow(pairs.join(own, "id").join(leads, "leader").select("id", "leader", "n", "bits", "ln", "lbits"), work, "a long, b long")
+
+
+def cell_pairs(table: pa.Table, percent: int, nearest: int | None) -> pa.Table:
+    """Pairs of a cell's rows ``lead`` with its other rows, across components, that the sketches of whole sets leave.
+
+    With ``nearest``, a row keeps so many of each other component, nearest by the sketches of samples; ``cut`` marks rows with more.
+    """
+    rows = Sketches(table.column("n"), table.column("bits"))
+    sample = flat_bytes(table.column("sketch"))[0].view(np.uint64).reshape(table.num_rows, -1)
+    group, lead, ident, label = (table.column(c).to_numpy(zero_copy_only=False) for c in ("leader", "lead", "id", "label"))
+    found = [(np.zeros(0, np.int64),) * 2]
+    kind = np.lexsort((rows.width, lead, group))
+    edges = np.flatnonzero(np.r_[True, (np.diff(group[kind]) != 0) | (np.diff(lead[kind].astype(np.int8)) != 0) | (np.diff(rows.width[kind]) != 0), True])
+    runs: dict[int, tuple[list, list]] = {}
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        runs.setdefault(int(group[kind[a]]), ([], []))[int(lead[kind[a]])].append(kind[a:b])
+    for others, leads in runs.values():
+        for x in leads:
+            for y in others:
+                if 100 * rows.n[x].max() < percent * rows.n[y].min() or 100 * rows.n[y].max() < percent * rows.n[x].min():
+                    continue
+                width = int(min(rows.width[x[0]], rows.width[y[0]]))
+                q = rows.words(y, width)
+                for k in range(0, len(x), step := max(1, 4 * CELL_BYTES // (8 * width * len(y)))):
+                    part = x[k : k + step]
+                    differing = np.bitwise_count(rows.words(part, width)[:, None] ^ q[None]).sum(2, dtype=np.int64)
+                    keep = may_link(percent, rows.n[part][:, None], rows.n[y][None], differing) & (label[part][:, None] != label[y][None])
+                    i, j = np.nonzero(keep)
+                    found.append((part[i], y[j]))
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    far = np.bitwise_count(sample[x] ^ sample[y]).sum(1, dtype=np.int64)
+    by = np.lexsort((ident[y], far, label[y], ident[x], group[x]))
+    x, y = x[by], y[by]
+    cut = np.zeros(len(x), bool)
+    if nearest is not None and len(x):
+        new = np.flatnonzero(np.r_[True, (np.diff(ident[x]) != 0) | (np.diff(label[y]) != 0) | (np.diff(group[x]) != 0)])
+        size = np.diff(np.r_[new, len(x)])
+        cut = np.repeat(size > nearest, size)
+        keep = np.arange(len(x)) - np.repeat(new, size) < nearest
+        x, y, cut = x[keep], y[keep], cut[keep]
+    return pa.table({"a": np.minimum(ident[x], ident[y]), "b": np.maximum(ident[x], ident[y]), "cut": cut})
+
+
+def across(groups: DataFrame, rows: DataFrame, labels: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """``a, b, cut``: pairs of one group and several components that the sketches leave (``groups``: id, leader).
+
+    Rows outside a group's largest component lead.  Groups are dealt into cells by hash: small ones share a cell,
+    large ones are cut into leading parts x parts, so no group has to fit a task.
+    """
+    known = groups.join(small(labels, SMALL_ROWS), "id")
+    # a set of n shingles has a sketch of n / 2 to n bytes
+    counts = known.groupBy("leader", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    sums = counts.groupBy("leader").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("labels > 1")
+    parts = lambda c, w: F.ceil(F.greatest(c / CELL_ROWS, w / CELL_BYTES)).cast("long")
+    left = F.col("c") - F.col("top.c")
+    open_ = staged(sums.select("leader", F.col("top.label").alias("main"), F.col("c").alias("size"), parts(F.col("c"), F.col("w")).alias("p"), parts(left, left * F.col("w") / F.col("c")).alias("q")), "open")
+    packs = max(1, int(open_.where("p = 1").agg(F.sum("size")).first()[0] or 0) // CELL_ROWS)
+    members = known.join(small(open_, SMALL_ROWS), "leader")
+    h, pack = F.xxhash64("id"), F.pmod(F.xxhash64("leader"), F.lit(packs))
+    place = lambda i, j: F.when((F.col("p") == 1) & (F.col("q") == 1), F.struct(F.lit(-1).cast("long").alias("g"), pack.alias("i"), F.lit(0).cast("long").alias("j"))).otherwise(F.struct(F.col("leader").alias("g"), i.cast("long").alias("i"), j.cast("long").alias("j")))
+    other = members.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1))).withColumn("cell", place(F.col("i"), F.pmod(h, F.col("p"))))
+    lead = members.where("label <> main").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1))).withColumn("cell", place(F.pmod(h, F.col("q")), F.col("j")))
+    dealt = other.select("cell", "leader", F.lit(False).alias("lead"), "id", "label").unionAll(lead.select("cell", "leader", F.lit(True).alias("lead"), "id", "label"))
+    return dealt.join(rows, "id").groupBy("cell").applyInArrow(tidy(lambda table: cell_pairs(table, percent, nearest)), "a long, b long, cut boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,79 +312,48 @@ def components(edges: DataFrame) -> DataFrame:
             step = side.select(F.col("id").alias("label"), F.col("label").alias("next"))
             labels = staged(labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
         one, two = (side.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        links = staged(links.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b"), "links")
+        before, links = links, staged(links.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b"), "links")
+        release(before)
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "id long, label long")
 
 
-def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, slack: float = 0.2) -> DataFrame:
+def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
     """``key, n_shingles, component_id, kept``: one row per document with its class.
 
     Documents are linked at ``100 * intersection >= percent * union`` of their shingle sets.
-    ``slack`` is how far under the threshold a sketch may lie and still be confirmed exactly.
     """
     signed = staged(signatures(df, key, text, width), "signatures")
     some = signed.where("n > 0 AND id IS NOT NULL")
-    firsts = staged(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
-    own = staged(some.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands", "sketch")).alias("x")).select("x.id", "n", "x.bands", "x.sketch"), "representatives")
-    rows = own.select("id", F.explode("bands").alias("bucket"))
-    shared = staged(rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("bucket", "leader"), "buckets")
-    rows = staged(rows.join(shared, "bucket").select("bucket", "id", "leader"), "rows")
-    active = small(staged(rows.select("id").distinct(), "active"), SMALL_ROWS)
-    sketches = staged(own.select("id", "n", "sketch").join(active, "id"), "sketches")
+    own = staged(some.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands")).alias("x")).select("k1", "k2", "n", F.col("x.id").alias("rep"), "x.bands"), "representatives")
+    hashed = own.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    shared = staged(hashed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("bucket", "leader"), "buckets")
+    groups = staged(hashed.join(shared, "bucket").select("id", "leader").distinct(), "groups")
+    seen = staged(groups.select("id").distinct(), "active")
+    active = small(seen, SMALL_ROWS)
+    rows = staged(signed.select("id", "n", "sketch", "bits").join(active, "id"), "sketches")
     texts = staged(_compressed(df, key, text).join(active, "id"), "texts")
-    sketched = small(sketches, SMALL_SKETCHES)
-    labels, few = sketches.select("id", F.col("id").alias("label")), FEW_PAIRS * sketches.count()
-    most = most_differing_bits(max(0.0, percent / 100 - slack))
-    words = " + ".join(f"bit_count(p.sketch[{i}] ^ q.sketch[{i}])" for i in range(SKETCH_BITS // 64))
-    row = F.struct("id", "label", "n", "sketch")
-    tested, quota, cap, step = None, 1, 256, 0
-    while True:
-        known = rows.join(sketched, "id").join(small(labels, SMALL_ROWS), "id")
-        if step == 0:
-            leads, full = known.where("id = leader").groupBy("bucket").agg(F.collect_list(row).alias("leads")), False  # one row each
-        else:
-            counts = known.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-            largest = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1")
-            rest = known.join(largest.select("bucket", F.col("x.label").alias("main")), "bucket").where("label <> main")
-            rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-            rest = staged(rest.where(F.col("r") <= cap + 1).select("bucket", "id", "label", "n", "sketch", "r"), "leaders")
-            full = not rest.where(F.col("r") == cap + 1).isEmpty()
-            leads = rest.where(F.col("r") <= cap).groupBy("bucket").agg(F.collect_list(row).alias("leads"))
-        met = known.join(leads, "bucket").select(row.alias("p"), F.explode("leads").alias("q"))
-        met = met.where(f"p.label <> q.label AND 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)").withColumn("far", F.expr(words)).where(F.col("far") <= most)
-        pairs = met.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).agg(F.min("far").alias("far"))
-        if tested is not None:
-            pairs = pairs.join(small(tested.select("a", "b"), SMALL_ROWS), ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        left = pairs.count()
-        step += 1
-        if not left:
-            if step > 1 and not full:
-                break
-            cap *= 4 if full else 1
-            continue
-        chosen = pairs
-        if left > few:
-            # each row's nearest few; a row stands in as many pairs as other rows choose it
-            ends = pairs.select("a", "b", "far", F.explode(F.array("a", "b")).alias("end"))
-            nearest = ends.withColumn("r", F.row_number().over(Window.partitionBy("end").orderBy("far", "a", "b")))
-            chosen = nearest.where(F.col("r") <= quota).select("a", "b").distinct()
-            quota *= 16
-        seen = staged(confirm(chosen, texts, width, percent), "tested")
-        tested = seen if tested is None else tested.unionByName(seen)
-        found = seen.where("linked").select("a", "b")
-        if found.isEmpty():
-            if step > 1 and not full and seen.count() == left:
-                break  # every pair across components is tested
-            continue
-        # links between components; each new round has few of them
-        known_as = small(labels, SMALL_ROWS)
-        one, two = (known_as.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    labels = rows.select("id", "n", F.col("id").alias("label"))
+
+    def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The labels after the pairs that are links."""
+        found = staged(confirm(pairs, texts, width, percent), "tested").where("linked")
+        known = small(labels, SMALL_ROWS)
+        one, two = (known.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
         moved = components(found.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        step_to = small(moved, SMALL_ROWS).select(F.col("id").alias("label"), F.col("label").alias("next"))
-        labels = staged(labels.join(step_to, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
-    classes = firsts.join(small(labels, SMALL_ROWS).withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
+        step = small(moved, SMALL_ROWS).select(F.col("id").alias("label"), F.col("label").alias("next"))
+        return staged(labels.join(step, "label", "left").select("id", "n", F.coalesce("next", "label").alias("label")), "labels")
+
+    labels = joined(staged(near_leaders(groups.where("id <> leader"), rows, percent), "pairs"), labels)
+    for nearest in (NEAREST, None):
+        pairs = staged(across(groups, rows, labels, percent, nearest), "pairs")
+        before, labels = labels, joined(pairs.select("a", "b").distinct(), labels)
+        done = pairs.where("cut").isEmpty()  # every pair across components was confirmed or excluded
+        release(pairs, before)
+        if done:
+            break
+    classes = own.join(small(labels, SMALL_ROWS).select(F.col("id").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
     classes = staged(classes, "classes")
+    release(own, shared, groups, seen, rows, texts, labels)
     out = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     component = F.coalesce("label", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))

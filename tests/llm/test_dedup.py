@@ -1,4 +1,3 @@
-import inspect
 import re
 
 import numpy as np
@@ -135,7 +134,7 @@ def test_sketch_estimates_high_similarity():
     samples = minhash_dedup.min_hashes(values, np.array([0, 950, 1900]), 360)
     sketch = minhash_dedup.odd_sketches(samples).view(np.uint64)
     far = int(np.bitwise_count(sketch[0] ^ sketch[1]).sum())
-    assert abs(minhash_dedup.sketch_similarity(far) - 0.9) < 0.07 and far <= minhash_dedup.most_differing_bits(0.6)
+    assert abs(minhash_dedup.sketch_similarity(far) - 0.9) < 0.07
 
 
 def test_components(spark):
@@ -145,11 +144,47 @@ def test_components(spark):
     assert got == {**{i: 1 for i in (1, 2, 3, 4, 20, 21, 22, 23, 24)}, 10: 10, 11: 10, 12: 10}
 
 
-def test_sketch_bound_keeps_pairs_at_the_threshold():
-    """Odd sketches of pairs of similarity 0.8, simulated: the default bound lies 5.5 deviations or more above their mean."""
+def test_set_sketches_never_exceed_the_difference():
+    """The bound that excludes pairs: XORed bits are at most the shingles that differ, and close to them."""
     rnd = np.random.default_rng(11)
-    differing = []
-    for d in rnd.binomial(minhash_dedup.BANDS * minhash_dedup.ROWS, 0.2, 20_000):
-        differing.append(np.count_nonzero(np.bincount(rnd.integers(0, minhash_dedup.SKETCH_BITS, 2 * d), minlength=minhash_dedup.SKETCH_BITS) % 2))
-    slack = inspect.signature(minhash_dedup.link_classes).parameters["slack"].default
-    assert minhash_dedup.most_differing_bits(0.8 - slack) >= np.mean(differing) + 5.5 * np.std(differing)
+    for n, new in ((1, 0), (1, 1), (30, 4), (400, 50), (400, 399), (5000, 700)):
+        common = rnd.integers(0, 1 << 63, n - new, np.uint64)
+        sets = [np.sort(np.r_[common, rnd.integers(0, 1 << 63, new + k, np.uint64)]) for k in (0, new // 3)]
+        bounds = np.r_[0, np.cumsum([len(s) for s in sets])]
+        flat, ends = minhash_dedup.set_sketches(np.concatenate(sets), bounds)
+        one, two = (flat[a:b].view(np.uint64) for a, b in zip(ends[:-1], ends[1:], strict=True))
+        width = min(len(one), len(two))
+        differing = int(np.bitwise_count(minhash_dedup.folded(one, width) ^ minhash_dedup.folded(two, width)).sum())
+        truth = len(np.setxor1d(*sets))
+        assert differing <= truth and (truth > n / 4 or differing >= 0.85 * truth - 2)
+
+
+def edited(rnd, base, share):
+    return [f"e{rnd.integers(1 << 40)}" if rnd.random() < share else w for w in base]
+
+
+@pytest.mark.parametrize(("rows", "nearest"), [(1_000, 3), (7, 1)])
+def test_group_at_the_threshold_equals_brute_force(spark, monkeypatch, rows, nearest):
+    """Near copies of one text with similarities around 0.8: every link counts, whatever the cells' size."""
+    monkeypatch.setattr(minhash_dedup, "CELL_ROWS", rows)
+    monkeypatch.setattr(minhash_dedup, "NEAREST", nearest)
+    monkeypatch.setattr(minhash_dedup, "SMALL_ROWS", 0 if nearest == 1 else 500_000)
+    rnd = np.random.default_rng(rows)
+    docs = []
+    for length in (40, 200):
+        base = [f"w{k}" for k in range(length)]
+        docs += [" ".join(edited(rnd, base, rnd.choice([0.01, 0.05, 0.06, 0.07, 0.12]))) for _ in range(60)]
+    data = [(int(i), t) for i, t in zip(rnd.permutation(10_000), docs, strict=False)]
+    expected = classes(data, 2)
+    assert 20 < sum(kept for _, _, kept in expected.values()) < 110
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.link_classes(df).collect()}
+    assert got == expected
+
+
+def test_long_texts_link(spark):
+    rnd = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(60_000)]
+    data = [(3, " ".join(base)), (1, " ".join(edited(rnd, base, 0.05))), (2, " ".join(edited(rnd, base, 0.2))), (4, "short " * 50_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.link_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: x[:2] for i, x in classes(data, 2).items()} and got[3][1] == 1 and got[2][1] == 2
