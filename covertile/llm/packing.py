@@ -18,15 +18,15 @@ an empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import segment_arange, staged
+from .common import flat_bytes, give_back, in_arrow, lowered, row_chunks, segment_arange, staged
 from .merges import PairTable, merge_rounds
 
 CAPACITY, GRAIN, END_ID = 2048, 32, 1
@@ -36,12 +36,11 @@ CAPACITY, GRAIN, END_ID = 2048, 32, 1
 class WordTokenizer:
     """The tokenizer file's ids, with merges done for many words at once where that is certain to agree.
 
-    Chunks of printable ASCII and Latin letters need no Unicode rules beyond lower case: they are
-    split by the file's pattern and merged in rounds.  All other chunks go to the library.
+    Words of printable ASCII and of Latin-1's two-byte letters need no Unicode rules beyond lower case: they are cut
+    by the file's pattern and merged in rounds, all in flat byte arrays.  Other words, and those with an
+    apostrophe (contractions), go to the library.
     """
 
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
@@ -63,34 +62,50 @@ class WordTokenizer:
                 keys.append(vocab[a] * base + vocab[b])
                 ids.append(vocab[a + b])
             self.pairs = PairTable(base, np.array(keys, np.int64), np.array(ids, np.int64), np.arange(len(keys)))
-
-    def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of chunks without ASCII white space, and their offsets."""
-        plain = [k for k, c in enumerate(chunks) if self.plain and self.PLAIN.fullmatch(c)]
-        out_ids, out_chunk = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if plain:
-            parts, owner = [], []
-            for k in plain:
-                found = self.PARTS.findall(chunks[k].lower())
-                parts += found
-                owner += [k] * len(found)
-            coded = [p.encode() for p in parts]
-            lens = np.array([len(c) for c in coded], np.int64)
-            raw = np.frombuffer(b"".join(coded), np.uint8)
-            sym = self.inner[raw]
-            last = np.cumsum(lens) - 1
-            sym[last] = self.final[raw[last]]
-            sym, _, word = merge_rounds(sym, np.repeat(np.arange(len(parts)), lens), self.pairs)
+        del spec, vocab
+        give_back()
+
+    def parts(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Parts of words without ASCII white space, which parts are whole words for the library, and the parts before each word."""
+        raw, offsets = flat_bytes(words)
+        owner = np.repeat(np.arange(len(words)), np.diff(offsets))
+        lead = raw == 0xC3  # of U+00C0 to U+00FF; two of them are no letters
+        second = np.r_[False, lead[:-1]][: len(raw)]
+        high = second & (raw != 0x97) & (raw != 0xB7)
+        known = ((raw > 32) & (raw < 127) & (raw != 39)) | lead | high
+        other = np.zeros(len(words), bool)
+        other[owner[~known] if self.plain else slice(None)] = True
+        mine = ~other[owner]
+        low = lowered(raw)
+        low[high & (raw < 0x9F)] += 32
+        low[~mine] = raw[~mine]
+        kind = np.where(lead | high | ((low >= 97) & (low <= 122)), 0, np.where((low >= 48) & (low <= 57), 1, 2))
+        new_word = np.r_[True, owner[1:] != owner[:-1]][: len(raw)]
+        begins = new_word | (mine & np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 1)][: len(raw)])
+        first = np.flatnonzero(begins)
+        parts = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[first, len(low)].astype(np.int32)), pa.py_buffer(low)])
+        return parts, other[owner[first]], np.searchsorted(owner[first], np.arange(len(words) + 1))
+
+    def merged(self, parts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of parts, and their offsets."""
+        raw, offsets = flat_bytes(parts)
+        owner = np.repeat(np.arange(len(parts)), np.diff(offsets))
+        mine = ~whole[owner]
+        low, at = raw[mine], owner[mine]
+        out_ids, out_part = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(low):
+            last = np.r_[at[1:] != at[:-1], True]
+            sym, _, part = merge_rounds(np.where(last, self.final[low], self.inner[low]), at, self.pairs)
             out_ids.append(sym)
-            out_chunk.append(np.array(owner, np.int64)[word])
-        rest = sorted(set(range(len(chunks))).difference(plain))
-        if rest:
-            got = [e.ids for e in self.library.encode_batch([chunks[k] for k in rest], add_special_tokens=False)]
+            out_part.append(part)
+        rest = np.flatnonzero(whole)
+        if len(rest):
+            got = [e.ids for e in self.library.encode_batch([parts[k].as_py().decode() for k in rest], add_special_tokens=False)]
             out_ids.append(np.array([i for ids in got for i in ids], np.int64))
-            out_chunk.append(np.repeat(np.array(rest, np.int64), [len(x) for x in got]))
-        ids, chunk = np.concatenate(out_ids), np.concatenate(out_chunk)
-        by = np.argsort(chunk, kind="stable")
-        return ids[by], np.searchsorted(chunk[by], np.arange(len(chunks) + 1))
+            out_part.append(np.repeat(rest, [len(x) for x in got]))
+        ids, part = np.concatenate(out_ids), np.concatenate(out_part)
+        by = np.argsort(part, kind="stable")
+        return ids[by], np.searchsorted(part[by], np.arange(len(parts) + 1))
 
 
 def byte_letters() -> list[str]:
@@ -105,61 +120,69 @@ def load_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def gathered(flat: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``codes`` of a flat list of rows, one after the other, and their offsets."""
+    begin, count = ends[codes], ends[codes + 1] - ends[codes]
+    return flat[np.repeat(begin, count) + segment_arange(count)], np.r_[0, np.cumsum(count)]
+
+
 class WordEncoder:
-    """Ids of whole texts from a memo of chunks between ASCII white space.
+    """Ids of whole texts from a memo of the parts of words between ASCII white space.
 
-    The tokenizer drops white space and never crosses it, so a text's ids are those of its chunks in
+    The tokenizer drops white space and never crosses it, so a text's ids are those of its words in
     order.  Texts that hold special-token strings go to the library whole.
     """
 
-    SPLIT = re.compile(r"[^ \t-\r]+").findall
-
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 150_000):
         self.tokenizer, self.memo = load_tokenizer(path), memo
-        self.whole = re.compile("|".join(map(re.escape, self.tokenizer.special)) or r"(?!)")
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict[bytes, int] = {}
         self.flat, self.ends, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
-    def _learn(self, words: list[str]) -> None:
-        ids, offsets = self.tokenizer.chunks(words)
+    def _learn(self, parts: pa.Array, whole: np.ndarray, names: list[bytes]) -> None:
+        ids, offsets = self.tokenizer.merged(parts, whole)
         n = len(self.code)
         while self.held + len(ids) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while n + 1 + len(words) > len(self.ends):
+        while n + 1 + len(parts) > len(self.ends):
             self.ends = np.r_[self.ends, np.zeros_like(self.ends)]
         self.flat[self.held : self.held + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(words)] = self.held + offsets[1:]
+        self.ends[n + 1 : n + 1 + len(parts)] = self.held + offsets[1:]
         self.held += len(ids)
-        self.code.update(zip(words, range(n, n + len(words)), strict=True))
+        self.code.update(zip(names, range(n, n + len(parts)), strict=True))
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array, block: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the offsets of the texts in them; ``block`` new parts are in work at a time."""
         if len(self.code) > self.memo:
             self.clear()
-        words, counts, whole = [], [], {}
-        for k, t in enumerate(texts):
-            had = len(words)
-            if t and self.whole.search(t):
-                whole[k] = np.array(self.tokenizer.library.encode(t, add_special_tokens=False).ids, np.uint32)
-            elif t:
-                words += self.SPLIT(t)
-            counts.append(len(words) - had)
-        fresh, size, part = set(words).difference(self.code), 0, []
-        for w in fresh:
-            part.append(w)
-            size += len(w)
-            if size > 500_000:
-                self._learn(part)
-                part, size = [], 0
-        if part:
-            self._learn(part)
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        begin, count = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
-        flat = self.flat[np.repeat(begin, count) + segment_arange(count)]
-        ends = np.r_[0, np.cumsum(count)][np.cumsum(counts)].astype(int) if texts else []
-        return [whole.get(k, ids) for k, ids in enumerate(np.split(flat, ends)[: len(texts)])]
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), bool)
+        for mark in self.tokenizer.special:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        words, bounds = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
+        parts, alone, within = self.tokenizer.parts(words.dictionary)
+        coded = parts.dictionary_encode()
+        place, parts = coded.indices.to_numpy(), coded.dictionary
+        library = np.zeros(len(parts), bool)
+        library[place[alone]] = True
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        fresh = np.array([k for k, p in enumerate(names) if p not in self.code], np.int64)
+        for at in range(0, len(fresh), block):
+            some = fresh[at : at + block]
+            self._learn(parts.take(pa.array(some)), library[some], [names[k] for k in some])
+        codes = np.array([self.code[p] for p in names], np.int64)[place]
+        ids, ends = gathered(self.flat, self.ends, codes)
+        flat, ends = gathered(ids, ends[within], words.indices.to_numpy())
+        ends = ends[bounds - bounds[0]]
+        if whole.any():
+            rows = np.split(flat, ends[1:-1])
+            for k in np.flatnonzero(whole):
+                rows[k] = np.array(self.tokenizer.library.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, np.uint32)
+            flat, ends = np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
+        return flat, ends
 
 
 def cut(n: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
@@ -169,27 +192,36 @@ def cut(n: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
     return [capacity] * full + [x for x in (body, rest - body) if x]
 
 
-def tokenised_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, grain: int = GRAIN, chunk: int = 500) -> DataFrame:
+def cuts(sizes: np.ndarray, capacity: int = CAPACITY, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``cut`` of many documents at once: each piece's document, start and length."""
+    full, rest = sizes // capacity, sizes % capacity
+    tail = rest % grain
+    pieces = full + (rest > tail) + (tail > 0)
+    owner = np.repeat(np.arange(len(sizes)), pieces)
+    place = segment_arange(pieces)
+    body = rest - tail
+    length = np.where(place < full[owner], capacity, np.where((place == full[owner]) & (body[owner] > 0), body[owner], tail[owner]))
+    start = np.where(place <= full[owner], place * capacity, full[owner] * capacity + body[owner])
+    return owner, start, length
+
+
+def tokenised_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, grain: int = GRAIN, chunk_bytes: int = 2_000_000) -> DataFrame:
     """``key, start, length, doc_tokens, tokens`` with a row per piece; tokens are little-endian unsigned 32-bit ids."""
 
     def work(batches):
         encoder = WordEncoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, chunk):
-                part = batch.slice(at, chunk)
-                keys, rows = [], []
-                for k, ids in enumerate(encoder(part.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    start = 0
-                    for size in cut(len(ids), capacity, grain):
-                        keys.append(k)
-                        rows.append((start, size, len(ids), ids[start : start + size].tobytes()))
-                        start += size
-                a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keys, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], [key, "start", "length", "doc_tokens", "tokens"])
+            for a, b in row_chunks(flat_bytes(batch.column(1))[1], chunk_bytes):
+                ids, ends = encoder(batch.column(1)[a:b])
+                sizes = np.diff(ends) + 1
+                marked = np.full(len(ids) + b - a, END_ID, "<u4")
+                marked[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(ends))] = ids
+                owner, start, length = cuts(sizes, capacity, grain)
+                tokens = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer((4 * np.r_[0, np.cumsum(length)]).astype(np.int32)), pa.py_buffer(marked)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(sizes[owner]), tokens], [key, "start", "length", "doc_tokens", "tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(work, f"`{key}` {kind}, start long, length long, doc_tokens long, tokens binary")
+    return in_arrow(df.select(key, text), work, f"`{key}` {kind}, start long, length long, doc_tokens long, tokens binary")
 
 
 # ---- the plan, on the driver, from a histogram of bounded size ------------------------------

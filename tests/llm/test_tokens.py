@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from covertile.llm import packing, queries, sentence_pieces
@@ -31,8 +32,19 @@ def test_pieces_equal_library(texts):
 def test_words_equal_library(texts):
     encoder = packing.WordEncoder(WORD)
     want = encoder.tokenizer.library.encode_batch([t or "" for t in texts], add_special_tokens=False)
-    for t, got, w in zip(texts, encoder(texts), want, strict=True):
-        assert got.tolist() == w.ids, repr(t)
+    ids, ends = encoder(pa.array(texts))
+    for k, (t, w) in enumerate(zip(texts, want, strict=True)):
+        assert ids[ends[k] : ends[k + 1]].tolist() == w.ids, repr(t)
+    encoder.memo = 0  # emptied, with one word at a time
+    again = encoder(pa.array(texts[:300]), block=1)
+    assert np.array_equal(again[0], ids[: ends[300]]) and np.array_equal(again[1], ends[:301])
+
+
+def test_cuts_equal_cut():
+    sizes = np.r_[1:5000:7, 2048, 4096, 4128, 4129]
+    owner, start, length = packing.cuts(sizes)
+    for k, n in enumerate(sizes.tolist()):
+        assert length[owner == k].tolist() == packing.cut(n) and start[owner == k].tolist() == np.r_[0, np.cumsum(packing.cut(n))][:-1].tolist()
 
 
 def test_memo_is_emptied_without_effect(texts):
