@@ -6,8 +6,8 @@ one list per query; the lists of all tasks are merged as a tree of two levels: p
 ``fan`` branches, then per query.
 
 Components become ``floor(scale * x)`` with x as a double, so scores are exact integers and ties are
-real: they go to the smaller id.  Null ids, null vectors, null or non-finite components and vectors of another
-length than the queries' take no part.
+real: they go to the smaller id.  Vectors meet vectors of their own length only.  Null ids, null vectors and null or
+non-finite components take no part.  Scores beyond 64 bits are held at the ends of the range.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """``key, v array<bigint>`` of the vectors that take part."""
@@ -26,6 +28,17 @@ def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     return df.where(whole).selectExpr(key, f"transform({vector}, x -> floor({scale} * double(x))) AS v")
 
 
+NOTHING = np.iinfo(np.int64).min
+
+
+def inner_products(q: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Exact integer products of long matrices: in doubles where every sum stays below 2**53, else with whole numbers of any size."""
+    most = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    if most(q) * most(block) * max(1, q.shape[1]) < 2**53:
+        return q.astype(np.float64) @ block.astype(np.float64)
+    return np.clip(q.astype(object) @ block.astype(object), NOTHING + 1, np.iinfo(np.int64).max).astype(np.int64)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row, ties to the smaller id: partial selection by score, then all ties of the last place."""
     n = scores.shape[1]
@@ -33,7 +46,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         last = np.partition(scores, n - k, axis=1)[:, n - k][:, None]
         at = np.flatnonzero((scores >= last).any(axis=0))
         scores, ids = scores[:, at], ids[:, at]
-    by = np.lexsort((ids, -scores), axis=1)[:, :k]
+    by = np.lexsort((ids, ~scores), axis=1)[:, :k]
     return np.take_along_axis(scores, by, 1), np.take_along_axis(ids, by, 1)
 
 
@@ -53,41 +66,44 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", v
         if not part.num_rows and number:
             continue
         ids = part.column(key).to_numpy().astype(np.int64)
-        dims = part.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if part.num_rows else np.zeros(0, int)
-        dim = int(dims.max()) if len(dims) else 0
-        if len(dims) and (dims != dim).any():
-            raise ValueError("query vectors differ in length")
-        flat = part.column("v").combine_chunks().flatten().to_numpy().astype(np.float64) if part.num_rows else np.zeros(0)
-        shared = spark.sparkContext.broadcast((ids, flat.reshape(len(ids), dim)))
-
-        def work(batches, shared=shared, dim=dim):
-            qid, q = shared.value
-            n = len(qid)
-            top_s = np.full((n, k), -np.inf)
-            top_i = np.full((n, k), np.iinfo(np.int64).max)
+        lists = part.column("v").combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.int64()))
+        dims = lists.value_lengths().to_numpy(zero_copy_only=False)
+        by_length = {}
+        for dim in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == dim)
+            by_length[dim] = ids[own], lists.take(pa.array(own)).flatten().to_numpy().reshape(len(own), dim)
+        shared = spark.sparkContext.broadcast(by_length)
+
+        def work(batches, shared=shared):
+            tops = {dim: (np.full((len(qid), k), NOTHING), np.full((len(qid), k), np.iinfo(np.int64).max)) for dim, (qid, _) in shared.value.items()}
             for batch in batches:
                 lists = batch.column(1)
-                fits = np.flatnonzero(lists.value_lengths().to_numpy(zero_copy_only=False) == dim) if n else np.zeros(0, int)
-                for a in range(0, len(fits), tile):
-                    at = pa.array(fits[a : a + tile])
-                    ids = batch.column(0).take(at).to_numpy(zero_copy_only=False).astype(np.int64)
-                    block = lists.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim).T
-                    for b in range(0, n, tile_queries):
-                        scores = q[b : b + tile_queries] @ block
-                        scores[qid[b : b + tile_queries, None] == ids[None, :]] = -np.inf
-                        # only queries with a score that can enter their list
-                        hot = np.flatnonzero((scores >= top_s[b : b + tile_queries, -1:]).any(axis=1) & (scores > -np.inf).any(axis=1))
-                        if not len(hot):
-                            continue
-                        s, i = _best(scores[hot], np.broadcast_to(ids, (len(hot), len(ids))), k)
-                        hot += b
-                        top_s[hot], top_i[hot] = _best(np.concatenate([top_s[hot], s], 1), np.concatenate([top_i[hot], i], 1), k)
-            r, c = np.nonzero(top_s > -np.inf)
-            for a in range(0, len(r), 50_000):
-                rr, cc = r[a : a + 50_000], c[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rr]), pa.array(top_i[rr, cc]), pa.array(top_s[rr, cc].astype(np.int64))], ["query_id", key, "score"])
-
-        lists = rows.mapInArrow(work, f"query_id long, `{key}` long, score long")
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+                for dim, (qid, q) in shared.value.items():
+                    top_s, top_i = tops[dim]
+                    fits = np.flatnonzero(sizes == dim)
+                    for a in range(0, len(fits), tile):
+                        at = pa.array(fits[a : a + tile])
+                        ids = batch.column(0).take(at).to_numpy(zero_copy_only=False).astype(np.int64)
+                        block = lists.take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim).T
+                        for b in range(0, len(qid), tile_queries):
+                            scores = inner_products(q[b : b + tile_queries], block)
+                            other = qid[b : b + tile_queries, None] != ids[None, :]
+                            # only queries with a score that can enter their list
+                            hot = np.flatnonzero(((scores >= top_s[b : b + tile_queries, -1:]) & other).any(axis=1))
+                            if not len(hot):
+                                continue
+                            s, i = _best(np.where(other[hot], scores[hot].astype(np.int64), NOTHING), np.broadcast_to(ids, (len(hot), len(ids))), k)
+                            hot += b
+                            top_s[hot], top_i[hot] = _best(np.concatenate([top_s[hot], s], 1), np.concatenate([top_i[hot], i], 1), k)
+            for dim, (qid, _) in shared.value.items():
+                top_s, top_i = tops[dim]
+                r, c = np.nonzero(top_s > NOTHING)
+                for a in range(0, len(r), 50_000):
+                    rr, cc = r[a : a + 50_000], c[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[rr]), pa.array(top_i[rr, cc]), pa.array(top_s[rr, cc])], ["query_id", key, "score"])
+
+        lists = in_arrow(rows, work, f"query_id long, `{key}` long, score long")
         out = lists if out is None else out.unionByName(lists)
     best = F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col(key)).alias("minus"))), asc=False), 1, k)
     level = out.groupBy("query_id", F.pmod(F.spark_partition_id(), F.lit(fan)).alias("branch")).agg(best.alias("top"))

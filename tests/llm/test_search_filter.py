@@ -34,6 +34,21 @@ def test_search_with_few_or_no_rows(spark):
     assert search(df.where("vec_id < 0")) == set() and search(df.where("vec_id = 3")) == set()
 
 
+def test_vectors_of_several_lengths_and_large_components(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rnd.integers(-9, 9, 2 + i % 3)]) for i in range(40)]
+    rows += [(60 + i, [float(np.float32(x)) for x in rnd.normal(0, 1e6, 2)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    ok = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in ok if i % 3 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=True)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:5]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
+    assert search(df) == want
+    far = spark.createDataFrame([(0, [1e30, 1e30]), (3, [1e30, -1.0]), (6, [-1e30, 1.0])], df.schema)
+    assert sorted(search(far))[:2] == [(0, 1, 3, 2**63 - 1), (0, 2, 6, 1 - 2**63)]
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 URLS = [
     None, "", "no scheme", "http://", "http://COM", "http://com/", "https://Www.Example.COM/en/x?y#z", "http://a.example.com/en/1", "http://example.com/EN/", "http://notexample.com/en/", "http://x.net/es/", "http://x.net/fr", "http://net/fr/?q",
