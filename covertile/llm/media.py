@@ -5,7 +5,8 @@ samples, zlib data, CRC of every chunk).  ``perceptual_hash`` is the sign patter
 frequencies of a two-dimensional cosine transform of the image averaged down to 32 x 32.
 
 Defined results: null and empty texts become one row of spaces; equal texts give equal files and
-features; a damaged file gives a null payload and an ``error`` text instead of a failure.
+features; a damaged or empty file gives a null payload and an ``error`` text instead of a failure; ``read_media``
+adds columns ``payload``, ``feature`` and ``error``, which its input must not hold.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import flat_bytes, row_chunks
+from .common import flat_bytes, in_arrow, row_chunks
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ROW_BYTES = 192
@@ -52,20 +53,31 @@ def encode_png(samples: np.ndarray, colour: int = 2, level: int = 6) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filter_rows(samples, pixel).tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def _paeth(left: int, up: int, corner: int) -> int:
-    guess = left + up - corner
-    by = (abs(guess - left), abs(guess - up), abs(guess - corner))
-    return (left, up, corner)[by.index(min(by))]
+def _unfilter_wave(rows: np.ndarray, above: np.ndarray, kinds: np.ndarray, pixel: int) -> np.ndarray:
+    """Rows of the two kinds that need left, upper and corner samples: all pixels of a diagonal at once."""
+    high, wide = len(rows), rows.shape[1] // pixel
+    work = np.zeros((high + 1, wide + 1, pixel), np.int32)
+    work[0, 1:], work[1:, 1:] = above.reshape(wide, pixel), rows.reshape(high, wide, pixel)
+    for d in range(high + wide - 1):
+        y = np.arange(max(0, d - wide + 1), min(high, d + 1))
+        x = d - y
+        left, up, corner = work[y + 1, x], work[y, x + 1], work[y, x]
+        by_left, by_up, by_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        nearest = np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
+        guess = np.where(kinds[y, None] == 3, (left + up) >> 1, nearest)
+        work[y + 1, x + 1] = (work[y + 1, x + 1] + guess) & 255
+    return work[1:, 1:].reshape(high, -1).astype(np.uint8)
 
 
 def unfilter(rows: np.ndarray, kinds: np.ndarray, pixel: int) -> np.ndarray:
     """Samples of filtered rows.  Runs of rows without filter are copied, runs of "up" rows are a running
     sum down the columns, "left" rows a running sum along the row; the two kinds that depend on both
-    neighbours go sample by sample."""
+    neighbours go diagonal by diagonal."""
     if kinds.size and kinds.max() > 4:
         raise MediaError("unknown filter")
     out = rows.copy()
-    bounds = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]]).tolist() + [len(kinds)]
+    kind_of = np.minimum(kinds, 3)
+    bounds = np.flatnonzero(np.r_[True, kind_of[1:] != kind_of[:-1]]).tolist() + [len(kinds)]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         kind = kinds[a]
         if kind == 1:
@@ -76,12 +88,7 @@ def unfilter(rows: np.ndarray, kinds: np.ndarray, pixel: int) -> np.ndarray:
                 out[a] += out[a - 1]
             np.cumsum(out[a:b], axis=0, out=out[a:b], dtype=np.uint8)
         elif kind > 2:
-            for y in range(a, b):
-                row, above = out[y].tolist(), (out[y - 1].tolist() if y else [0] * rows.shape[1])
-                for x in range(len(row)):
-                    left, corner = (row[x - pixel], above[x - pixel]) if x >= pixel else (0, 0)
-                    row[x] = (row[x] + ((left + above[x]) // 2 if kind == 3 else _paeth(left, above[x], corner))) & 255
-                out[y] = row
+            out[a:b] = _unfilter_wave(rows[a:b], out[a - 1] if a else np.zeros_like(rows[0]), kinds[a:b], pixel)
     return out
 
 
@@ -101,14 +108,18 @@ def decode_png(data: bytes, most_bytes: int = 1 << 31) -> tuple[np.ndarray, int]
             raise MediaError("checksum")
         at += 12 + size
         if kind == b"IHDR":
+            if size != 13:
+                raise MediaError("header")
             head = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
             body.append(part)
         elif kind == b"IEND":
             break
-    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
+    if head is None or head[2] != 8 or head[3] not in CHANNELS or any(head[4:]):
         raise MediaError("unsupported form")
     width, height, colour = head[0], head[1], head[3]
+    if not width or not height:
+        raise MediaError("no samples")
     row = width * CHANNELS[colour]
     if (row + 1) * height > most_bytes:
         raise MediaError("too large")
@@ -117,7 +128,7 @@ def decode_png(data: bytes, most_bytes: int = 1 << 31) -> tuple[np.ndarray, int]
         raw = reader.decompress(b"".join(body), (row + 1) * height + 1)
     except zlib.error as e:
         raise MediaError("zlib") from e
-    if len(raw) != (row + 1) * height:
+    if len(raw) != (row + 1) * height or not reader.eof:
         raise MediaError("size")
     rows = np.frombuffer(raw, np.uint8).reshape(height, row + 1)
     return unfilter(rows[:, 1:], rows[:, 0], CHANNELS[colour]), colour
@@ -168,7 +179,7 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", level: i
                 files = [encode_png(np.frombuffer(payload(data[offsets[k] : offsets[k + 1]].tobytes()), np.uint8).reshape(-1, ROW_BYTES), 2, level) for k in range(a, b)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(offsets[a : b + 1])), pa.array(files, pa.binary())], [key, "n_bytes", "media"])
 
-    return df.select(key, text).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return in_arrow(df.select(key, text), work, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def read_media(df: DataFrame, media: str = "media", chunk_bytes: int = 4_000_000) -> DataFrame:
@@ -192,4 +203,4 @@ def read_media(df: DataFrame, media: str = "media", chunk_bytes: int = 4_000_000
                 kinds = (pa.binary(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], [*part.schema.names, "payload", "feature", "error"])
 
-    return df.mapInArrow(work, schema)
+    return in_arrow(df, work, schema)

@@ -8,13 +8,17 @@ import pytest
 from covertile.llm import media
 
 
+def nearest(left, up, corner):
+    return min((abs(up - corner), 0, left), (abs(left - corner), 1, up), (abs(left + up - 2 * corner), 2, corner))[2]
+
+
 def filtered(samples, kinds, pixel):
     """A PNG with the given filter per row, made sample by sample."""
     rows = []
     for y, kind in enumerate(kinds):
         row, up = samples[y].astype(int), samples[y - 1].astype(int) if y else np.zeros(samples.shape[1], int)
         left, corner = np.r_[np.zeros(pixel, int), row[:-pixel]], np.r_[np.zeros(pixel, int), up[:-pixel]]
-        guess = [0 * row, left, up, (left + up) // 2, np.array([media._paeth(a, b, c) for a, b, c in zip(left, up, corner, strict=True)])][kind]
+        guess = [0 * row, left, up, (left + up) // 2, np.array([nearest(a, b, c) for a, b, c in zip(left, up, corner, strict=True)])][kind]
         rows.append(bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes())
     head = struct.pack(">IIBBBBB", samples.shape[1] // pixel, len(samples), 8, {1: 0, 3: 2, 4: 6}[pixel], 0, 0, 0)
     return media.SIGNATURE + media._chunk(b"IHDR", head) + media._chunk(b"tEXt", b"x") + media._chunk(b"IDAT", zlib.compress(b"".join(rows))) + media._chunk(b"IEND", b"")
@@ -59,3 +63,32 @@ def test_texts(spark):
     assert media.store_texts(df.limit(0)).count() == 0
     broken = spark.createDataFrame([(1, b"junk"), (2, None)], "id int, media binary")
     assert [r["error"] for r in media.read_media(broken).orderBy("id").collect()] == ["no signature", "no signature"]
+
+
+def chunked(head, body):
+    return media.SIGNATURE + media._chunk(b"IHDR", head) + media._chunk(b"IDAT", body) + media._chunk(b"IEND", b"")
+
+
+def test_malformed_files_give_an_error_row(spark):
+    form = lambda width, height, *rest: struct.pack(">IIBBBBB", width, height, *(rest or (8, 2, 0, 0, 0)))
+    whole = zlib.compress(bytes(193))
+    files = [None, b"", b"x", chunked(form(0, 0), zlib.compress(b"")), chunked(form(0, 2), zlib.compress(b"\0\0")), chunked(b"short", whole), chunked(form(64, 1), whole[:-4]), chunked(form(64, 1), whole[:-1] + b"?"), chunked(form(64, 1), b""), chunked(form(64, 1, 8, 2, 1, 0, 0), whole), chunked(form(64, 2), whole)]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate([*files, chunked(form(64, 1), whole)])], "doc_id long, media binary")
+    rows = {r["doc_id"]: r for r in media.read_media(df).collect()}
+    assert all(rows[i]["payload"] is None and rows[i]["feature"] is None and rows[i]["error"] for i in range(len(files)))
+    assert rows[len(files)]["error"] is None and bytes(rows[len(files)]["payload"]) == bytes(192)
+    assert media.read_media(df.limit(0)).count() == 0
+
+
+def test_all_filters_equal_a_loop():
+    rnd = np.random.default_rng(5)
+    for pixel, width, height in ((3, 5, 9), (1, 7, 4), (4, 1, 6)):
+        rows = rnd.integers(0, 256, (height, width * pixel)).astype(np.uint8)
+        kinds = rnd.integers(0, 5, height).astype(np.uint8)
+        kinds[:3] = 4, 3, 4
+        want = np.zeros((height + 1, width * pixel + pixel), int)
+        for y in range(height):
+            for x in range(width * pixel):
+                left, up, corner = want[y + 1, x], want[y, x + pixel], want[y, x]
+                want[y + 1, x + pixel] = (int(rows[y, x]) + (0, left, up, (left + up) // 2, nearest(left, up, corner))[kinds[y]]) % 256
+        assert np.array_equal(media.unfilter(rows, kinds, pixel), want[1:, pixel:])
