@@ -14,8 +14,8 @@ templates, some hundreds of rows whatever the corpus), and only grams that have
 paragraph.  A paragraph without any is ordinary text.
 
 Defined results: null and empty texts have no licence; repeated paragraphs count each; rows
-with a null id get no findings; ties between
-families go to the first in alphabetical order.
+with a null id get no findings; rows that share an id are judged one by one, and each row of the id gets what was found
+in all of them; ties between families go to the first in alphabetical order.
 """
 
 from __future__ import annotations
@@ -124,13 +124,14 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", sure: float = 0
     weights, bias = model()
     table = spark.createDataFrame([(g, *w) for g, w in weights.items()], "gram string, " + ", ".join(f"w{c} int" for c in range(len(CLASSES))))
     plain = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = df.select(key, F.posexplode(F.split(plain, "\n")).alias("line", "body"))
+    # rows that share an id are told apart
+    lines = df.select(key, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(plain, "\n")).alias("line", "body"))
     # a generator keeps the words of a line as a column; otherwise every use would extract them again
     found = F.expr(f"array(regexp_extract_all(body, '{TOKEN}', 0))")
-    words = lines.select(key, "line", F.explode(found).alias("words")).where(F.size("words") > 0)
+    words = lines.select(key, "_row", "line", F.explode(found).alias("words")).where(F.size("words") > 0)
     both = F.expr("array_distinct(concat(words, zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words)), (a, b) -> concat(a, ' ', b))))")
-    hits = words.select(key, "line", "words", F.explode(both).alias("gram")).join(F.broadcast(table), "gram")
-    sums = hits.groupBy(key, "line").agg(F.first("words").alias("words"), *(F.sum(f"w{c}").cast("long").alias(f"t{c}") for c in range(len(CLASSES))))
+    hits = words.select(key, "_row", "line", "words", F.explode(both).alias("gram")).join(F.broadcast(table), "gram")
+    sums = hits.groupBy(key, "_row", "line").agg(F.first("words").alias("words"), *(F.sum(f"w{c}").cast("long").alias(f"t{c}") for c in range(len(CLASSES))))
     sums = sums.select(key, "line", "words", *((F.col(f"t{c}") + bias[c]).alias(f"s{c}") for c in range(len(CLASSES))))
     # generators again: the two maxima and the class are columns, not expressions copied into every use
     cols = [f"s{c}" for c in range(len(CLASSES))]

@@ -10,19 +10,20 @@ from covertile.llm.common import flat_bytes
 ODD = [(0, None), (1, ""), (2, " \n\n "), (3, "x"), (4, "x"), (5, "word " * 30_000), (6, "漢字 é ü"), (7, "!!! ### $$$")]
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op6_quality", "quality", 0.9), ("op10_toxicity", "toxic", 0.85)])
-def test_held_out_accuracy(spark, sf, name, label, least):
+def test_held_out_quality(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
-    scored = queries.QUERIES[name](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
-    fold = {"op6_quality": (4, 2), "op10_toxicity": (5, 0)}[name]
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % fold[0] == fold[1]) and 0 <= r["score"] <= 1 for r in scored)
+    scored = queries.QUERIES["op6_quality"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in scored)
     held = [r for r in scored if r["held_out"]]
-    assert np.mean([r["predicted"] == r[label] for r in held]) >= least
+    for label in (0, 1):
+        assert np.mean([r["predicted"] == label for r in held if r["quality"] == label]) >= 0.9
 
 
 def test_toxic_documents_are_recalled_and_ordinary_ones_left(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
-    held = queries.QUERIES["op10_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    scored = queries.QUERIES["op10_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in scored)
+    held = [r for r in scored if r["held_out"]]
     caught, alarms = (np.mean([r["predicted"] for r in held if r["toxic"] == c]) for c in (1, 0))
     ranked = np.mean([[x["score"] > y["score"] for y in held if y["toxic"] == 0] for x in held if x["toxic"] == 1])
     assert caught >= 0.5 and alarms <= 0.05 and ranked >= 0.9, (caught, alarms, ranked)
@@ -133,3 +134,39 @@ def test_licences(spark):
     rows = {r["doc_id"]: r for r in licenses.by_document(df).collect()}
     assert len(rows) == len(texts) and rows[0]["families"] == "" and rows[2]["families"] == "apache,cc-by,cc-by-nc,gpl,mit" and rows[2]["n_unknown"] == 2
     assert licenses.by_document(df.limit(0)).count() == 0
+
+
+def test_licences_of_rows_that_share_an_id(spark):
+    texts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", None]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string").repartition(2)
+    rows = [tuple(r) for r in licenses.by_document(df).collect()]
+    assert rows == [(1, "apache,mit", 3, 0, 0)] * 4
+
+
+def test_of_several_labels_the_least_counts(spark):
+    docs = spark.createDataFrame([(i, f"{'good words here ' * (i % 5 + 1)}{i}") for i in range(40)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(40)]
+    one = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    two = quality.fit(docs, spark.createDataFrame([*labels, *((i, 1) for i in range(40))], "doc_id long, quality int").repartition(5))
+    assert [r["score"] for r in quality.score(docs, one).orderBy("doc_id").collect()] == [r["score"] for r in quality.score(docs, two).orderBy("doc_id").collect()]
+
+
+def test_class_probabilities_sum_to_one():
+    """Exact Kneser-Ney sums: after a context that both classes know, the shares of all bytes that can follow add up to one."""
+    texts = pa.array(["abab abba", "abab baab abc", "cccc abcd", "dddd abd"])
+    data, starts, ends, _ = toxicity.words_of(texts)
+    flat, begin = toxicity.marked(data, starts, ends)
+    models = toxicity.SpellingModels(flat, begin, np.tile([2, 1], (len(starts), 1)))
+    context = np.frombuffer(bytes([toxicity.START]) + b"ab", np.uint8)
+    tries = [np.r_[context, np.uint8(b)] for b in range(256)]
+    flat = np.concatenate(tries)
+    at = np.arange(256) * 4 + 3
+    hashed = toxicity.RangeHash(flat)
+    p = np.full(256, 1 / 256)
+    for n in range(toxicity.ORDER - 1):
+        if n < 3:
+            count, known = models.low[n]
+            p = models._mixed(count(hashed(at - n, at + 1)), known(hashed(at - n, at)), p, toxicity.SHARED_DISCOUNTS)
+            assert p.sum() == pytest.approx(1)
+    for count, known in models.full:
+        assert models._mixed(count(hashed(at - 3, at + 1)), known(hashed(at - 3, at)), p, toxicity.CLASS_DISCOUNTS).sum() == pytest.approx(1)

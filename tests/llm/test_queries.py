@@ -1,12 +1,99 @@
+import hashlib
 import sys
+import zlib
+from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from compare import same, views
 
-from covertile.llm.queries import ORACLE_SQL, QUERIES
+from covertile.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
+
+
+@pytest.fixture(scope="module")
+def documents(tmp_path_factory):
+    """A folder with a ``documents`` table of odd, repeated and long texts."""
+    rnd = np.random.default_rng(4)
+    shared = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "übung"], 40))
+    texts = [None, "", " ", "a", "x" * 192, "é" * 96 + "y", shared, f"{shared} and more", f"Other {shared[:120]} words", shared, "It's <|endoftext|> here", "漢字 😀 ﬁx", "word " * 40_000, "the " * 700]
+    texts += [" ".join(rnd.choice(["tok", "en", "ize", "naïve", "42", "x.y", "=="], rnd.integers(0, 900))) for _ in range(30)]
+    folder = tmp_path_factory.mktemp("tables")
+    ids = [int(i) for i in rnd.permutation(1000)[: len(texts)]]
+    pq.write_table(pa.table({"doc_id": ids, "text": texts, "lang": ["en"] * len(ids), "source": ["s"] * len(ids), "n_chars": [len(t or "") for t in texts]}), folder / "documents.parquet")
+    return str(folder), dict(zip(ids, texts, strict=True))
+
+
+def test_packing_query(spark, documents):
+    from tokenizers import Tokenizer
+
+    folder, texts = documents
+    library, parts, sequences = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")), defaultdict(list), defaultdict(list)
+    for r in QUERIES["op1_packing"](spark, folder).collect():
+        parts[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    for i, text in texts.items():
+        ids, at = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(parts[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    padding = 0
+    for rows in sequences.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padding <= 2048
+
+
+def test_media_query(spark, documents):
+    folder, texts = documents
+    features = {}
+    for r in QUERIES["op2_media"](spark, folder).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        want = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        assert features.setdefault(raw, (r["media_bytes"], r["media_sha256"], r["feature"])) == (r["media_bytes"], r["media_sha256"], r["feature"])
+    assert len(features) == len({(t or "").encode() for t in texts.values()})
+
+
+def test_repeats_query(spark, documents):
+    from test_dedup import repeats
+
+    folder, texts = documents
+    want = {i: (n, n - len(kept), spans, hashlib.sha256(kept).hexdigest()) for i, (n, kept, spans) in repeats(texts.items(), 50).items()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op4_suffix_dedup"](spark, folder).collect()}
+    assert got == want and any(x[1] for x in want.values())
+
+
+def test_pieces_query(spark, documents):
+    import sentencepiece
+
+    folder, texts = documents
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    for r in QUERIES["op7_pieces"](spark, folder).collect():
+        ids = library.encode(texts[r["doc_id"]] or "", add_eos=True)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids))]
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), *digests)
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_stages_take_odd_tables(spark, sf, documents, stage):
+    """Null, empty, long and repeated texts, further columns and no rows."""
+    import corpus_pipeline as pipeline
+
+    name, run = pipeline.STAGES[stage]
+    docs = spark.read.parquet(f"{documents[0]}/documents.parquet").selectExpr("*", "1 AS score", "2 AS _kept", "3 AS id")
+    out = run(spark, docs, sf)
+    assert out.count() > 0 and (name == "packing" or out.columns == pipeline.COLUMNS)
+    assert run(spark, docs.limit(0), sf).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
