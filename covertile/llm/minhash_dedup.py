@@ -8,7 +8,7 @@
 4. All documents of a leader stand in one group, so two that share a bucket share a group.  In groups with several
    components the rows outside the largest one are compared with all rows, in cells of bounded size, and again what
    the sketches leave is confirmed: first each row's nearest to every other component, then, after contraction,
-   all pairs that are left across components.
+   all pairs that are left across components of those groups.
 
 The XOR of two odd sketches of samples estimates the similarity; it only sets the order, nearest first.  The XOR of two
 odd sketches of whole sets has never more bits than the sets have different shingles: a pair with more bits than the
@@ -268,16 +268,16 @@ def cell_pairs(table: pa.Table, percent: int, nearest: int | None) -> pa.Table:
         cut = np.repeat(size > nearest, size)
         keep = np.arange(len(x)) - np.repeat(new, size) < nearest
         x, y, cut = x[keep], y[keep], cut[keep]
-    return pa.table({"a": np.minimum(ident[x], ident[y]), "b": np.maximum(ident[x], ident[y]), "cut": cut})
+    return pa.table({"a": np.minimum(ident[x], ident[y]), "b": np.maximum(ident[x], ident[y]), "leader": group[x], "cut": cut})
 
 
 def across(groups: DataFrame, rows: DataFrame, labels: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """``a, b, cut``: pairs of one group and several components that the sketches leave (``groups``: id, leader).
+    """``a, b, leader, cut``: pairs of one group and several components that the sketches leave (``groups``: id, leader).
 
     Rows outside a group's largest component lead.  Groups are dealt into cells by hash: small ones share a cell,
     large ones are cut into leading parts x parts, so no group has to fit a task.
     """
-    known = groups.join(small(labels, SMALL_ROWS), "id")
+    known = staged(groups.join(small(labels, SMALL_ROWS), "id"), "known")
     # a set of n shingles has a sketch of n / 2 to n bytes
     counts = known.groupBy("leader", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     sums = counts.groupBy("leader").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("labels > 1")
@@ -291,7 +291,7 @@ def across(groups: DataFrame, rows: DataFrame, labels: DataFrame, percent: int,
     other = members.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1))).withColumn("cell", place(F.col("i"), F.pmod(h, F.col("p"))))
     lead = members.where("label <> main").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1))).withColumn("cell", place(F.pmod(h, F.col("q")), F.col("j")))
     dealt = other.select("cell", "leader", F.lit(False).alias("lead"), "id", "label").unionAll(lead.select("cell", "leader", F.lit(True).alias("lead"), "id", "label"))
-    return dealt.join(rows, "id").groupBy("cell").applyInArrow(tidy(lambda table: cell_pairs(table, percent, nearest)), "a long, b long, cut boolean")
+    return dealt.join(rows, "id").groupBy("cell").applyInArrow(tidy(lambda table: cell_pairs(table, percent, nearest)), "a long, b long, leader long, cut boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,13 +344,16 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
         return staged(labels.join(step, "label", "left").select("id", "n", F.coalesce("next", "label").alias("label")), "labels")
 
     labels = joined(staged(near_leaders(groups.where("id <> leader"), rows, percent), "pairs"), labels)
+    left = groups
     for nearest in (NEAREST, None):
-        pairs = staged(across(groups, rows, labels, percent, nearest), "pairs")
+        pairs = staged(across(left, rows, labels, percent, nearest), "pairs")
         before, labels = labels, joined(pairs.select("a", "b").distinct(), labels)
-        done = pairs.where("cut").isEmpty()  # every pair across components was confirmed or excluded
+        # in all other groups every pair across components was confirmed or excluded
+        again = staged(pairs.where("cut").select("leader").distinct(), "again")
         release(pairs, before)
-        if done:
+        if again.isEmpty():
             break
+        left = groups.join(small(again, SMALL_ROWS), "leader")
     classes = own.join(small(labels, SMALL_ROWS).select(F.col("id").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
     classes = staged(classes, "classes")
     release(own, shared, groups, seen, rows, texts, labels)
