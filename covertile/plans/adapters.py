@@ -93,4 +93,4 @@ VIEWS = {
 
 
 def sql(views: str, body: str) -> str:
-    return "WITH " + ",\n".join(VIEWS[v] for v in views.split()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(VIEWS[v] for v in views.split()) + "\n" + body

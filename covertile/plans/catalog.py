@@ -477,12 +477,21 @@ def moving_median(spark, d):
     return matrix.moving_median(_matrix(spark, d), "gc").select("sample", "chrom", "start", "end", F.round("depth", 6).alias("depth"))
 
 
-@query("edge_median")
+@query("edge_median", sql("aln regions", _MATRIX + """, l AS (SELECT sample, list(depth ORDER BY gc, chrom, start, "end") AS own, count(*) AS n FROM mx GROUP BY sample),
+taken AS (SELECT sample, n, list_median(own[1:5]) AS early, list_concat(own[1:5], own[11:]) AS v FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY gc, chrom, start, "end") - 1 AS i FROM mx),
+lv AS (SELECT sample, i, CASE WHEN i < 5 OR n < 11 THEN early ELSE list_median(v[greatest(1, least(i, n - 6) - 7):least(i, n - 6) + 1]) END AS level FROM r JOIN taken USING (sample))
+SELECT sample, chrom, start, "end", gc, round(depth / greatest(1, level), 6) AS depth FROM r JOIN lv USING (sample, i)"""))
 def edge_median(spark, d):
     return matrix.moving_median_with_edges(_matrix(spark, d), "gc").withColumn("depth", F.round("depth", 6))
 
 
-@query("bucket_median")
+@query("bucket_median", sql("aln regions", _MATRIX + """, g AS (SELECT DISTINCT sample, gc FROM mx),
+begins AS (SELECT sample, min(gc) AS b FROM g GROUP BY sample UNION ALL SELECT begins.sample, min(g.gc) FROM begins JOIN g ON g.sample = begins.sample AND g.gc > begins.b + 5 GROUP BY begins.sample),
+m AS (SELECT mx.sample, chrom, start, "end", gc, depth, max(b) AS b FROM mx JOIN begins ON begins.sample = mx.sample AND b <= gc GROUP BY ALL),
+k AS (SELECT sample, b, depth, row_number() OVER (PARTITION BY sample, b ORDER BY depth) - 1 AS k, count(*) OVER (PARTITION BY sample, b) AS n FROM m WHERE depth > 0),
+c AS (SELECT sample, b, max(depth) FILTER (k = n // 2) AS centre FROM k GROUP BY sample, b)
+SELECT m.sample, chrom, start, "end", gc, round(depth / coalesce(centre, 1), 6) AS depth FROM m LEFT JOIN c ON c.sample = m.sample AND c.b = m.b"""))
 def bucket_median(spark, d):
     return matrix.bucketed(_matrix(spark, d), "gc", 5).withColumn("depth", F.round("depth", 6))
 
