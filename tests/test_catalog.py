@@ -6,6 +6,10 @@ import pytest
 from compare import same, views
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
+from covertile.operators import readstats
+from covertile.plans import catalog
 from covertile.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -19,6 +23,12 @@ def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_read_statistics_stop_early(spark, sf):
+    """The same query and SQL with limits that small tables reach."""
+    done = readstats.statistics(catalog._reads(spark, sf), 100, 100).withColumns({c: F.round(c, 6) for c in catalog._STATS})
+    same(done, views(sf), ORACLE_SQL["read_statistics"].replace("2000000", "200").replace("1000000", "100"))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
