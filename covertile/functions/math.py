@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 TILE_WIDTH = 16_384
 SLOTS, SLOT_SHARE = 70, 2 / 3
 DEPTH_LIMIT, PROJECTION_LIMIT = 50_000, 8.0
+SIZE_CLASSES = ("small", "middle", "large")
 
 
 def depth_class(depth: Column, least: int = 4, most: int = 0) -> Column:
@@ -23,7 +24,8 @@ def depth_class(depth: Column, least: int = 4, most: int = 0) -> Column:
 
 def size_class(length: Column) -> Column:
     """Length class of a call."""
-    return F.when(length < 20_000, "small").when(length < 100_000, "middle").otherwise("large")
+    small, middle, large = SIZE_CLASSES
+    return F.when(length < 20_000, small).when(length < 100_000, middle).otherwise(large)
 
 
 def clamped_copies(cn: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.math import clamped_copies, overlap_share, size_class
+from ..functions.math import SIZE_CLASSES, clamped_copies, overlap_share, size_class
 from .intervals import overlap_join
 
 
@@ -49,23 +49,33 @@ def confusion(calls: DataFrame, truths: DataFrame, least: float = 0.4, width: in
     """``sample, size_class, tp, fn, fp, tn``.
 
     A truth with a matching call is found (counted once), one without is missed.  A call that matches no
-    truth of its sample is false.  A truth that the sample does not carry and that no call of the
-    sample matches is a true negative.
+    truth of its sample is false.  A truth that no row gives to the sample and that no call of the
+    sample matches is a true negative.  Truths meet the calls of all samples in one join; missed and
+    negative truths are counts less the pairs found, so truths are never multiplied by samples.
     """
-    calls = calls.select("sample", "chrom", "start", "end", "cn").distinct()
-    own = by_sample(truths).distinct()
-    pairs = matches(calls, own, least, width)
-    found = pairs.select("sample", "chrom", F.col("start_b").alias("start"), F.col("end_b").alias("end"), F.col("cn_b").alias("cn"), F.lit(1).alias("hit")).distinct()
-    good = pairs.select("sample", "chrom", "start", "end", "cn", F.lit(1).alias("hit")).distinct()
-    key = ["sample", "chrom", "start", "end", "cn"]
-    length = F.col("end") - F.col("start")
-    positives = own.join(found, key, "left").select("sample", size_class(length).alias("size_class"), F.coalesce("hit", F.lit(0)).alias("tp"), (1 - F.coalesce("hit", F.lit(0))).alias("fn"), F.lit(0).alias("fp"), F.lit(0).alias("tn"))
-    false = calls.join(good, key, "left").where("hit IS NULL").select("sample", size_class(length).alias("size_class"), F.lit(0).alias("tp"), F.lit(0).alias("fn"), F.lit(1).alias("fp"), F.lit(0).alias("tn"))
-    absent = without_sample(truths, all_samples(calls, truths)).distinct()
-    taken = matches(calls, absent, least, width).select("sample", "chrom", F.col("start_b").alias("start"), F.col("end_b").alias("end"), F.col("cn_b").alias("cn")).distinct()
-    negatives = absent.join(taken, key, "left_anti").select("sample", size_class(length).alias("size_class"), F.lit(0).alias("tp"), F.lit(0).alias("fn"), F.lit(0).alias("fp"), F.lit(1).alias("tn"))
-    rows = positives.unionByName(false).unionByName(negatives)
-    return rows.groupBy("sample", "size_class").agg(*(F.sum(c).cast("bigint").alias(c) for c in ("tp", "fn", "fp", "tn")))
+    site = ["chrom", "start", "end", "cn"]
+    calls = calls.select("sample", *site).distinct()
+    truths = truths.groupBy(*site).agg(F.array_distinct(F.flatten(F.collect_list("samples"))).alias("samples"))
+    sized = size_class(F.col("end") - F.col("start")).alias("size_class")
+    keyed = lambda df: df.withColumn("_state", clamped_copies(F.col("cn")))
+    met = overlap_join(keyed(calls), keyed(truths), ["chrom", "_state"], width)
+    met = met.where(overlap_share(F.col("start"), F.col("end"), F.col("start_b"), F.col("end_b")) >= least).withColumn("own", F.array_contains("samples_b", F.col("sample")))
+    count = F.count("*").alias("n")
+    n_calls = calls.groupBy("sample", sized).agg(count)
+    n_own = truths.select(F.explode("samples").alias("sample"), sized).groupBy("sample", "size_class").agg(count)
+    good = met.where("own").select("sample", *site).distinct().groupBy("sample", sized).agg(count)
+    hits = met.select("sample", "own", "chrom", F.col("start_b").alias("start"), F.col("end_b").alias("end"), F.col("cn_b").alias("cn")).distinct().groupBy("sample", "own", sized).agg(count)
+    names = n_calls.select("sample").union(n_own.select("sample")).where("sample IS NOT NULL").distinct()
+    classes = names.withColumn("size_class", F.explode(F.array(*map(F.lit, SIZE_CLASSES))))
+    cells = classes.join(truths.groupBy(sized).agg(count), "size_class")
+
+    def part(df: DataFrame, **share: str) -> DataFrame:
+        return df.select("sample", "size_class", *(F.expr(share.get(c, "0")).cast("bigint").alias(c) for c in ("tp", "fn", "fp", "tn")))
+
+    rows = part(n_calls, fp="n").unionByName(part(good, fp="-n")).unionByName(part(n_own, fn="n", tn="IF(sample IS NULL, 0, -n)"))
+    rows = rows.unionByName(part(hits, tp="IF(own, n, 0)", fn="IF(own, -n, 0)", tn="IF(own OR own IS NULL, 0, -n)")).unionByName(part(cells, tn="n"))
+    sums = rows.groupBy("sample", "size_class").agg(*(F.sum(c).alias(c) for c in ("tp", "fn", "fp", "tn")))
+    return sums.where("tp > 0 OR fn > 0 OR fp > 0 OR tn > 0")
 
 
 def tabulated(scores: DataFrame) -> DataFrame:

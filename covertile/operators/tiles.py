@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.math import SLOT_SHARE, SLOTS, TILE_WIDTH, quantised_depth, scaled_depth, slot_of
 from ..functions.text import bare_contig, excluded, is_sex_contig
-from .ranks import capped_weighted_median, pick
+from .ranks import capped_weighted_median
 
 
 def sizes_from_offsets(offsets: DataFrame) -> DataFrame:
@@ -32,14 +32,6 @@ def scaled(tiles: DataFrame, exclude: str | None = None) -> DataFrame:
     return kept.join(medians(tiles), "sample").select("sample", "chrom", "tile", scaled_depth(F.col("size"), F.col("median")).alias("depth"))
 
 
-def filled(depths: DataFrame) -> DataFrame:
-    """Every sample's row for every tile up to the contig's longest sample, 0 where it has none."""
-    longest = depths.groupBy("chrom").agg(F.max("tile").alias("last"))
-    names = [r["sample"] for r in depths.select("sample").distinct().collect()]  # the cohort's samples
-    cells = longest.withColumn("sample", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))).withColumn("tile", F.explode(F.expr("sequence(0, last)")))
-    return cells.select("sample", "chrom", F.col("tile").cast("bigint").alias("tile")).join(depths, ["sample", "chrom", "tile"], "left").na.fill(0.0, ["depth"])
-
-
 def bed_matrix(depths: DataFrame, samples: list[str]) -> DataFrame:
     """``chrom, start, end`` and a column per sample, 0 past a sample's last tile."""
     wide = depths.groupBy("chrom", "tile").pivot("sample", samples).agg(F.first("depth")).na.fill(0.0, samples)
@@ -60,34 +52,69 @@ def coverage_curve(depths: DataFrame) -> DataFrame:
     return slot_counts(depths).select("sample", "chrom", "slot", (F.col("slot") / (SLOTS * SLOT_SHARE)).alias("x"), (F.sum("n").over(at) / F.sum("n").over(whole)).alias("share"))
 
 
+def _cells(depths: DataFrame, sexes: tuple[str, ...], low: float = 0.15, near: tuple[float, float] = (0.85, 1.15)) -> DataFrame:
+    """``sample, chrom, ordinary, last`` and counts of tiles: the one aggregate that counters and slopes are made of.
+
+    ``n_fall`` counts the tiles whose slot lies between those of 0.85 and 1.15, which is what a coverage curve loses there.
+    """
+    lo, hi = (int(x * SLOTS * SLOT_SHARE + 0.5) for x in (0.85, 1.15))
+    depth, slot = F.coalesce("depth", F.lit(0.0)), slot_of(F.col("depth"))
+    outside = (depth < near[0]) | (depth > near[1])
+    counts = depths.groupBy("sample", "chrom").agg(
+        F.max("tile").alias("last"), F.count("*").alias("n"), F.count_if(outside).alias("n_out"), F.count_if(depth < low).alias("n_low"),
+        F.count_if(depth > near[1]).alias("n_hi"), F.count_if(~outside).alias("n_in"), F.count_if((slot >= lo) & (slot < hi)).alias("n_fall"),
+    )
+    return counts.withColumn("ordinary", ~is_sex_contig(F.col("chrom"), sexes))
+
+
+def _counters(cells: DataFrame, low: float = 0.15, near: tuple[float, float] = (0.85, 1.15)) -> list:
+    """Aggregates of ``_cells`` per sample; tiles that a sample lacks have depth 0, and there are the cohort's tiles less its own."""
+    own = lambda c: F.sum(F.when(F.col("ordinary"), F.col(c)))
+    cohort = cells.where("ordinary").groupBy("chrom").agg((F.max("last") + 1).alias("tiles")).agg(F.sum("tiles")).scalar()
+    missing = cohort - own("n")
+    blank_out, blank_low = near[0] > 0 or near[1] < 0, low > 0
+    add = lambda c, blank: own(c) + missing if blank else own(c)
+    return [
+        add("n_out", blank_out).alias("n_out"), add("n_low", blank_low).alias("n_low"), add("n_hi", near[1] < 0).alias("n_hi"), add("n_in", not blank_out).alias("n_in"),
+    ]
+
+
+def _slope(cells: DataFrame, contigs: DataFrame, least_tiles: int) -> tuple[DataFrame, object]:
+    """The cells with what decides on their contig, and the aggregate of them that is a sample's slope."""
+    longest = F.max("last").over(Window.partitionBy("chrom"))
+    judged = cells.withColumn("longest", longest).join(contigs.select("chrom", "length"), "chrom", "left")
+    used = F.col("ordinary") & (F.col("longest") + 1 > least_tiles) & ~bare_contig(F.col("chrom")).startswith("GL") & F.col("length").isNotNull()
+    fall = F.col("n_fall") / F.col("n") * F.col("length") / 1e6
+    return judged, F.try_divide(F.sum(F.when(used, fall)), F.count_if(used)).alias("slope")
+
+
 def bin_counters(depths: DataFrame, sexes: tuple[str, ...] = ("X", "Y"), low: float = 0.15, near: tuple[float, float] = (0.85, 1.15)) -> DataFrame:
     """``sample, n_out, n_low, n_hi, n_in`` over the tiles of ordinary contigs; missing tails are low and out."""
-    at = filled(depths.where(~is_sex_contig(F.col("chrom"), sexes)))
-    outside = (F.col("depth") < near[0]) | (F.col("depth") > near[1])
-    return at.groupBy("sample").agg(
-        F.count_if(outside).alias("n_out"), F.count_if(F.col("depth") < low).alias("n_low"), F.count_if(F.col("depth") > near[1]).alias("n_hi"), F.count_if(~outside).alias("n_in")
-    )
+    cells = _cells(depths.where(~is_sex_contig(F.col("chrom"), sexes)), sexes, low, near)
+    return cells.groupBy("sample").agg(*_counters(cells, low, near))
 
 
 def sex_copies(depths: DataFrame, sexes: tuple[str, ...] = ("X", "Y")) -> DataFrame:
     """``sample, chrom, cn``: twice the depth at rank ``int(.4 n)`` of the positive tiles; null without any.
 
-    Where more than 0.3 of a contig's tiles are positive but under 0.02, those are left out.
+    Where more than 0.3 of a contig's tiles are positive but under 0.02, those are left out.  Equal depths are
+    counted first; all that follows stays in the groups of that count.
     """
-    own = depths.where(is_sex_contig(F.col("chrom"), sexes))
-    faint = own.groupBy("sample", "chrom").agg((F.count_if((F.col("depth") > 0) & (F.col("depth") < 0.02)) / F.count("*") > 0.3).alias("drop"))
-    used = own.join(faint, ["sample", "chrom"]).where("depth > 0 AND NOT (drop AND depth < 0.02)")
-    cn = pick(used, ["sample", "chrom"], "depth", at=lambda n: F.floor(n * 0.4)).select("sample", "chrom", (2 * F.col("at")).alias("cn"))
-    return faint.select("sample", "chrom").join(cn, ["sample", "chrom"], "left")
+    key = ["sample", "chrom"]
+    groups = Window.partitionBy(*key)
+    counts = depths.where(is_sex_contig(F.col("chrom"), sexes)).groupBy(*key, "depth").agg(F.count("*").alias("c"))
+    faint = (F.col("depth") > 0) & (F.col("depth") < 0.02)
+    drop = F.sum(F.when(faint, F.col("c")).otherwise(0)).over(groups) / F.sum("c").over(groups) > 0.3
+    taken = counts.withColumn("drop", drop).withColumn("c", F.when((F.col("depth") > 0) & ~(F.col("drop") & faint), F.col("c")).otherwise(0))
+    ranked = taken.withColumn("upto", F.sum("c").over(groups.orderBy("depth"))).withColumn("at", F.floor(F.sum("c").over(groups) * 0.4))
+    found = (F.col("c") > 0) & (F.col("upto") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("upto"))
+    return ranked.groupBy(*key).agg((2 * F.max(F.when(found, F.col("depth")))).alias("cn"))
 
 
 def slopes(depths: DataFrame, contigs: DataFrame, sexes: tuple[str, ...] = ("X", "Y"), least_tiles: int = 100) -> DataFrame:
     """``sample, slope``: how steeply the coverage curve falls around one, weighed by contig length."""
-    lo, hi = (int(x * SLOTS * SLOT_SHARE + 0.5) for x in (0.85, 1.15))
-    long = depths.groupBy("chrom").agg(F.max("tile").alias("last")).where((F.col("last") + 1 > least_tiles) & ~is_sex_contig(F.col("chrom"), sexes) & ~bare_contig(F.col("chrom")).startswith("GL"))
-    curve = coverage_curve(depths.join(long.select("chrom"), "chrom", "left_semi"))
-    step = curve.groupBy("sample", "chrom").agg((F.max(F.when(F.col("slot") == lo, F.col("share"))) - F.max(F.when(F.col("slot") == hi, F.col("share")))).alias("drop"))
-    return step.join(contigs.select("chrom", "length"), "chrom").groupBy("sample").agg((F.sum(F.col("drop") * F.col("length") / 1e6) / F.count("*")).alias("slope"))
+    judged, slope = _slope(_cells(depths.where(~is_sex_contig(F.col("chrom"), sexes)), sexes), contigs, least_tiles)
+    return judged.groupBy("sample").agg(slope).where("slope IS NOT NULL")
 
 
 def normalised(depths: DataFrame) -> DataFrame:
@@ -160,10 +187,12 @@ def projections(depths: DataFrame, samples: list[str], components: int = 5, sexe
 
 def pedigree(depths: DataFrame, contigs: DataFrame, sexes: tuple[str, ...] = ("X", "Y"), stats: DataFrame | None = None) -> DataFrame:
     """One row per sample: inferred sex, copies of the sex contigs, counters, slope, share outside, mapped reads."""
-    cn = sex_copies(depths, sexes)
-    wide = cn.groupBy("sample").pivot("chrom", sorted(r["chrom"] for r in cn.select("chrom").distinct().collect())).agg(F.first("cn"))
-    copies = [c for c in wide.columns if c != "sample"]
-    out = depths.select("sample").distinct().join(wide, "sample", "left").join(bin_counters(depths, sexes), "sample", "left").join(slopes(depths, contigs, sexes), "sample", "left")
+    # the sex contigs found become columns, so their few names are needed before the plan is made
+    copies = sorted(r["chrom"] for r in depths.where(is_sex_contig(F.col("chrom"), sexes)).select("chrom").distinct().collect())
+    wide = sex_copies(depths, sexes).groupBy("sample").pivot("chrom", copies).agg(F.first("cn"))
+    cells = _cells(depths, sexes)
+    judged, slope = _slope(cells, contigs, least_tiles=100)
+    out = judged.groupBy("sample").agg(*_counters(cells), slope).join(wide, "sample", "left")
     sex = F.coalesce(F.floor(F.col(copies[0]) + 0.5).cast("int"), F.lit(-9)) if copies else F.lit(-9)
     columns = [
         F.lit("unknown").alias("family_id"), F.col("sample").alias("sample_id"), F.lit("-9").alias("paternal_id"), F.lit("-9").alias("maternal_id"), sex.alias("sex"), F.lit("-9").alias("phenotype"),
