@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 
-_STAGED: list = []
+from ..staging import release, shared_dir, small, staged  # noqa: F401
 
 
 def read(spark, sf_dir: str, table: str):
@@ -19,44 +15,6 @@ def read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh one where it is unset and all run on one machine (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="covertile-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df, name: str):
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/covertile/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _STAGED:
-        atexit.register(_drop_staged)
-    _STAGED.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_in = path
-    return out
-
-
-def release(*tables) -> None:
-    """Delete staged tables that nothing reads any more; others are left alone."""
-    for table in tables:
-        path = getattr(table, "staged_in", None)
-        if path:
-            _delete(table.sparkSession, path)
-            _STAGED.remove((table.sparkSession, path))
-
-
-def _delete(spark, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Arrow batches to Python hold so many bytes at most (a longer row stands alone), unless the session sets less.
 BATCH_BYTES = 4_000_000
 
@@ -64,7 +22,7 @@ BATCH_BYTES = 4_000_000
 def in_arrow(df, work, schema):
     """``df.mapInArrow`` in batches of bounded bytes; a task's worker gives freed memory back when the task is over."""
     size, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
-    if int(spark.conf.get(size).rstrip("bB")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
         spark.conf.set(size, BATCH_BYTES)
 
     def trimmed(batches):
@@ -94,21 +52,6 @@ def give_back() -> None:
         return
 
 
-def small(df, rows: int):
-    """``df``, marked for broadcast if it has at most ``rows`` rows by count; otherwise joins shuffle it."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def _drop_staged() -> None:
-    for spark, path in _STAGED:
-        try:
-            _delete(spark, path)
-        except Exception:  # its session is gone: the folder's owner cleans up
-            continue
-
-
 def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary Arrow column and the row offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

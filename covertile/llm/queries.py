@@ -146,6 +146,44 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_mixing(spark, sf_dir: str) -> DataFrame:
+    from .common import staged
+    from .mixing import mix, with_sizes
+
+    docs = with_sizes(read(spark, sf_dir, "documents")).select("doc_id", "source", "size")
+    mixed = mix(staged(docs, "words"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+#: The same multipliers by sixty steps for every source, and the same roundings.
+OP11_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, source IS NULL AS nul, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size FROM documents),
+h AS (SELECT nul, src, size, count(*) AS n FROM w GROUP BY ALL),
+s AS (SELECT nul, src, sum(size * n)::BIGINT AS total, ([3.0, 1.0, 2.0][(row_number() OVER (ORDER BY nul, src) - 1) % 3 + 1])::DOUBLE AS weight, sum(n) FILTER (size > 0) AS docs, min(size) FILTER (size > 0) AS small, sum(size::DOUBLE * size * n) AS squares FROM h GROUP BY nul, src),
+mixed AS (SELECT 1.5 * sum(total)::DOUBLE AS words FROM s),
+level AS (SELECT 0 AS k, 0::DOUBLE AS held, sum(weight) AS free FROM s
+    UNION ALL SELECT k + 1, coalesce(sum(2 * s.total::DOUBLE) FILTER (2 * s.total * free <= (words - held) * weight), 0), coalesce(sum(weight) FILTER (2 * s.total * free > (words - held) * weight), 0) FROM level, s, mixed WHERE k < 60 GROUP BY k),
+t AS (SELECT s.*, s.total::DOUBLE / docs AS mean, CASE WHEN free = 0 OR 2 * s.total * free <= (words - held) * weight THEN 2 * s.total::DOUBLE ELSE (words - held) * weight / free END AS target FROM s, mixed, (SELECT held, free FROM level WHERE k = 60)),
+it AS (SELECT nul, src, 0 AS k, CASE WHEN target >= 2 * total THEN ln(2) * mean / small WHEN target < total THEN ln(target / total) * total * mean / squares ELSE 0 END AS lam,
+        CASE WHEN target < total THEN ln(target / total) * mean / small ELSE 0 END AS lo, CASE WHEN target < total THEN 0 ELSE ln(2) * mean / small END AS hi FROM t WHERE total > 0
+    UNION ALL SELECT nul, src, k + 1, CASE WHEN lam - slope / nullif(curve, 0) > CASE WHEN slope <= 0 THEN lam ELSE lo END AND lam - slope / nullif(curve, 0) < CASE WHEN slope > 0 THEN lam ELSE hi END
+            THEN lam - slope / nullif(curve, 0) WHEN abs(slope) <= 1e-13 * goal THEN lam ELSE (CASE WHEN slope <= 0 THEN lam ELSE lo END + CASE WHEN slope > 0 THEN lam ELSE hi END) / 2 END,
+        CASE WHEN slope <= 0 THEN lam ELSE lo END, CASE WHEN slope > 0 THEN lam ELSE hi END
+        FROM (SELECT it.nul, it.src, k, lam, lo, hi, t.target / mean AS goal, sum(n * (size / mean) * least(2, exp(least(700, lam * size / mean)))) - t.target / mean AS slope,
+              sum(CASE WHEN exp(least(700, lam * size / mean)) < 2 THEN n * (size / mean) * (size / mean) * exp(least(700, lam * size / mean)) ELSE 0 END) AS curve
+              FROM it JOIN t USING (nul, src) JOIN h USING (nul, src) WHERE k < 60 AND size > 0 GROUP BY it.nul, it.src, k, lam, lo, hi, t.target, mean)),
+r AS (SELECT h.*, t.total, t.target, CASE WHEN size = 0 THEN 1.0 WHEN t.target >= 2 * t.total THEN 2.0 ELSE least(2.0, exp(least(700, lam * size / mean))) END AS rate FROM h JOIN t USING (nul, src) LEFT JOIN it ON it.nul = h.nul AND it.src = h.src AND it.k = 60),
+u AS (SELECT *, floor(sum(n * rate) OVER (PARTITION BY nul, src ORDER BY size DESC ROWS UNBOUNDED PRECEDING) + 0.5) AS upto FROM r),
+c0 AS (SELECT nul, src, size, n, total, target, least(upto - coalesce(lag(upto) OVER (PARTITION BY nul, src ORDER BY size DESC), 0), 2 * n)::BIGINT AS c FROM u),
+{repairs}
+d AS (SELECT w.*, c3.n, c3.c, c3.total, c3.target, row_number() OVER (PARTITION BY nul, src, size ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS place FROM w JOIN c3 USING (nul, src, size))
+SELECT doc_id, size, total AS source_size, round(target, 6) AS target, ((c // n + (place <= c % n)::INT) * size)::BIGINT AS taken FROM d
+""".replace("{repairs}", "\n".join(f"""m{k} AS (SELECT nul, src, max(target) - sum(c * size) AS missing FROM c{k} GROUP BY nul, src),
+b{k} AS (SELECT nul, src, min(struct_pack(gap := abs(missing - way * size), size := size, way := way)) AS best FROM (SELECT nul, src, size, missing, CASE WHEN missing > 0 AND c < 2 * n THEN 1 WHEN missing < 0 AND c > 0 THEN -1 END AS way
+    FROM c{k} JOIN m{k} USING (nul, src) WHERE size > 0) WHERE way IS NOT NULL AND abs(missing - way * size) < abs(missing) GROUP BY nul, src),
+c{k + 1} AS (SELECT c.nul, c.src, c.size, n, total, target, c.c + coalesce(best.way, 0) AS c FROM c{k} c LEFT JOIN b{k} ON b{k}.nul = c.nul AND b{k}.src = c.src AND best.size = c.size),""" for k in range(3)))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
@@ -157,5 +195,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_mixing": op11_mixing,
 }
-ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licenses": op9_sql()}
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licenses": op9_sql(), "op11_mixing": OP11_SQL}
