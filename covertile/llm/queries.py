@@ -157,7 +157,8 @@ def op11_mixing(spark, sf_dir: str) -> DataFrame:
 
 #: The same multipliers by sixty steps for every source, and the same roundings.
 OP11_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, source IS NULL AS nul, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, source IS NULL AS nul, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size FROM documents),
 h AS (SELECT nul, src, size, count(*) AS n FROM w GROUP BY ALL),
 s AS (SELECT nul, src, sum(size * n)::BIGINT AS total, ([3.0, 1.0, 2.0][(row_number() OVER (ORDER BY nul, src) - 1) % 3 + 1])::DOUBLE AS weight, sum(n) FILTER (size > 0) AS docs, min(size) FILTER (size > 0) AS small, sum(size::DOUBLE * size * n) AS squares FROM h GROUP BY nul, src),
 mixed AS (SELECT 1.5 * sum(total)::DOUBLE AS words FROM s),
@@ -184,6 +185,46 @@ b{k} AS (SELECT nul, src, min(struct_pack(gap := abs(missing - way * size), size
 c{k + 1} AS (SELECT c.nul, c.src, c.size, n, total, target, c.c + coalesce(best.way, 0) AS c FROM c{k} c LEFT JOIN b{k} ON b{k}.nul = c.nul AND b{k}.src = c.src AND best.size = c.size),""" for k in range(3)))
 
 
+def op12_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")), "vec_id % 100 = 0")
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS own, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT a, b, score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INTEGER AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.own AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op13_filter_audit(spark, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+f AS (SELECT part, (len(x) < 100)::INT + 2 * (100 * len(list_distinct(x)) < 80 * len(x))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask,
+             (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL))::INT AS good, (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))::INT AS bad FROM w),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY part, mask),
+l(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT [p.b, q.b, r.b, s.b, u.b] AS bits, p.c || q.c || r.c || s.c || u.c AS filter_order FROM l p, l q, l r, l s, l u WHERE len(list_distinct([p.b, q.b, r.b, s.b, u.b])) = 5),
+k AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS prior FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (own | prior) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & prior = 0), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (mask & own > 0 AND mask & prior > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (mask & own > 0 AND mask & prior = 0), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (mask & own > 0 AND mask & prior = 0), 0)::BIGINT AS toxic_lost FROM m, k GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
@@ -196,5 +237,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
     "op11_mixing": op11_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licenses": op9_sql(), "op11_mixing": OP11_SQL}
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licenses": op9_sql(), "op11_mixing": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_filter_audit": OP13_SQL}

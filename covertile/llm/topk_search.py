@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import in_arrow
 
 
-def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """``key, v array<bigint>`` of the vectors that take part."""
+def quantised(df: DataFrame, key: str, vector: str, scale: int, *further: str) -> DataFrame:
+    """``key, v array<bigint>`` and further columns of the vectors that take part."""
     whole = f"{key} IS NOT NULL AND {vector} IS NOT NULL AND size({vector}) > 0 AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(double(x)) < double('infinity'))"
-    return df.where(whole).selectExpr(key, f"transform({vector}, x -> floor({scale} * double(x))) AS v")
+    return df.where(whole).selectExpr(key, *further, f"transform({vector}, x -> floor({scale} * double(x))) AS v")
 
 
 NOTHING = np.iinfo(np.int64).min
