@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longer ranges are hashed one by one.
+_CHUNKED = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of one buffer: eight bytes are mixed in at a time, for all ranges together; ranges of over
+    ``_CHUNKED`` bytes go through BLAKE2b.  No algebraic structure of the bytes survives, so unequal ranges collide by chance only."""
+    size = end - start
+    out = mix64(size.astype(np.uint64) + np.uint64(0xA24BAED4963EE407))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place
+    live = np.flatnonzero(size <= _CHUNKED)
+    for k in range(0, _CHUNKED, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        out[live] = mix64((out[live] ^ (eight[start[live] + k] & _KEEP[np.minimum(size[live] - k, 8)])) * np.uint64(0x9FB21C651E98DF25) + np.uint64(k + 1))
+    whole = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > _CHUNKED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(whole[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -106,10 +131,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of one buffer, by prefix sums of a polynomial modulo 2**64.
+    """64-bit hashes of any short byte ranges of one buffer, by prefix sums of a polynomial modulo 2**64.
 
     Every byte goes through a random 64-bit table first, and the result is finalised with the
-    range's length, so equal ranges have equal hashes wherever they start.
+    range's length, so equal ranges have equal hashes wherever they start.  Only for ranges of some hundred bytes at most
+    that overlap (n-grams, contexts): long ranges of a certain structure collide; ``byte_hashes`` has no such weakness.
     """
 
     def __init__(self, data: np.ndarray, seed: int = 1):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, in_arrow, lowered, mix64, release, row_chunks, small, staged, tidy, word_spans
+from .common import byte_hashes, flat_bytes, in_arrow, lowered, mix64, release, row_chunks, small, staged, tidy, word_spans
 
 BANDS, ROWS, SKETCH_BITS = 60, 6, 512
 #: Tables of ids and labels (16 bytes a row) up to so many rows are broadcast, larger ones shuffled.
@@ -44,7 +44,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     """Sorted distinct 64-bit shingles of every row, flat, and their offsets."""
     data = lowered(data)
     starts, ends, bounds = word_spans(data, offsets)
-    word = RangeHash(data)(starts, ends)
+    word = byte_hashes(data, starts, ends)
     count = np.diff(bounds)
     row = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(word))
@@ -70,6 +70,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return value, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
+def exact_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text as numbers that stand for their words' bytes among these texts; nothing is hashed to a fixed size."""
+    number: dict[bytes, int] = {}
+    words = [np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int64) for t in texts]
+    count = np.array([len(w) for w in words])
+    flat, ends = np.concatenate([np.zeros(0, np.int64), *words]), np.cumsum(count)
+    first = np.flatnonzero(np.arange(len(flat)) + width <= np.repeat(ends, count))
+    code = flat[first]
+    for step in range(1, width):
+        code = np.unique(code * len(number) + flat[first + step], return_inverse=True)[1]
+    edges = np.searchsorted(first, np.r_[0, ends])
+    short: dict[tuple, int] = {}
+    return [np.unique(code[edges[k] : edges[k + 1]]) if count[k] >= width else np.array([-1 - short.setdefault(tuple(words[k].tolist()), len(short))] * bool(count[k]), np.int64) for k in range(len(texts))]
+
+
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(20240229)
     return random.integers(0, 1 << 32, n, np.uint32), random.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -182,7 +197,7 @@ def _compressed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``a, b, linked`` of pairs, on their full sets."""
+    """``a, b, linked`` of pairs, on their full sets of words' bytes."""
     import zlib
 
     def work(batches):
@@ -193,12 +208,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 blobs = [*part.column("za").to_pylist(), *part.column("zb").to_pylist()]
                 names, where = np.unique(ids.T.ravel(), return_inverse=True)
                 body = {int(w): zlib.decompress(z) for w, z in dict(zip(where.tolist(), blobs, strict=True)).items()}
-                rows = [body[k] for k in range(len(names))]
-                offsets = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int64)
-                value, bounds = shingle_sets(np.frombuffer(b"".join(rows), np.uint8), offsets, width)
+                sets = exact_sets([body[k] for k in range(len(names))], width)
                 linked = []
                 for x, y in zip(where[: len(ids)].tolist(), where[len(ids) :].tolist(), strict=True):
-                    s, t = value[bounds[x] : bounds[x + 1]], value[bounds[y] : bounds[y + 1]]
+                    s, t = sets[x], sets[y]
                     common = len(np.intersect1d(s, t, assume_unique=True))
                     linked.append(100 * common >= percent * (len(s) + len(t) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], ["a", "b", "linked"])

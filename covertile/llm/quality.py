@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, in_arrow, lowered, mix64, row_chunks, word_spans
+from .common import byte_hashes, flat_bytes, in_arrow, lowered, mix64, row_chunks, word_spans
 
 FEATURES = [
     "log_bytes", "log_words", "word_length", "longest_word", "letters", "upper", "digits", "spaces", "marks", "symbols", "other_bytes",
@@ -65,8 +65,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = np.diff(bounds).astype(float)
     row = np.repeat(np.arange(n), np.diff(bounds))
     per_byte, per_word = 1 / np.maximum(size, 1), 1 / np.maximum(words, 1)
-    hashed = RangeHash(lowered(data))
-    word, length = hashed(starts, ends), ends - starts
+    small = lowered(data)
+    word, length = byte_hashes(small, starts, ends), ends - starts
     distinct, top = _repetition(word, row, n)
     paired = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
     pair = mix64(word[paired] * np.uint64(0x9FB21C651E98DF25) + word[paired + 1])
@@ -90,7 +90,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     le = le - (data[le - 1] == 10)
     real = le > ls
     ls, le, lrow = ls[real], le[real], lrow[real]
-    line = hashed(ls, le)
+    line = byte_hashes(small, ls, le)
     lines, distinct_lines = np.bincount(lrow, minlength=n).astype(float), _repetition(line, lrow, n)[0]
     by = np.lexsort((line, lrow))
     again = np.r_[False, (line[by][1:] == line[by][:-1]) & (lrow[by][1:] == lrow[by][:-1])] if len(line) else np.zeros(0, bool)

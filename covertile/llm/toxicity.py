@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_bytes, in_arrow, row_chunks, segment_arange, small
+from .common import RangeHash, byte_hashes, flat_bytes, in_arrow, row_chunks, segment_arange, small
 
 ORDER = 6
 #: Absolute discounts by count (1, 2, 3 or more) of class counts and of shared continuation counts.
@@ -102,7 +102,7 @@ def gram_counts(texts: pa.Array, kind: np.ndarray, kinds: int) -> tuple[np.ndarr
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros((0, kinds), np.int64)
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    _, example, which = np.unique(RangeHash(data)(starts, ends), return_index=True, return_inverse=True)
+    _, example, which = np.unique(byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
     once = np.unique(which.astype(np.int64) * len(texts) + row)  # a word counts once in a document
     weights = np.bincount(once // len(texts) * kinds + kind[once % len(texts)], minlength=len(example) * kinds).reshape(-1, kinds)
     flat, begin = marked(data, starts[example], ends[example])
@@ -243,7 +243,7 @@ def text_evidence(models: SpellingModels, texts: pa.Array) -> np.ndarray:
     data, starts, ends, bounds = words_of(texts)
     if not len(starts):
         return document_evidence(np.zeros(0), bounds)
-    _, example, which = np.unique(RangeHash(data)(starts, ends), return_index=True, return_inverse=True)
+    _, example, which = np.unique(byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
     return document_evidence(models.evidence(*marked(data, starts[example], ends[example]))[which], bounds)
 
 

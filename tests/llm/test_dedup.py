@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from covertile.llm import minhash_dedup, suffix_dedup
+from covertile.llm.common import byte_hashes
 
 
 def repeats(rows, length):
@@ -188,3 +189,41 @@ def test_long_texts_link(spark):
     data = [(3, " ".join(base)), (1, " ".join(edited(rnd, base, 0.05))), (2, " ".join(edited(rnd, base, 0.2))), (4, "short " * 50_000)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.link_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {i: x[:2] for i, x in classes(data, 2).items()} and got[3][1] == 1 and got[2][1] == 2
+
+
+def swapped_words(n):
+    """The Thue-Morse word of n letters a and b, and the one with a and b swapped: equal under every polynomial modulo 2**64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_long_words_of_one_structure_are_told_apart(spark, n):
+    one, two = swapped_words(n)
+    rows = [(1, one), (2, two), (3, f"{one} and {one}"), (4, f"{two} and {two}"), (5, one.upper())]
+    out = {r["doc_id"]: r["component_id"] for r in minhash_dedup.link_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5])
+def test_exact_sets_are_the_shingles(width):
+    texts = [b"", b" ", b"a", b"a b", b"B a", b"a b c d e f", b"A b c D e f", b"a a a a a a a", b"\xc3\xa9 b c d e", b"b c d e f"]
+    sets = minhash_dedup.exact_sets(texts, width)
+    plain = []
+    for t in texts:
+        w = t.lower().split()
+        plain.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    for i, s in enumerate(sets):
+        assert len(s) == len(plain[i])
+        for j, t in enumerate(sets):
+            assert len(np.intersect1d(s, t)) == len(plain[i] & plain[j])
+
+
+def test_byte_hashes_follow_the_bytes():
+    rnd = np.random.default_rng(3)
+    words = [bytes(rnd.integers(97, 99, n).astype(np.uint8)) for n in (0, 1, 7, 8, 9, 16, 17, 63, 64, 65, 200) for _ in range(20)]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    found = byte_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(set(found.tolist())) == len(set(words)) == len(set(zip(words, found.tolist())))
+    assert byte_hashes(data[:0], np.zeros(1, np.int64), np.zeros(1, np.int64))[0] == found[0]
