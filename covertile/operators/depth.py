@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import depth_class
-from .intervals import binned, grid
-
-SHARD = 65_536
+from ..staging import staged
+from .intervals import SHARD, binned, grid, islands, levels_of, levels_to, overlap_join, sweep
+from .sequences import following, walk
 
 
 def usable(reads: DataFrame, mapq: int = 1) -> DataFrame:
@@ -48,45 +48,53 @@ def window_means(reads: DataFrame, regions: DataFrame, width: int = 250, keys: t
     return windows.join(sums, [*keys, "_w"], "left").select(*keys, "start", "end", mean.alias("mean"))
 
 
-def class_blocks(reads: DataFrame, regions: DataFrame, least: int = 4, most: int = 0, keys: tuple[str, ...] = ("sample", "chrom")) -> DataFrame:
-    """Runs of one coverage class that tile every region exactly."""
-    segments = pileup_segments(reads, keys)
-    ends = regions.select(*keys, F.col("to").alias("start"), F.col("to").alias("end"), F.lit(-1).cast("bigint").alias("depth"))
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    seen = segments.unionByName(ends).withColumn("_gap", F.coalesce(F.lag("end").over(order), F.lit(0)))
-    blank = seen.where(F.col("_gap") < F.col("start")).select(*keys, F.col("_gap").alias("start"), F.col("start").alias("end"), F.lit(0).cast("bigint").alias("depth"))
-    runs = segments.unionByName(blank).withColumn("class", depth_class(F.col("depth"), least, most))
-    order = Window.partitionBy(*keys).orderBy("start")
-    fresh = F.when((F.lag("class").over(order) == F.col("class")) & (F.lag("end").over(order) == F.col("start")), 0).otherwise(1)
-    islands = runs.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order))
-    return islands.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("class").alias("class")).drop("_run")
+def class_blocks(reads: DataFrame, regions: DataFrame, least: int = 4, most: int = 0, keys: tuple[str, ...] = ("sample", "chrom"), shard: int = SHARD) -> DataFrame:
+    """Runs of one coverage class that tile every region (``keys, from, to``) exactly."""
+    inside = regions.select(*keys, F.col("from").alias("start"), F.col("to").alias("end"))
+    runs = sweep({"_depth": reads, "_inside": inside}, [*keys], shard).where("_inside > 0")
+    return islands(runs.withColumn("class", depth_class(F.col("_depth"), least, most)), [*keys], state="class", shard=shard)
+
+
+def sufficient_runs(reads: DataFrame, samples: int, least: int = 7, share: float = 0.5, shard: int = SHARD) -> DataFrame:
+    """``chrom, _bin, start, end``: runs (cut at shards) of sites where strictly more than ``int(.5 + share * samples)`` samples reach the depth."""
+    deep = pileup_segments(reads, shard=shard).where(F.col("depth") >= least)  # a sample's segments do not overlap
+    return sweep({"_n": deep}, ["chrom"], shard).where(F.col("_n") > int(0.5 + share * samples)).drop("_n")
 
 
 def sufficient_sites(reads: DataFrame, samples: int, least: int = 7, share: float = 0.5) -> DataFrame:
-    """``chrom, pos`` where strictly more than ``int(.5 + share * samples)`` samples reach the depth."""
-    deep = pileup_segments(reads).where(F.col("depth") >= least).withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
-    return deep.groupBy("chrom", "pos").agg(F.count("*").alias("n")).where(F.col("n") > int(0.5 + share * samples)).select("chrom", "pos")
-
-
-def site_blocks(sites: DataFrame, skip: int = 10, size: int = 15, longest: int = 10_000_000) -> DataFrame:
-    """Islands of sites at most ``skip`` apart and of at least ``size`` sites, restarted after ``longest`` bases."""
-    order = Window.partitionBy("chrom").orderBy("pos")
-    gap = F.col("pos") - (F.lag("pos").over(order) + 1)
-    islands = sites.withColumn("_new", F.when(gap.isNull() | (gap > skip), 1).otherwise(0)).withColumn("block", F.sum("_new").over(order))
-    large = islands.groupBy("chrom", "block").agg(F.count("*").alias("n"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).where(F.col("n") >= size)
-    fits = large.where(F.col("end") - F.col("start") <= longest).select("chrom", "start", "end")
-    over = large.where(F.col("end") - F.col("start") > longest).select("chrom", "block")
-    restart = F.expr(f"""aggregate(array_sort(collect_list(pos)), array(struct(-1L AS start, -1L AS end)),
-        (acc, p) -> IF(acc[0].start >= 0 AND p - acc[0].start < {longest}, concat(array(struct(acc[0].start AS start, p + 1 AS end)), slice(acc, 2, size(acc))), concat(array(struct(p AS start, p + 1 AS end)), acc)))""")
-    parts = islands.join(over, ["chrom", "block"]).withColumn("pos", F.col("pos").cast("bigint")).groupBy("chrom", "block").agg(restart.alias("p"))
-    return fits.unionByName(parts.select("chrom", F.inline("p")).where("start >= 0"))
-
-
-def block_means(reads: DataFrame, blocks: DataFrame, width: int = SHARD) -> DataFrame:
-    """Mean depth of every sample in every block: depth summed over the block's whole span."""
-    from .intervals import overlap_join
+    """``chrom, pos`` of ``sufficient_runs``; a row a base, for exports and small regions."""
+    return sufficient_runs(reads, samples, least, share).select("chrom", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
+
+
+def site_blocks(runs: DataFrame, skip: int = 10, size: int = 15, longest: int = 10_000_000, shard: int = SHARD) -> DataFrame:
+    """Islands of sites at most ``skip`` apart and of at least ``size`` sites, restarted after ``longest`` bases.
 
-    met = overlap_join(pileup_segments(reads), blocks, ["chrom"], width)
+    ``runs``: ``chrom, start, end`` without overlaps, or single sites ``chrom, pos``.  Only islands that must be cut are looked at site by
+    site: a part begins at the first site ``longest`` past the beginning of the part before it, found by a walk along such pointers.
+    """
+    if "pos" in runs.columns:
+        runs = runs.select("chrom", F.col("pos").cast("bigint").alias("start"), (F.col("pos") + 1).cast("bigint").alias("end"))
+    large = staged(islands(runs, ["chrom"], skip, covered=True, shard=shard).where(F.col("covered") >= size), "islands")
+    fits, over = large.where(F.col("end") - F.col("start") <= longest), large.where(F.col("end") - F.col("start") > longest)
+    if over.isEmpty():
+        return fits.select("chrom", "start", "end")
+    within = overlap_join(runs.select("chrom", "start", "end"), over.select("chrom", "start", "end"), ["chrom"], shard).select("chrom", F.col("start_b").alias("block"), F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at"))
+    sites = staged(within, "sites")
+    keys = ["chrom", "block"]
+    asked = sites.select(*keys, F.col("at").alias("place"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("of"))
+    asked = asked.unionByName(sites.select(*keys, (F.col("at") + longest).alias("place"), F.lit(0).alias("kind"), F.col("at").alias("of")))
+    pointers = following(asked, keys, ["place", "kind"], next=F.when(F.col("kind") == 1, F.col("place"))).where("kind = 0").select(*keys, F.col("of").alias("at"), "next")
+    begins = walk(pointers, keys).withColumn("begins", F.lit(True))
+    marked = sites.join(begins, [*keys, "at"], "left").withColumn("own", F.when(F.col("begins"), F.col("at")))
+    owned = following(marked, keys, ["at"], True, before=F.col("own")).withColumn("start", F.coalesce("own", "before"))
+    parts = owned.groupBy("chrom", "block", "start").agg((F.max("at") + 1).alias("end"))
+    return fits.select("chrom", "start", "end").unionByName(parts.select("chrom", "start", "end"))
+
+
+def block_means(reads: DataFrame, blocks: DataFrame, width: int = SHARD // 8) -> DataFrame:
+    """Mean depth of every sample in every block: depth summed over the block's whole span."""
+    blocks = blocks.select("chrom", "start", "end")
+    met = overlap_join(pileup_segments(reads), blocks, ["chrom"], width, levels=(levels_to(SHARD, width), levels_of(blocks, "start", "end", width)))
     part = (F.least("end", "end_b") - F.greatest("start", "start_b")) * F.col("depth")
     return met.groupBy("chrom", F.col("start_b").alias("start"), F.col("end_b").alias("end"), "sample").agg((F.sum(part) / (F.first("end_b") - F.first("start_b"))).alias("mean"))
 
@@ -98,6 +106,27 @@ def widened(windows: DataFrame, factor: int, value: str = "mean") -> DataFrame:
     return group.groupBy("sample", "chrom", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.floor(F.col(value) + 0.5)).cast("bigint").alias("depth")).drop("_g")
 
 
+def widened_to(windows: DataFrame, size: int, value: str = "mean") -> DataFrame:
+    """Super-windows of windows of any widths: from its first window on, one takes windows until it spans ``size`` or the contig ends.
+
+    Windows of a sample and contig do not overlap.  Where one begins depends on all before it: a walk along pointers to the first
+    window after the one that fills it.
+    """
+    keys = ["sample", "chrom"]
+    own = staged(windows.select(*keys, "start", "end", value), "windows")
+    rows = own.select(*keys, F.col("end").alias("place"), F.lit(1).alias("kind"), F.col("start").alias("at"))
+    goals = own.select(*keys, (F.col("start") + size).alias("place"), F.lit(0).alias("kind"), F.col("start").alias("at"))
+    # the window that reaches the goal fills the super-window; the next one begins with the window after it
+    row = F.when(F.col("kind") == 1, F.struct(F.col("at"), F.col("place")))
+    met = staged(following(rows.unionByName(goals), keys, ["place", "kind", "at"], then=row), "met")
+    full = met.where("kind = 0").select(*keys, "at", F.col("then.at").alias("fills"))
+    after = met.where("kind = 1").select(*keys, F.col("at").alias("fills"), F.col("then.at").alias("next"))
+    pointers = full.join(after, [*keys, "fills"], "left").select(*keys, "at", "next")
+    begins = walk(pointers, keys).select(*keys, F.col("at").alias("start"), F.col("at").alias("own"))
+    owned = following(own.join(begins, [*keys, "start"], "left"), keys, ["start"], True, before=F.col("own")).withColumn("own", F.coalesce("own", "before"))
+    return owned.groupBy(*keys, "own").agg(F.max("end").alias("end"), F.sum(F.floor(F.col(value) + 0.5)).cast("bigint").alias("depth")).select(*keys, F.col("own").alias("start"), "end", "depth")
+
+
 def to_matrix(long: DataFrame, samples: list[str], value: str, keys: tuple[str, ...] = ("chrom", "start", "end")) -> DataFrame:
     """One column per sample, 0 where a sample has no row."""
     return long.groupBy(*keys).pivot("sample", samples).agg(F.first(value)).na.fill(0, samples)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import math as fm
 from ..functions import text as ft
+from ..operators.sequences import ranked
 from ..operators import copynumber, depth, evaluation, intervals, matrix, ranks, readstats, split, tiles
 from .adapters import alignments, calls_and_truths, index_tiles, order_sides, read_regions, signal, sql, table, tile_contigs
 
@@ -71,7 +72,7 @@ b AS (SELECT chrom, min(pos) AS s, max(pos) + 1 AS e FROM i GROUP BY chrom, isla
 
 def _blocks(spark, d) -> tuple[DataFrame, DataFrame]:
     reads = alignments(spark, d)
-    return reads, depth.site_blocks(depth.sufficient_sites(reads, 3, least=45, share=0.5))
+    return reads, depth.site_blocks(depth.sufficient_runs(reads, 3, least=45, share=0.5))
 
 
 @query("sample_blocks", sql("aln", _SITES + ' SELECT chrom, s AS start, e AS "end" FROM b'))
@@ -100,82 +101,68 @@ def misaligned_windows(spark, d):
     return depth.misaligned(depth.widened(_windows(spark, d), 4), 3)
 
 
-# ---- interval algebra -----------------------------------------------------------------------
-def _odd(spark, d):
-    reads = alignments(spark, d).where("mapq = 1").select("chrom", "start", "end", "read_id", "sample")
-    return reads.where("read_id % 2 = 1 AND sample = 'A'"), reads.where("read_id % 2 = 0 AND sample = 'R' AND read_id % 50 = 0")
+_UNEVEN = """, pts AS (SELECT sample, chrom, unnest(range(s, e)) AS pos FROM aln), cnt AS (SELECT sample, chrom, pos, count(*) AS n FROM pts GROUP BY ALL),
+seg AS (SELECT sample, chrom, n, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT *, pos - row_number() OVER (PARTITION BY sample, chrom, n ORDER BY pos) AS run FROM cnt) GROUP BY sample, chrom, n, run),
+w AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sample, chrom ORDER BY s) AS k FROM seg),
+b AS (SELECT sample, chrom, 1::BIGINT AS k FROM w WHERE k = 1
+    UNION ALL SELECT b.sample, b.chrom, min(w.k) + 1 FROM b JOIN w o ON o.sample = b.sample AND o.chrom = b.chrom AND o.k = b.k JOIN w ON w.sample = b.sample AND w.chrom = b.chrom AND w.e >= o.s + 100 GROUP BY b.sample, b.chrom, b.k),
+z AS (SELECT w.*, max(b.k) AS own FROM w JOIN b ON b.sample = w.sample AND b.chrom = w.chrom AND b.k <= w.k GROUP BY ALL)
+SELECT sample, chrom, min(s) AS start, max(e) AS "end", sum(n)::BIGINT AS depth FROM z GROUP BY sample, chrom, own"""
 
 
-_AB = "a AS (SELECT chrom, s, e, read_id FROM aln WHERE mapq = 1 AND read_id % 2 = 1 AND sample = 'A'), b AS (SELECT chrom, s, e, read_id FROM aln WHERE mapq = 1 AND read_id % 2 = 0 AND sample = 'R' AND read_id % 50 = 0)"
-_POINTS = ", " + _AB + ", pa AS (SELECT DISTINCT chrom, unnest(range(s, e)) AS pos FROM a), pb AS (SELECT DISTINCT chrom, unnest(range(s, e)) AS pos FROM b), x AS ({points}), r AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS run FROM x) SELECT chrom, min(pos) AS start, max(pos) + 1 AS \"end\" FROM r GROUP BY chrom, run"
+@query("uneven_windows", sql("aln", _UNEVEN))
+def uneven_windows(spark, d):
+    """Stretches of one depth, of any length, as windows that gather until they span 100 positions."""
+    return depth.widened_to(depth.pileup_segments(alignments(spark, d)), 100, "depth")
 
 
-@query("overlap_pairs", sql("aln", ", " + _AB + ' SELECT a.chrom, a.read_id, a.s AS start, a.e AS "end", b.read_id AS other, b.s AS other_start, b.e AS other_end FROM a JOIN b ON a.chrom = b.chrom AND a.e > b.s AND a.s < b.e'))
-def overlap_pairs(spark, d):
-    a, b = (x.select("chrom", "start", "end", "read_id") for x in _odd(spark, d))
-    met = intervals.overlap_join(a, b, ["chrom"], 32)
-    return met.select("chrom", "read_id", "start", "end", F.col("read_id_b").alias("other"), F.col("start_b").alias("other_start"), F.col("end_b").alias("other_end"))
-
-
-@query("overlap_exists", sql("aln", ", " + _AB + ' SELECT chrom, read_id, s AS start, e AS "end" FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.e > b.s AND a.s < b.e)'))
-def overlap_exists(spark, d):
-    a, b = (x.select("chrom", "start", "end", "read_id") for x in _odd(spark, d))
-    return intervals.overlapping(a, b, ["chrom"], 32, ["chrom", "read_id", "start", "end"]).select("chrom", "read_id", "start", "end")
-
-
-@query("interval_merge", sql("aln", _POINTS.format(points="SELECT * FROM pa")))
-def interval_merge(spark, d):
-    return intervals.merge(_odd(spark, d)[0], ["chrom"])
-
-
-@query("interval_subtract", sql("aln", _POINTS.format(points="SELECT * FROM pa EXCEPT SELECT * FROM pb")))
-def interval_subtract(spark, d):
-    a, b = _odd(spark, d)
-    return intervals.subtract(a, b, ["chrom"])
-
-
-@query("interval_intersect", sql("aln", _POINTS.format(points="SELECT * FROM pa INTERSECT SELECT * FROM pb")))
-def interval_intersect(spark, d):
-    a, b = _odd(spark, d)
-    return intervals.intersect(a, b, ["chrom"], 256)
-
-
-@query("interval_complement", sql("aln", _POINTS.format(points="SELECT chrom, unnest(range(0, t)) AS pos FROM (SELECT chrom, max(e) AS t FROM aln GROUP BY chrom) EXCEPT SELECT * FROM pb")))
-def interval_complement(spark, d):
-    extent = alignments(spark, d).groupBy("chrom").agg(F.max("end").alias("length"))
-    return intervals.complement(_odd(spark, d)[1], extent, ["chrom"])
+# ---- interval algebra: line items of odd orders against those of even orders, a contig a supplier ----
+_SIDES = "sides AS (SELECT l_suppkey::VARCHAR AS chrom, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS s, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) + l_quantity::BIGINT AS e, l_orderkey AS read_id, l_linenumber AS part FROM lineitem), a AS (SELECT * FROM sides WHERE read_id % 2 = 1), b AS (SELECT * FROM sides WHERE read_id % 2 = 0)"
+_POINTS = "WITH " + _SIDES + ", pa AS (SELECT DISTINCT chrom, unnest(range(s, e)) AS pos FROM a), pb AS (SELECT DISTINCT chrom, unnest(range(s, e)) AS pos FROM b), x AS ({points}), r AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS run FROM x) SELECT chrom, min(pos) AS start, max(pos) + 1 AS \"end\" FROM r GROUP BY chrom, run"
+_PAIRS = "WITH " + _SIDES + ' SELECT a.chrom, a.read_id, a.part, a.s AS start, a.e AS "end", b.read_id AS other_read_id, b.part AS other_part, b.s AS other_start, b.e AS other_end FROM a JOIN b ON a.chrom = b.chrom AND a.e > b.s AND a.s < b.e'
+_EXISTS = "WITH " + _SIDES + ' SELECT chrom, read_id, part, s AS start, e AS "end" FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.e > b.s AND a.s < b.e)'
+_UNION = _POINTS.format(points="SELECT * FROM pa UNION SELECT * FROM pb")
+_MINUS = _POINTS.format(points="SELECT * FROM pa EXCEPT SELECT * FROM pb")
+_BOTH = _POINTS.format(points="SELECT * FROM pa INTERSECT SELECT * FROM pb")
+_NEITHER = _POINTS.format(points="SELECT chrom, unnest(range(0, t)) AS pos FROM (SELECT chrom, max(e) AS t FROM sides GROUP BY chrom) EXCEPT (SELECT * FROM pa UNION SELECT * FROM pb)")
 
 
-# The six above keep to the rows of their SQL; the same operators over every row, held against brute force.
-@query("all_overlap_pairs")
-def all_overlap_pairs(spark, d):
+# every query has its older name, ``all_...``, too
+@query("overlap_pairs", _PAIRS)
+@query("all_overlap_pairs", _PAIRS)
+def overlap_pairs(spark, d):
     met = intervals.overlap_join(*order_sides(spark, d), ["chrom"], 32)
     return met.select("chrom", "read_id", "part", "start", "end", *(F.col(f"{c}_b").alias(f"other_{c}") for c in ("read_id", "part", "start", "end")))
 
 
-@query("all_overlap_exists")
-def all_overlap_exists(spark, d):
+@query("overlap_exists", _EXISTS)
+@query("all_overlap_exists", _EXISTS)
+def overlap_exists(spark, d):
     return intervals.overlapping(*order_sides(spark, d), ["chrom"], 32, ["chrom", "read_id", "part", "start", "end"])
 
 
-@query("all_interval_merge")
-def all_interval_merge(spark, d):
+@query("interval_merge", _UNION)
+@query("all_interval_merge", _UNION)
+def interval_merge(spark, d):
     a, b = order_sides(spark, d)
     return intervals.merge(a.unionByName(b), ["chrom"])
 
 
-@query("all_interval_subtract")
-def all_interval_subtract(spark, d):
+@query("interval_subtract", _MINUS)
+@query("all_interval_subtract", _MINUS)
+def interval_subtract(spark, d):
     return intervals.subtract(*order_sides(spark, d), ["chrom"])
 
 
-@query("all_interval_intersect")
-def all_interval_intersect(spark, d):
-    return intervals.intersect(*order_sides(spark, d), ["chrom"], 256)
+@query("interval_intersect", _BOTH)
+@query("all_interval_intersect", _BOTH)
+def interval_intersect(spark, d):
+    return intervals.intersect(*order_sides(spark, d), ["chrom"])
 
 
-@query("all_interval_complement")
-def all_interval_complement(spark, d):
+@query("interval_complement", _NEITHER)
+@query("all_interval_complement", _NEITHER)
+def interval_complement(spark, d):
     a, b = order_sides(spark, d)
     both = a.unionByName(b)
     return intervals.complement(both, both.groupBy("chrom").agg(F.max("end").alias("length")), ["chrom"])
@@ -370,9 +357,10 @@ def _reads(spark, d) -> DataFrame:
     pos = F.datediff(F.col("l_shipdate").cast("date"), F.expr("DATE'1992-01-01'")).cast("bigint")
     length = 50 + F.col("l_quantity").cast("int")
     flag = F.when(F.col("l_linenumber") == 7, 4).when((F.col("l_orderkey") % 11) == 0, 1024).when((F.col("l_orderkey") % 13) == 0, 512).otherwise(F.when(F.col("l_partkey") % 4 != 0, 2).otherwise(0))
-    order = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")) - 1
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
+    items = ranked(items.select("l_returnflag", *order), order, "ord", ("l_returnflag",))
     return items.select(
-        F.col("l_returnflag").alias("sample"), order.cast("bigint").alias("ord"), flag.alias("flag"), pos.alias("pos"), (pos + F.col("l_suppkey") % 300 - 20).alias("mate_pos"), (pos + length).alias("end"),
+        F.col("l_returnflag").alias("sample"), "ord", flag.alias("flag"), pos.alias("pos"), (pos + F.col("l_suppkey") % 300 - 20).alias("mate_pos"), (pos + length).alias("end"),
         (F.col("l_suppkey") % 300 + length).alias("tlen"), length.alias("read_len"), F.when(F.col("l_partkey") % 9 == 0, 2).otherwise(1).alias("n_cigar"), F.lit("M").alias("cigar_first"),
     )
 

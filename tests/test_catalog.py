@@ -43,6 +43,7 @@ def test_interval_queries_take_every_row(spark, sf):
     pairs = [(c, *x, *y) for c in sides[0] for x in sides[0][c] for y in sides[1][c] if x[3] > y[2] and x[2] < y[3]]
     assert got("all_overlap_pairs") == sorted(pairs)
     assert got("all_overlap_exists") == sorted({p[:5] for p in pairs})
+    assert QUERIES["overlap_pairs"] is QUERIES["all_overlap_pairs"]
     points = [{(c, p) for c in side for x in side[c] for p in range(x[2], x[3])} for side in sides]
     ends = defaultdict(int)
     for c, p in points[0] | points[1]:

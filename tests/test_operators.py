@@ -136,6 +136,115 @@ def test_interval_algebra_against_points(spark):
     assert pairs == sum(x[0] == y[0] and x[2] > y[1] and x[1] < y[2] for x in a for y in b)
 
 
+@pytest.mark.parametrize("shard", [3, 16, 1000])
+def test_shards_do_not_show(spark, shard):
+    rng = np.random.default_rng(shard)
+    make = lambda n: [("c" if rng.random() < 0.5 else "d", int(s), int(s + rng.integers(1, 12))) for s in rng.integers(0, 150, n)]
+    a, b = [*make(12), ("e", 0, 90), ("e", 200, 201)], [*make(9), ("e", 40, 50)]
+    da, db = (spark.createDataFrame(x, "chrom string, start long, end long") for x in (a, b))
+    points = lambda rows: {(c, p) for c, s, e in rows for p in range(s, e)}
+
+    def runs(found, gap=0):
+        out = []
+        for c, p in sorted(found):
+            if out and out[-1][0] == c and p - out[-1][2] <= gap:
+                out[-1][2] = p + 1
+            else:
+                out.append([c, p, p + 1])
+        return [tuple(x) for x in out]
+
+    got = lambda df: sorted((r["chrom"], r["start"], r["end"]) for r in df.collect())
+    assert got(intervals.merge(da, ["chrom"], shard=shard)) == runs(points(a))
+    assert got(intervals.merge(da, ["chrom"], 5, shard)) == runs(points(a), 5)
+    assert got(intervals.subtract(da, db, ["chrom"], shard)) == runs(points(a) - points(b))
+    assert got(intervals.intersect(da, db, ["chrom"], shard)) == runs(points(a) & points(b))
+    extent = spark.createDataFrame([("c", 170), ("d", 100), ("f", 7)], "chrom string, length long")
+    whole = {(c, p) for c, n in (("c", 170), ("d", 100), ("f", 7)) for p in range(n)}
+    assert got(intervals.complement(da, extent, ["chrom"], shard)) == runs(whole - points(a))
+    regions = spark.createDataFrame([("s", "c", 5, 170), ("s", "d", 0, 100), ("s", "f", 2, 7)], "sample string, chrom string, from long, to long")
+    blocks = depth.class_blocks(da.selectExpr("'s' AS sample", "*"), regions, least=2, most=3, shard=shard).collect()
+    depth_at = {}
+    for c, s, e in a:
+        for p in range(s, e):
+            depth_at[c, p] = depth_at.get((c, p), 0) + 1
+    kind = lambda n: "NO_COVERAGE" if n == 0 else "LOW_COVERAGE" if n < 2 else "EXCESSIVE_COVERAGE" if n >= 3 else "CALLABLE"
+    want = []
+    for c, lo, hi in (("c", 5, 170), ("d", 0, 100), ("f", 2, 7)):
+        for p in range(lo, hi):
+            k = kind(depth_at.get((c, p), 0))
+            if want and want[-1][0] == c and want[-1][2] == p and want[-1][3] == k:
+                want[-1][2] = p + 1
+            else:
+                want.append([c, p, p + 1, k])
+    assert sorted((r["chrom"], r["start"], r["end"], r["class"]) for r in blocks) == sorted(map(tuple, want))
+    sites = depth.site_blocks(da.where("false").unionByName(intervals.merge(da, ["chrom"], shard=shard)), skip=2, size=4, longest=20, shard=shard)
+    plain = []
+    for c in "cde":
+        own, at = sorted(p for x, p in points(a) if x == c), 0
+        while at < len(own):
+            stop = at
+            while stop + 1 < len(own) and own[stop + 1] - own[stop] - 1 <= 2:
+                stop += 1
+            if stop - at + 1 >= 4:
+                island, first = own[at : stop + 1], own[at]
+                if island[-1] + 1 - first <= 20:
+                    plain.append((c, first, island[-1] + 1))
+                else:
+                    last = first
+                    for p in island:
+                        if p - first >= 20:
+                            plain.append((c, first, last + 1))
+                            first = p
+                        last = p
+                    plain.append((c, first, last + 1))
+            at = stop + 1
+    assert got(sites) == sorted(plain)
+
+
+def test_only_edges_meet_along_a_contig(spark):
+    rows = spark.range(40_000).selectExpr("IF(id % 2 = 0, 'c', 'd') AS chrom", "id * 10 AS start", "id * 10 + 5 AS end")
+    plan = intervals.merge(rows, ["chrom"], shard=10_000)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    along = [k for k, line in enumerate(plan) if "Window [" in line and "_bin#" not in line]
+    # windows along a contig stand above the filter that leaves two islands a shard
+    assert along and all(any("Filter" in x and "_island" in x for x in plan[k:]) for k in along)
+    assert intervals.merge(rows, ["chrom"], shard=10_000).count() == 40_000
+
+
+def test_a_contig_long_interval_makes_few_rows(spark):
+    long = spark.createDataFrame([("c", 0, 250_000_000, 1), ("c", 7, 9, 2), ("c", 1000, 70_000, 3)], "chrom string, start long, end long, i int")
+    small = spark.range(3000).selectExpr("'c' AS chrom", "id * 80000 AS start", "id * 80000 + 20 AS end", "id AS j")
+    levels = intervals.levels_of(small, "start", "end", 32)
+    assert intervals.placed(long, "start", "end", 32, levels).count() <= 3 * 10 and levels == [0]
+    of_long = intervals.levels_of(long, "start", "end", 32)
+    assert len(of_long) == 3 and intervals.placed(small, "start", "end", 32, of_long).count() <= 3000 * 6
+    want = sum(s < e2 and e > s2 for s, e in ((0, 250_000_000), (7, 9), (1000, 70_000)) for s2, e2 in ((k * 80000, k * 80000 + 20) for k in range(3000)))
+    assert intervals.overlap_join(long, small, ["chrom"], 32).count() == intervals.overlap_join(small, long, ["chrom"], 32).count() == want
+
+
+def test_uneven_windows(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for key in (("s", "c"), ("s", "d"), ("t", "c")):
+        at = 0
+        for _ in range(60):
+            at += int(rng.integers(0, 4))
+            end = at + int(rng.integers(1, 30))
+            rows.append((*key, at, end, float(rng.integers(0, 90)) / 10))
+            at = end
+    got = sorted(tuple(r) for r in depth.widened_to(spark.createDataFrame(rows, "sample string, chrom string, start long, end long, mean double"), 50).collect())
+    want = []
+    for key in sorted({r[:2] for r in rows}):
+        block = None
+        for _, _, s, e, m in sorted(r for r in rows if r[:2] == key):
+            block = (s, e, int(m + 0.5)) if block is None else (block[0], e, block[2] + int(m + 0.5))
+            if e - block[0] >= 50:
+                want.append((*key, *block))
+                block = None
+        if block:
+            want.append((*key, *block))
+    assert got == want
+
+
 def test_even_regions_tile_contigs(spark):
     rng = np.random.default_rng(3)
     cells = [(f"s{s}", "c1", t, int(rng.integers(0, 10**9))) for s in range(3) for t in range(80)] + [("s0", "c1", 40, 10**12)]
