@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Texts that a task holds in chains before it sends them on.
-CHAIN_BYTES = 16_000_000
+#: Bytes of texts that a task holds in chains before it sends them on, and that a partition of fingerprints receives at most on average.
+CHAIN_BYTES, PARTITION_BYTES = 16_000_000, 32_000_000
 _UPPER = bytes(range(65, 91))
 _INNER = bytes(range(128, 192))  # of UTF-8: all bytes of a character but its first
 
@@ -102,8 +102,9 @@ def judged(repeat: int) -> Callable[[Iterable], Iterator]:
 def failed_filters(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang", judge: Callable[[bytes], int] = failures, own: int = 4) -> DataFrame:
     """``id, part, mask`` of every document: bits of the ``own`` filters that ``judge`` finds, then that of repeated texts."""
     rows = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))), F.col(key).cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")), F.col(text).cast("binary")).rdd
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     records = rows.mapPartitions(own_chains(judge, 1 << own))
-    routed = records.repartitionAndSortWithinPartitions(max(2, 2 * rows.getNumPartitions()), lambda k: k[0])
+    routed = records.repartitionAndSortWithinPartitions(max(rows.getNumPartitions(), total // PARTITION_BYTES, 2), lambda k: k[0])
     return docs.sparkSession.createDataFrame(routed.mapPartitions(judged(1 << own)), "id long, part string, mask int", verifySchema=False)
 
 

@@ -98,13 +98,13 @@ def within_limits(table: pa.Table, k: int, low: int, high: int) -> pa.Table:
     return pa.table(dict(zip(("anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
-def dealt(anchors: DataFrame, rows: DataFrame, group: str, counts: DataFrame) -> DataFrame:
-    """Both sides in cells: a group's anchors in ``p`` blocks, its rows in ``q`` (``counts``: group, p, q), each block of one side with all of the other."""
+def dealt(anchors: DataFrame, rows: DataFrame):
+    """Both sides in cells by ``g, i, j``: a group's anchors in ``p`` blocks, its rows in ``q`` (columns of both), each block of one side with all of the other."""
+
     def side(df: DataFrame, own: str, other: str, anchor: bool) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.col(own))
-        met = df.join(counts, group).withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        met = df.withColumn("_own", F.pmod(F.xxhash64("id"), F.col(own))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
         i, j = ("_own", "_other") if anchor else ("_other", "_own")
-        return met.select(F.col(group).alias("g"), F.col(i).alias("i"), F.col(j).alias("j"), F.lit(anchor).alias("anchor"), "id", "label", "v", *(["positives"] if "positives" in anchors.columns else []))
+        return met.select("g", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(anchor).alias("anchor"), "id", "label", "v", *(["positives"] if "positives" in anchors.columns else []))
 
     if "positives" in anchors.columns:
         rows = rows.withColumn("positives", F.lit(None).cast(anchors.schema["positives"].dataType))
@@ -135,15 +135,15 @@ def mine(df: DataFrame, anchor: str, key: str = "vec_id", label: str = "label",
     group = F.when(F.col("rows") * 2 > block, F.struct(F.lit(1).alias("own"), F.col("label").alias("of"))).otherwise(F.struct(F.lit(0).alias("own"), F.pmod(F.xxhash64("label"), F.lit(packs)).alias("of")))
     own = staged(own.withColumn("g", group), "labels")
     parts = own.groupBy("g").agg(F.ceil(F.sum("anchors") / block).cast("long").alias("p"), F.ceil(F.sum("rows") / block).cast("long").alias("q"))
-    named = own.select("label", "g")
-    cells = dealt(anchors.join(named, "label"), rows.join(named, "label").drop("asks"), "g", parts)
+    named = own.select("label", "g").join(parts, "g")
+    cells = dealt(anchors.join(named, "label"), rows.drop("asks").join(named, "label"))
     near = cells.applyInArrow(tidy(lambda table: best_of_label(table, positives)), "anchor_id long, positive_id long, positive_score long")
     best = staged(top(near, ["anchor_id"], "positive_score", "positive_id", positives), "positives")
     lists = best.groupBy(F.col("anchor_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("positives"))  # of ``positives`` rows at most
     # at least a cell for each core, at most a block on either side
     q = max(1, -(-total // block), min(spark.sparkContext.defaultParallelism, total // 1024))
-    whole = spark.range(1).select(F.lit(0).alias("g"), F.lit(max(1, -(-asked // block))).cast("long").alias("p"), F.lit(q).cast("long").alias("q"))
-    every = dealt(anchors.join(lists, "id").withColumn("g", F.lit(0)), rows.drop("asks").withColumn("g", F.lit(0)), "g", F.broadcast(whole))
+    whole = {"g": F.lit(0), "p": F.lit(max(1, -(-asked // block))).cast("long"), "q": F.lit(q).cast("long")}
+    every = dealt(anchors.join(lists, "id").withColumns(whole), rows.drop("asks").withColumns(whole))
     far = every.applyInArrow(tidy(lambda table: within_limits(table, negatives, low, high)), "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
     out = top(far, ["anchor_id", "positive_id", "positive_score"], "negative_score", "negative_id", negatives)
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
