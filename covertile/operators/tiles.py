@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.math import SLOT_SHARE, SLOTS, TILE_WIDTH, quantised_depth, scaled_depth, slot_of
 from ..functions.text import bare_contig, excluded, is_sex_contig
+from ..staging import staged
+from . import cohort
 from .ranks import capped_weighted_median
 
 
@@ -151,38 +153,37 @@ def normalised(depths: DataFrame) -> DataFrame:
     return depths.select("sample", "chrom", F.col("tile").cast("bigint").alias("tile"), "depth").groupBy("chrom").applyInPandas(work, "sample string, chrom string, tile long, depth double")
 
 
-def gram(depths: DataFrame, samples: list[str], value: str = "depth") -> np.ndarray:
-    """Samples' products over all tiles: the matrix is samples x samples, whatever the number of tiles."""
-    cells = depths.groupBy("chrom", "tile").pivot("sample", samples).agg(F.first(value)).na.fill(0.0, samples)
-    sums = [F.sum(F.col(a).cast("double") * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(samples) for j, b in enumerate(samples) if i <= j]
-    means = [F.avg(F.col(a).cast("double")).alias(f"m{i}") for i, a in enumerate(samples)]
-    row = cells.agg(F.count("*").alias("n"), *sums, *means).first()
-    k, n = len(samples), row["n"]
-    if not n:
-        return np.zeros((k, k))
-    return np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-
-
-def projections(depths: DataFrame, samples: list[str], components: int = 5, sexes: tuple[str, ...] = ("X", "Y")) -> tuple[np.ndarray, np.ndarray]:
-    """Each sample's projections on the principal components and the components' shares of the variance.
+def projections(depths: DataFrame, components: int = 5, sexes: tuple[str, ...] = ("X", "Y")) -> DataFrame:
+    """``sample, component, projection, share``: each sample's projections on the principal components, and the components' shares of the variance.
 
     Samples are rows and tiles columns; the eigenvectors of the centred product matrix give the
     components, the uncentred rows are projected on them, and each component's sign makes its largest
     projection positive.  Under three components there are none.
     """
     own = depths.where(~is_sex_contig(F.col("chrom"), sexes)).withColumn("q", quantised_depth(F.col("depth")))
-    g = gram(own, samples, "q")
-    k = len(samples)
-    centre = np.eye(k) - 1 / k
-    values, vectors = np.linalg.eigh(centre @ g @ centre)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    kept = min(components, int((values > values[0] * 1e-12).sum()) if values[0] > 0 else 0)
+    samples = cohort.numbered(own)
+    k = samples.count()
+    if k < 3:
+        return own.sparkSession.createDataFrame([], "sample string, component int, projection double, share double")
+    tiles = cohort.product_tiles(own, samples, ["chrom", "tile"], "q")
+    vectors, values, trace, width = cohort.leading(tiles, k, components, centre=True)
+    kept = int((values > values[0] * 1e-12).sum()) if values[0] > 0 else 0
+    # the component of eigenvector u is (centred rows)' u / sqrt(value); rows times it is G C u / sqrt(value), and u is centred
+    rows = cohort.by_sample(cohort.multiplied(tiles, vectors, width), samples, width)
+    facts = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(float(np.sqrt(v) or 1.0)).alias("root"), F.lit(float(v / trace) if trace > 0 else 0.0).alias("share")) for c, v in enumerate(values[:kept])))
     if kept < 3:
-        return np.zeros((k, 0)), np.zeros(0)
-    # the component of eigenvector u is (centred rows)' u / sqrt(value); rows times it is G C u / sqrt(value)
-    out = g @ centre @ vectors[:, :kept] / np.sqrt(values[:kept])
-    out *= np.sign(out[np.abs(out).argmax(0), np.arange(kept)])
-    return out, values[:kept] / values.sum()
+        return own.sparkSession.createDataFrame([], "sample string, component int, projection double, share double")
+    long = rows.select("sample", "v", F.explode(facts).alias("f")).select("sample", (F.col("f.c") + 1).alias("component"), (F.col("v")[F.col("f.c")] / F.col("f.root")).alias("projection"), "f.share")
+    long = staged(long, "projections")
+    largest = long.groupBy("component").agg(F.signum(F.max_by("projection", F.struct(F.abs("projection"), "sample"))).alias("_sign"))
+    return long.join(largest, "component").select("sample", "component", (F.col("projection") * F.col("_sign")).alias("projection"), "share")
+
+
+def with_components(pedigree: DataFrame, projected: DataFrame, components: int = 5) -> DataFrame:
+    """The pedigree table with ``PC1`` and so on; null where there are none."""
+    wide = projected.groupBy("sample").pivot("component", list(range(1, components + 1))).agg(F.first("projection"))
+    named = wide.select(F.col("sample").alias("sample_id"), *(F.col(str(c)).alias(f"PC{c}") for c in range(1, components + 1)))
+    return pedigree.join(named, "sample_id", "left").select(*pedigree.columns, *(f"PC{c}" for c in range(1, components + 1)))
 
 
 def pedigree(depths: DataFrame, contigs: DataFrame, sexes: tuple[str, ...] = ("X", "Y"), stats: DataFrame | None = None) -> DataFrame:

@@ -284,13 +284,26 @@ def normalised_tiles(spark, d):
     return tiles.normalised(_depths(spark, d)).withColumn("depth", F.round("depth", 6))
 
 
-@query("sample_projections")
+def _leading(matrix_: str, name: str) -> str:
+    """The first eigenvector of a symmetric matrix ``(i, j, v)``, by squaring the matrix thirty times, and the matrix less that component."""
+    return f""", {name}_p AS (SELECT 0 AS n, i, j, v FROM {matrix_}
+    UNION ALL SELECT n, i, j, v / sum(v) FILTER (i = j) OVER () FROM (SELECT a.n + 1 AS n, a.i, b.j, sum(a.v * b.v) AS v FROM {name}_p a JOIN {name}_p b ON a.j = b.i WHERE a.n < 30 GROUP BY a.n, a.i, b.j)),
+{name}_c AS (SELECT i, v, sum(v * v) OVER () AS q FROM {name}_p WHERE n = 30 AND j = (SELECT arg_max(i, v) FROM {name}_p WHERE n = 30 AND i = j)),
+{name} AS (SELECT i, v / sqrt(q) AS u FROM {name}_c), {name}_l AS (SELECT sum(g.v * a.u * b.u) AS l FROM {matrix_} g JOIN {name} a ON a.i = g.i JOIN {name} b ON b.i = g.j),
+{name}_rest AS (SELECT g.i, g.j, g.v - l * a.u * b.u AS v FROM {name}_l, {matrix_} g JOIN {name} a ON a.i = g.i JOIN {name} b ON b.i = g.j)"""
+
+
+_PROJECTED = f""", qd AS (SELECT sample AS i, chrom, tile, floor(least(depth, 8.0) * (65535 / 8) + 0.5) AS q FROM depths WHERE chrom NOT IN {_SEX}),
+who AS (SELECT DISTINCT i FROM qd), raw AS (SELECT a.i, b.i AS j, sum(a.q * b.q) AS v FROM qd a JOIN qd b USING (chrom, tile) GROUP BY a.i, b.i),
+gm AS (SELECT i, j, v - avg(v) OVER (PARTITION BY i) - avg(v) OVER (PARTITION BY j) + avg(v) OVER () AS v FROM raw), tr AS (SELECT sum(v) AS t FROM gm WHERE i = j)""" + _leading("gm", "e1") + _leading("e1_rest", "e2") + _leading("e2_rest", "e3") + _leading("e3_rest", "e4") + """,
+every AS (SELECT 1 AS component, i, u, l FROM e1, e1_l UNION ALL SELECT 2, i, u, l FROM e2, e2_l UNION ALL SELECT 3, i, u, l FROM e3, e3_l UNION ALL SELECT 4, i, u, l FROM e4, e4_l),
+pr AS (SELECT component, raw.i, sum(raw.v * u) / sqrt(l) AS p, l / t AS share FROM every JOIN raw ON raw.j = every.i, tr GROUP BY component, raw.i, l, t)
+SELECT i AS sample, component, round(p * sign(first_value(p) OVER (PARTITION BY component ORDER BY abs(p) DESC)), 2) AS projection, round(share, 6) AS share FROM pr"""
+
+
+@query("sample_projections", sql("tiles medians depths", _PROJECTED))
 def sample_projections(spark, d):
-    depths = _depths(spark, d)
-    names = sorted(r["sample"] for r in depths.select("sample").distinct().collect())
-    out, share = tiles.projections(depths, names, sexes=SEXES)
-    rows = [(n, c + 1, float(out[i, c]), float(share[c])) for i, n in enumerate(names) for c in range(out.shape[1])]
-    return spark.createDataFrame(rows, "sample string, component int, projection double, share double")
+    return tiles.projections(_depths(spark, d), sexes=SEXES).withColumns({"projection": F.round("projection", 2), "share": F.round("share", 6)})
 
 
 # ---- even regions ---------------------------------------------------------------------------
@@ -487,9 +500,26 @@ def bucket_median(spark, d):
     return matrix.bucketed(_matrix(spark, d), "gc", 5).withColumn("depth", F.round("depth", 6))
 
 
-@query("without_components")
+_DEBIASED = _MATRIX + """, mb AS (SELECT * FROM mx WHERE gc BETWEEN 5 AND 95), l AS (SELECT sample, list(depth ORDER BY gc, chrom, start, "end") AS own, count(*) AS n FROM mb GROUP BY sample),
+taken AS (SELECT sample, n, list_median(own[1:5]) AS early, list_concat(own[1:5], own[11:]) AS v FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY gc, chrom, start, "end") - 1 AS i FROM mb),
+lv AS (SELECT sample, i, CASE WHEN i < 5 OR n < 11 THEN early ELSE list_median(v[greatest(1, least(i, n - 6) - 7):least(i, n - 6) + 1]) END AS level FROM r JOIN taken USING (sample)),
+free AS (SELECT sample, chrom, start, "end", depth / greatest(1, level) AS depth FROM r JOIN lv USING (sample, i)),
+lr AS (SELECT sample, depth, row_number() OVER (PARTITION BY sample ORDER BY depth) - 1 AS k, count(*) OVER (PARTITION BY sample) AS n FROM free WHERE depth > 0), top AS (SELECT sample, max(depth) FILTER (k = floor(n * 0.65)) AS level FROM lr GROUP BY sample)
+SELECT chrom, start, "end", sample, round(depth / level, 6) AS depth FROM free JOIN top USING (sample)"""
+
+
+@query("debiased_depths", sql("aln regions", _DEBIASED))
+def debiased_depths(spark, d):
+    """Windows within the covariate's bounds, debiased in its order and divided by their sample's level."""
+    return matrix.debiased(_matrix(spark, d), "gc", 9, (5, 95)).withColumn("depth", F.round("depth", 6))
+
+
+@query("without_components", sql("aln regions", _MATRIX + """, gm AS (SELECT a.sample AS i, b.sample AS j, sum(a.depth * b.depth) AS v FROM mx a JOIN mx b USING (chrom, start, "end") GROUP BY a.sample, b.sample), tr AS (SELECT sum(v) AS t FROM gm WHERE i = j)""" + _leading("gm", "e1") + _leading("e1_rest", "e2") + """,
+d1 AS (SELECT mx.chrom, mx.start, mx."end", sample, depth, e1.u AS u1, e2.u AS u2 FROM mx JOIN e1 ON e1.i = sample JOIN e2 ON e2.i = sample)
+SELECT chrom, start, "end", sample, round(depth - CASE WHEN 100 * e1_l.l / t > 15 THEN u1 * sum(depth * u1) OVER w ELSE 0 END - CASE WHEN 100 * e1_l.l / t > 15 AND 100 * e2_l.l / t > 15 THEN u2 * sum(depth * u2) OVER w ELSE 0 END, 4) + 0.0 AS depth
+FROM d1, e1_l, e2_l, tr WINDOW w AS (PARTITION BY chrom, start, "end")"""))
 def without_components(spark, d):
-    return matrix.without_components(_matrix(spark, d), ["A", "N", "R"]).withColumn("depth", F.round("depth", 6))
+    return matrix.without_components(_matrix(spark, d)).withColumn("depth", F.round("depth", 4) + F.lit(0.0))
 
 
 # ---- copy numbers ---------------------------------------------------------------------------

@@ -262,10 +262,34 @@ def test_projections_equal_singular_vectors(spark):
     rng = np.random.default_rng(1)
     d = rng.random((6, 50)).round(3)
     df = spark.createDataFrame([(f"s{i}", "c", j, float(d[i, j])) for i in range(6) for j in range(50)], "sample string, chrom string, tile long, depth double")
-    got, share = tiles.projections(df, [f"s{i}" for i in range(6)])
+    got, share = projected(tiles.projections(df), 5)
     q = np.floor(np.minimum(d, 8) * (65535 / 8) + 0.5)
     _, s, vt = np.linalg.svd(q - q.mean(0), full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(q @ vt[:5].T), rtol=1e-4) and np.allclose(share, (s**2 / (s**2).sum())[:5], rtol=1e-6)
+    assert (got[np.abs(got).argmax(0), np.arange(5)] > 0).all()
+    assert tiles.projections(df.where("sample < 's2'")).count() == 0
+
+
+def projected(df, components):
+    rows = df.collect()
+    names = sorted({r["sample"] for r in rows})
+    got, share = np.zeros((len(names), components)), np.zeros(components)
+    for r in rows:
+        got[names.index(r["sample"]), r["component"] - 1], share[r["component"] - 1] = r["projection"], r["share"]
+    return got, share
+
+
+def test_a_cohort_of_500_samples(spark, monkeypatch):
+    from covertile.operators import cohort
+
+    monkeypatch.setattr(cohort, "CHUNK", 20_000)  # several chunks of cells
+    rng = np.random.default_rng(6)
+    d = (np.outer(rng.random(500), rng.random(90)) * 3 + np.outer(rng.random(500) > 0.7, rng.random(90) > 0.5) + rng.random((500, 90)) / 20).round(3)
+    df = spark.createDataFrame([(f"s{i:03}", "c", j, float(d[i, j])) for i in range(500) for j in range(90)], "sample string, chrom string, tile long, depth double").repartition(6)
+    got, share = projected(tiles.projections(df, components=3), 3)
+    q = np.floor(np.minimum(d, 8) * (65535 / 8) + 0.5)
+    _, s, vt = np.linalg.svd(q - q.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(got[:, :2]), np.abs(q @ vt[:2].T), rtol=1e-3) and np.allclose(share, (s**2 / (s**2).sum())[:3], rtol=1e-6)
 
 
 def test_curve_starts_at_one_and_falls(spark, sf):
@@ -296,18 +320,64 @@ def test_scalers_round_trip(spark):
         assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def plain_edges(depth, window):
+    mid = (window - 1) // 2 + 1
+    out, held = list(depth), list(depth[:mid])
+    level = max(1.0, float(np.median(held)))
+    for i, d in enumerate(depth):
+        if mid <= i < len(depth) - mid:
+            held = [*held, depth[i + mid]][-window:]
+            level = max(1.0, float(np.median(held)))
+        out[i] = d / level
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 9, 12, 70])
+def test_debiasing_in_blocks(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [("c", j * 10, j * 10 + 10, s, float(rng.integers(0, 40)) / 4, float(rng.integers(0, 5))) for s in "ab" for j in range(n)]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long, sample string, depth double, gc double").repartition(3)
+    edges = {(r["sample"], r["start"]): r["depth"] for r in matrix.moving_median_with_edges(df, "gc", 5, 10).collect()}
+    centred = {(r["sample"], r["start"]): r["depth"] for r in matrix.moving_median(df, "gc", 5, 10).collect()}
+    done = {(r["sample"], r["start"]): r["depth"] for r in matrix.debiased(df, "gc", 5, (1.0, 3.0), block=10).collect()}
+    for s in "ab":
+        own = sorted((r for r in rows if r[3] == s), key=lambda r: (r[5], r[1]))
+        depth = [r[4] for r in own]
+        assert np.allclose([edges[s, r[1]] for r in own], plain_edges(depth, 5))
+        assert np.allclose([centred[s, r[1]] for r in own], [d / max(1.0, float(np.median(depth[max(0, i - 2) : i + 3]))) for i, d in enumerate(depth)])
+        kept = [r for r in own if 1 <= r[5] <= 3]
+        free = plain_edges([r[4] for r in kept], 5) if kept else []
+        positive = sorted(x for x in free if x > 0)
+        for r, x in zip(kept, free, strict=True):
+            assert done[s, r[1]] == pytest.approx(x / positive[int(0.65 * len(positive))])
+
+
+def test_buckets_restart_where_the_value_is_out_of_reach(spark):
+    rng = np.random.default_rng(3)
+    rows = [("c", j, j + 1, s, float(rng.integers(0, 9)), float(rng.integers(0, 60)) / 2) for s in "ab" for j in range(80)]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long, sample string, depth double, gc double")
+    got = {(r["sample"], r["start"]): r["depth"] for r in matrix.bucketed(df, "gc", 2.5).collect()}
+    for s in "ab":
+        own, begin = sorted((r for r in rows if r[3] == s), key=lambda r: r[5]), 0
+        for i in range(1, len(own) + 1):
+            if i == len(own) or own[i][5] - own[begin][5] > 2.5:
+                positive = sorted(r[4] for r in own[begin:i] if r[4] > 0)
+                for r in own[begin:i]:
+                    assert got[s, r[1]] == pytest.approx(r[4] / (positive[len(positive) // 2] if positive else 1))
+                begin = i
+
+
 def test_debias_kernels():
     depths = np.arange(1.0, 31.0)
     out = matrix.edge_median(depths, 9)
     assert np.allclose(out[:5], depths[:5] / 3) and out[6] == pytest.approx(7 / np.median([*depths[:5], *depths[10:12]]))
-    assert matrix.bucket_median(np.array([0.0, 2, 4, 6]), np.array([0.1, 0.2, 0.3, 9.0]), 0.5).tolist() == [0, 0.5, 1, 1]
 
 
 def test_leading_components_go(spark):
     rng = np.random.default_rng(4)
     base = np.outer(rng.random(40) + 1, [1.0, 2, 3, 4]) + rng.normal(0, 0.01, (40, 4))
     df = spark.createDataFrame([("c", j, j + 1, f"s{i}", float(base[j, i])) for j in range(40) for i in range(4)], "chrom string, start long, end long, sample string, depth double")
-    assert max(abs(r["depth"]) for r in matrix.without_components(df, [f"s{i}" for i in range(4)]).collect()) < 0.1
+    assert max(abs(r["depth"]) for r in matrix.without_components(df).collect()) < 0.1
 
 
 def test_confusion_by_hand(spark):
