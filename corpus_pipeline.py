@@ -17,7 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under 0.5 of the toxicity score; the model learns from the labels of all documents outside the held-out fold."""
+    """Documents under 0.5 of the toxicity score; the model learns from the labels of all documents outside the held-out fold.
+
+    Rows are judged one by one by their text (null: empty), whatever their ids; an empty table stays empty; further columns go.
+    """
     from covertile.llm.toxicity import fit, with_scores
 
     labels = read(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -26,7 +29,10 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of at least 0.7 of the quality score."""
+    """Documents of at least 0.7 of the quality score.
+
+    Rows are judged one by one by their text (null: empty), whatever their ids; an empty table stays empty; further columns go.
+    """
     from covertile.llm.quality import fit, with_scores
 
     labels = read(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
@@ -35,23 +41,31 @@ def drop_poor(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at similarity 0.8 of five-word shingles: the smallest id."""
-    from covertile.llm.minhash_dedup import link_classes
+    """One document of each group at similarity 0.8 of five-word shingles: the smallest id.
+
+    Rows with null ids take part and go first; of rows that share an id one stays if they are copies.  Null and empty texts are copies of
+    nothing; an empty table stays empty; further columns go.
+    """
+    from covertile.llm.minhash_dedup import without_copies
 
-    lost = link_classes(docs, width=5, percent=80).where("NOT kept").select("doc_id")
-    return docs.select(COLUMNS).join(lost, "doc_id", "left_anti").select(COLUMNS)
+    return without_copies(docs.select(COLUMNS), width=5, percent=80)
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes or more that a smaller id holds.  Bytes of characters cut in
-    two go too; a document stays even if nothing of its text does."""
+    two go too; a document stays even if nothing of its text does.
+
+    Null texts become empty; rows with null ids neither give nor lose passages; ids that are not null must be unique; an empty
+    table stays empty; further columns go."""
     from covertile.llm.suffix_dedup import kept_texts
 
     return kept_texts(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in the packed sequences."""
+    """Pieces of all documents with their place in the packed sequences.
+
+    Null texts count as empty (one end token); rows with null or repeated ids are packed each for itself; an empty table gives no piece."""
     from covertile.llm.packing import pack_documents
 
     packed = pack_documents(docs, tokenizer_file("word_bpe_49k.json"))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sequences import ranked
 from .common import byte_hashes, flat_bytes, in_arrow, lowered, mix64, release, row_chunks, small, staged, tidy, word_spans
 
 BANDS, ROWS, SKETCH_BITS = 60, 6, 512
@@ -373,3 +374,19 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     out = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     component = F.coalesce("label", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+
+
+def without_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` of which one of each class stays: the one of the smallest id.
+
+    Ids may be null or repeated: rows are then numbered by id (null last), hash of the text and place, and of equal ids the first
+    number stays.  Rows without words are linked with nothing and all stay.
+    """
+    rows, ids = df.agg(F.count("*"), F.count_distinct(key)).first()
+    if rows == ids:
+        lost = link_classes(df, key, text, width, percent).where("NOT kept").select(key)
+        return df.join(lost, key, "left_anti").select(df.columns)
+    placed = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text"), F.col(key).isNull().alias("_null"), F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_at"))
+    keyed = staged(ranked(placed, ["_null", "_id", "_hash", "_at"], "_key").select("_row", "_text", "_key"), "numbered")
+    lost = link_classes(keyed, "_key", "_text", width, percent).where("NOT kept").select("_key")
+    return keyed.join(lost, "_key", "left_anti").select("_row.*")

@@ -227,3 +227,15 @@ def test_byte_hashes_follow_the_bytes():
     found = byte_hashes(data, ends - [len(w) for w in words], ends)
     assert len(set(found.tolist())) == len(set(words)) == len(set(zip(words, found.tolist())))
     assert byte_hashes(data[:0], np.zeros(1, np.int64), np.zeros(1, np.int64))[0] == found[0]
+
+
+def test_one_of_each_class_stays_whatever_the_ids(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    a, b, c = " ".join(words), " ".join(words[::-1]), " ".join(words[::2] * 3)
+    rows = [(None, a, "x"), (None, a, "x"), (5, a, "y"), (3, a, "z"), (None, b, "x"), (None, b, "q"), (7, c, "x"), (7, c, "w"), (None, None, "n"), (None, "", "n"), (8, "", "n"), (9, a + " more", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string").repartition(3)
+    got = sorted(minhash_dedup.without_copies(df).select("doc_id", "text").collect(), key=repr)
+    assert sorted(((r[0], r[1]) for r in got), key=repr) == sorted([(3, a), (None, b), (7, c), (None, None), (None, ""), (8, "")], key=repr)
+    unique = spark.createDataFrame([(1, a), (2, a), (3, b), (4, None)], "doc_id long, text string")
+    assert sorted(r[0] for r in minhash_dedup.without_copies(unique).collect()) == [1, 3, 4]
+    assert minhash_dedup.without_copies(unique.where("false")).count() == 0
