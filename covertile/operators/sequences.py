@@ -68,10 +68,10 @@ def walk(pointers: DataFrame, keys: list[str]) -> DataFrame:
         new = staged(seen.join(jump, [*keys, "at"]).select(*keys, F.col("next").alias("at")), "walk")
         if new.isEmpty():
             return seen
-        before, seen = seen, staged(seen.unionByName(new), "walk")
+        seen = seen.unionByName(new)  # a staged table a round
         on = jump.select(*keys, F.col("at").alias("next"), F.col("next").alias("_then"))
         last, jump = jump, staged(jump.join(on, [*keys, "next"]).select(*keys, "at", F.col("_then").alias("next")), "pointers")
-        release(before, new, last)
+        release(last)
 
 
 def blocked(df: DataFrame, keys: list[str], order: list[str], halo: int, size: int = 50_000) -> DataFrame:

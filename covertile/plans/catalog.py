@@ -321,7 +321,23 @@ def contig_shares(spark, d):
     return split.contig_shares(split.chopped(split.cohort_sums(index_tiles(spark, d)))).withColumns({"total": F.round("total", 6), "share": F.round("share", 6)})
 
 
-@query("even_regions")
+_EVEN = _CHOP + """, tot AS (SELECT chrom, sum(size) AS total FROM chop GROUP BY chrom), ct AS (SELECT chrom, (max(tile) + 1) * 16384 AS length, max(tile) AS last FROM tiles GROUP BY chrom),
+wn AS (SELECT chrom, greatest(1, floor(total / (SELECT sum(total) FROM tot) * 100))::HUGEINT AS want FROM tot),
+ft AS (SELECT ct.chrom, g.tile, coalesce(round(chop.size * 1e9), 0)::HUGEINT AS amount, chop.size IS NOT NULL AND g.tile IN (30, 31) AS hard FROM ct, unnest(range(0, last + 1)) AS g(tile) LEFT JOIN chop ON chop.chrom = ct.chrom AND chop.tile = g.tile),
+f AS MATERIALIZED (SELECT ft.*, want, length, last, sum(amount) OVER (PARTITION BY chrom)::HUGEINT AS whole FROM ft JOIN ct USING (chrom) JOIN wn USING (chrom)),
+f2 AS MATERIALIZED (SELECT *, 20 * amount * want > 20 * whole OR (hard AND 20 * amount * want >= whole) AS heavy FROM f),
+go AS (SELECT chrom, 0::BIGINT AS tile, 0::BIGINT AS begin, 0::HUGEINT AS held FROM ct
+    UNION ALL SELECT go.chrom, go.tile + 1, CASE WHEN heavy OR (held + amount) * want >= whole OR (hard AND 5 * (held + amount) * want >= whole) THEN go.tile + 1 ELSE begin END,
+        CASE WHEN heavy OR (held + amount) * want >= whole OR (hard AND 5 * (held + amount) * want >= whole) THEN 0 ELSE held + amount END FROM go JOIN f2 USING (chrom, tile)),
+pt AS (SELECT *, CASE WHEN least(8, floor(0.5 + 2 * amount::DOUBLE * want / whole::DOUBLE)) >= 1 THEN least(8, floor(0.5 + 2 * amount::DOUBLE * want / whole::DOUBLE)) WHEN hard THEN 3 ELSE 1 END::BIGINT AS parts FROM f2),
+out AS (SELECT go.chrom, begin * 16384 AS s, go.tile * 16384 AS e, held::DOUBLE / 1e9 AS total, 1 AS splits FROM go JOIN f2 USING (chrom, tile) WHERE heavy AND go.tile > begin
+    UNION ALL SELECT chrom, tile * 16384 + k * floor(16384 / parts + 1)::BIGINT, least(tile * 16384 + (k + 1) * floor(16384 / parts + 1)::BIGINT, (tile + 1) * 16384), amount::DOUBLE / parts / 1e9, parts FROM (SELECT *, unnest(range(0, parts)) AS k FROM pt WHERE heavy)
+    UNION ALL SELECT go.chrom, begin * 16384, (go.tile + 1) * 16384, (held + amount)::DOUBLE / 1e9, 1 FROM go JOIN f2 USING (chrom, tile) WHERE NOT heavy AND ((held + amount) * want >= whole OR (hard AND 5 * (held + amount) * want >= whole))
+    UNION ALL SELECT go.chrom, begin * 16384, length, held::DOUBLE / 1e9, 1 FROM go JOIN ct ON ct.chrom = go.chrom AND go.tile = last + 1 WHERE begin * 16384 < length)
+SELECT chrom, s AS start, e AS "end", round(total, 6) AS sum, splits::INTEGER AS splits FROM out WHERE s < e"""
+
+
+@query("even_regions", sql("tiles", _EVEN))
 def even_regions(spark, d):
     own = index_tiles(spark, d)
     hard = tile_contigs(own).select("chrom", F.lit(500_000).cast("bigint").alias("start"), F.lit(520_000).cast("bigint").alias("end"))

@@ -258,6 +258,51 @@ def test_even_regions_tile_contigs(spark):
     assert max(r["splits"] for r in rows) > 1
 
 
+def plain_regions(size, hard, length, want, width):
+    """The scan along one contig, as the command-line tool makes it, in whole numbers."""
+    whole, out, begin, held = sum(size), [], 0, 0
+    edge = lambda tile: min(length, tile * width)
+    for tile, (amount, bad) in enumerate(zip(size, hard, strict=True)):
+        if amount * want > whole or (bad and 20 * amount * want >= whole):
+            out.append((edge(begin), edge(tile), held, 1))
+            parts = min(8, int(0.5 + 2 * amount * want / whole))
+            parts = parts if parts >= 1 else 3 if bad else 1
+            step = int(width / parts + 1)
+            for k in range(parts):
+                out.append((min(length, tile * width + k * step), min(length, tile * width + (k + 1) * step, (tile + 1) * width), amount / parts, parts))
+            begin, held = tile + 1, 0
+        else:
+            held += amount
+            if held * want >= whole or (bad and 5 * held * want >= whole):
+                out.append((edge(begin), edge(tile + 1), held, 1))
+                begin, held = tile + 1, 0
+    out.append((edge(begin), length, held, 1))
+    return [r for r in out if r[0] < r[1]]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_even_regions_equal_the_scan(spark, seed):
+    rng = np.random.default_rng(seed)
+    contigs, cells, bad, want = [], [], [], {}
+    for c, last in (("a", 60), ("b", 25), ("c", 3)):
+        size = [int(x) for x in rng.integers(0, 30, last) * 10**9]
+        size[0] = 0 if c == "b" else size[0]
+        there = [t for t in range(last) if size[t]]
+        hard = [t in there and rng.random() < 0.2 for t in range(last)]
+        contigs.append((c, last * 10 - (4 if c == "a" else -25 if c == "b" else 0)))
+        cells += [("s", c, t, size[t]) for t in there]
+        bad += [(c, t * 10 + 1, t * 10 + 2) for t in range(last) if hard[t]]
+        want[c] = (size, hard)
+    t = spark.createDataFrame(cells, "sample string, chrom string, tile long, size long")
+    rows = split.even_regions(t, spark.createDataFrame(contigs, "chrom string, length long"), 20, spark.createDataFrame(bad, "chrom string, start long, end long"), 10).collect()
+    chopped = {(r["chrom"], r["tile"]): int(round(r["size"] * 1e9)) for r in split.chopped(split.cohort_sums(t)).collect()}
+    every = sum(chopped.values())
+    for c, length in contigs:
+        size = [chopped.get((c, k), 0) for k in range(len(want[c][0]))]
+        plain = plain_regions(size, want[c][1], length, max(1, int(sum(size) / every * 20)), 10)
+        assert sorted((r["start"], r["end"], round(r["sum"], 6), r["splits"]) for r in rows if r["chrom"] == c) == sorted((s, e, round(x / 1e9, 6), k) for s, e, x, k in plain)
+
+
 def test_projections_equal_singular_vectors(spark):
     rng = np.random.default_rng(1)
     d = rng.random((6, 50)).round(3)
