@@ -15,67 +15,83 @@ STATES, ROUNDS, TOLERANCE = 9, 10, 0.01
 LOWER, UPPER = -0.80, 0.40
 
 
-def _median(depths: np.ndarray) -> float:
-    """The middle value; of an even number, the mean of those at ``n / 2`` and the next (of two, both)."""
-    s, n = np.sort(depths), len(depths)
+def _medians(depths: np.ndarray) -> np.ndarray:
+    """Rows' middle values; of an even number, the mean of those at ``n / 2`` and the next (of two, both)."""
+    s, n = np.sort(depths, axis=1), depths.shape[1]
     if n % 2:
-        return float(s[n // 2])
-    return float(s.mean()) if n == 2 else float(s[n // 2 : n // 2 + 2].mean())
+        return s[:, n // 2]
+    return s.mean(1) if n == 2 else s[:, n // 2 : n // 2 + 2].mean(1)
 
 
 def _nearest(centres: np.ndarray, depths: np.ndarray) -> np.ndarray:
-    """Index of the closer of the two centres around each depth, the lower one on ties."""
-    right = np.clip(np.searchsorted(centres, depths), 1, len(centres) - 1)
-    closer = np.abs(depths - centres[right]) < np.abs(depths - centres[right - 1])
-    return np.where(depths <= centres[0], 0, np.where(depths > centres[-1], len(centres) - 1, right - 1 + closer))
+    """Index of the closer of the two centres around each depth of a row, the lower one on ties."""
+    top = centres.shape[1] - 1
+    right = np.clip((centres[:, None, :] < depths[:, :, None]).sum(2), 1, top)
+    closer = np.abs(depths - np.take_along_axis(centres, right, 1)) < np.abs(depths - np.take_along_axis(centres, right - 1, 1))
+    return np.where(depths <= centres[:, :1], 0, np.where(depths > centres[:, -1:], top, right - 1 + closer))
 
 
 def em_centres(depths: np.ndarray) -> np.ndarray:
-    """Depth centres of the copy numbers 0 to 8; zeros if all depths are zero."""
+    """Depth centres of the copy numbers 0 to 8, for a row of samples' depths or for many rows at once; zeros if all depths are zero.
+
+    Rows that have settled are left out of further rounds.
+    """
     depths = np.asarray(depths, float)
+    if depths.ndim == 1:
+        return em_centres(depths[None])[0]
     k = np.arange(STATES)
-    two = _median(depths)
-    centres = two * (k / 2) ** 1.1
-    centres[0] = TOLERANCE * two
-    total = largest = 100.0
+    two = _medians(depths)
+    centres = two[:, None] * (k / 2) ** 1.1
+    centres[:, 0] = TOLERANCE * two
+    live = np.arange(len(depths))
     for _ in range(ROUNDS):
-        if total <= TOLERANCE or largest <= 0.5:
+        if not len(live):
             break
-        before = centres.copy()
-        state = _nearest(centres, depths)
-        sums, counts = np.bincount(state, depths, STATES), np.bincount(state, minlength=STATES)
-        means = np.divide(sums, counts, out=np.zeros(STATES), where=counts > 0)
-        two = means[2]
-        if two == 0:  # no sample at two copies: what the others say of it; the top state is left out
-            inner = slice(1, STATES - 1)
-            two = float((means[inner] * (2 / k[inner]) * counts[inner] / len(depths)).sum())
-        centres[1:] = two * k[1:] / 2
-        spread = (centres[2] - centres[1]) / 1.5
-        centres[1] -= spread
-        centres[3] += spread
-        change = np.abs(centres - before)
-        total, largest = float(change.sum()), float(change.max())
+        d, before = depths[live], centres[live]
+        state = _nearest(before, d)
+        counts = np.stack([(state == s).sum(1) for s in k], 1)
+        sums = np.stack([np.where(state == s, d, 0.0).sum(1) for s in k], 1)
+        means = np.divide(sums, counts, out=np.zeros(sums.shape), where=counts > 0)
+        # no sample at two copies: what the others say of it; the top state is left out
+        inner = slice(1, STATES - 1)
+        others = (means[:, inner] * (2 / k[inner]) * counts[:, inner] / d.shape[1]).sum(1)
+        two = np.where(means[:, 2] == 0, others, means[:, 2])
+        after = before.copy()
+        after[:, 1:] = two[:, None] * k[1:] / 2
+        spread = (after[:, 2] - after[:, 1]) / 1.5
+        after[:, 1] -= spread
+        after[:, 3] += spread
+        change = np.abs(after - before)
+        centres[live] = after
+        live = live[(change.sum(1) > TOLERANCE) & (change.max(1) > 0.5)]
     return centres
 
 
 def copy_numbers(depths: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The nearest state, unless two copies explain the depth about as well (Poisson probabilities)."""
+    """The nearest state, unless two copies explain the depth about as well (Poisson probabilities); of one row or of many."""
     depths = np.asarray(depths, float)
-    if centres[2] <= 0:
-        return np.zeros(len(depths), int)
+    if depths.ndim == 1:
+        return copy_numbers(depths[None], centres[None])[0]
     state = _nearest(centres, depths)
-    whole = np.floor(depths + 0.5).astype(np.int64)
-    two_better = poisson_pmf(whole, centres[state]) * 0.9 < poisson_pmf(whole, np.full(len(depths), centres[2]))
-    above = depths > centres[-1]  # past the last centre: that state without a test
-    return np.where((state != 2) & two_better & ~above, 2, state)
+    whole, two = np.floor(depths + 0.5).astype(np.int64), centres[:, 2:3]
+    two_better = poisson_pmf(whole, np.take_along_axis(centres, state, 1)) * 0.9 < poisson_pmf(whole, np.broadcast_to(two, depths.shape))
+    above = depths > centres[:, -1:]  # past the last centre: that state without a test
+    return np.where(two <= 0, 0, np.where((state != 2) & two_better & ~above, 2, state))
 
 
 def fold_changes(depths: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    depths = np.asarray(depths, float)
-    if centres[2] <= 0:
-        return np.full(len(depths), np.nan)
-    with np.errstate(divide="ignore"):
-        return np.log2(depths / centres[2])
+    """Base-2 logarithms of depths over the two-copy centre, of one row or of many; not a number where the centre is not positive."""
+    depths, two = np.asarray(depths, float), centres[..., 2:3]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(two > 0, np.log2(depths / np.where(two > 0, two, 1.0)), np.nan)
+
+
+def of_lengths(rows: pd.Series):
+    """Rows of an Arrow batch that have one length, as places and a matrix."""
+    size = np.array([0 if d is None else len(d) for d in rows])
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        yield at, np.stack([np.asarray(rows.iloc[i], float) for i in at])
 
 
 EM = T.StructType([T.StructField("centres", T.ArrayType(T.DoubleType())), T.StructField("cn", T.ArrayType(T.IntegerType())), T.StructField("change", T.ArrayType(T.DoubleType()))])
@@ -85,15 +101,13 @@ def em(depths: Column) -> Column:
     """``struct(centres, cn, change)`` of an array of samples' depths; a change is null where it is not defined."""
     @F.pandas_udf(EM)
     def run(rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for d in rows:
-            d = np.asarray(d if d is not None else [], float)
-            if not len(d):
-                out.append(([], [], []))
-                continue
+        out = [([], [], [])] * len(rows)
+        for at, d in of_lengths(rows):
             centres = em_centres(d)
-            change = [None if np.isnan(x) else float(x) for x in fold_changes(d, centres)]
-            out.append((centres.tolist(), copy_numbers(d, centres).tolist(), change))
+            cn, change = copy_numbers(d, centres), fold_changes(d, centres).astype(object)
+            change[np.isnan(change.astype(float))] = None
+            for i, *row in zip(at.tolist(), centres.tolist(), cn.tolist(), change.tolist(), strict=True):
+                out[i] = tuple(row)
         return pd.DataFrame(out, columns=["centres", "cn", "change"])
 
     return run(depths)
@@ -110,35 +124,42 @@ def state_changes(before: Column, after: Column) -> Column:
     return F.struct(stayed.alias("stayed"), changed.alias("changed"), ((F.size(before) - F.size(changed)) / F.size(before)).alias("share"))
 
 
-def mixture(depths: np.ndarray, states: int = 8, eps: float = 0.001, prior: float = 11.0) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, two-copy rate and posteriors (states x samples) of a Poisson mixture over copy numbers 0 to 7."""
+def mixture(depths: np.ndarray, states: int = 8, eps: float = 0.001, prior: float = 11.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, two-copy rate and posteriors (states x samples) of a Poisson mixture over copy numbers 0 to 7, of one row of depths or of many."""
     depths = np.asarray(depths, float)
-    n, k = len(depths), np.arange(states)
-    weights = np.full(states, eps)
-    weights[2] = 1 - 5 * eps * (states - 1)
-    whole = np.floor(depths + 0.5).astype(np.int64)
-    rate, found = np.inf, float(depths.mean())
-    posterior = np.zeros((states, n))
+    if depths.ndim == 1:
+        weights, rate, posterior = mixture(depths[None], states, eps, prior)
+        return weights[0], float(rate[0]), posterior[0]
+    n, k = depths.shape[1], np.arange(states)
+    weights = np.full((len(depths), states), eps)
+    weights[:, 2] = 1 - 5 * eps * (states - 1)
+    whole = np.floor(depths + 0.5).astype(np.int64)[:, None, :]
+    mean_depth = depths.mean(1)
+    rate, found = np.full(len(depths), np.inf), mean_depth.copy()
+    posterior = np.zeros((len(depths), states, n))
+    live = np.arange(len(depths))
     for _ in range(10):
-        if abs(rate - found) <= 0.01:
+        live = live[np.abs(rate[live] - found[live]) > 0.01]
+        if not len(live):
             break
-        rate = found
-        level = k / 2 * rate
-        below = (weights[:, None] * poisson_pmf(whole[None, :], level[:, None])).sum(0)
-        level = level.copy()
-        level[0] = eps / 2 * rate
-        top = weights[:, None] * poisson_pmf(whole[None, :], level[:, None])
-        posterior = np.divide(top, below[None, :], out=np.zeros_like(top), where=below[None, :] > 0)
-        mean = posterior.mean(1)
-        weights = (mean + np.where(k == 2, prior, 0.0) / n) / (1 + prior / n)
-        load = float((mean * np.where(k == 0, eps, k) / 2).sum())
-        found = float(depths.mean()) / load if load > 0 else rate
+        rate[live] = found[live]
+        level, w = k / 2 * rate[live][:, None], weights[live][:, :, None]
+        below = (w * poisson_pmf(whole[live], level[:, :, None])).sum(1, keepdims=True)
+        level[:, 0] = eps / 2 * rate[live]
+        top = w * poisson_pmf(whole[live], level[:, :, None])
+        posterior[live] = np.divide(top, below, out=np.zeros_like(top), where=below > 0)
+        mean = posterior[live].mean(2)
+        weights[live] = (mean + np.where(k == 2, prior, 0.0) / n) / (1 + prior / n)
+        load = (mean * np.where(k == 0, eps, k) / 2).sum(1)
+        found[live] = np.where(load > 0, mean_depth[live] / np.where(load > 0, load, 1.0), rate[live])
     return weights, found, posterior
 
 
-def information_gain(posterior: np.ndarray, eps: float = 0.001) -> float:
-    k = np.where(np.arange(len(posterior)) == 0, eps, np.arange(len(posterior)))
-    return float((posterior.mean(1) * np.abs(np.log(k / 2))).sum())
+def information_gain(posterior: np.ndarray, eps: float = 0.001) -> np.ndarray:
+    """Of posteriors (states x samples) of one row or of many."""
+    states = posterior.shape[-2]
+    k = np.where(np.arange(states) == 0, eps, np.arange(states))
+    return (posterior.mean(-1) * np.abs(np.log(k / 2))).sum(-1)
 
 
 def normalised_gain(posterior: np.ndarray, eps: float = 0.001) -> np.ndarray:
@@ -154,13 +175,11 @@ def mixture_of(depths: Column) -> Column:
     """``struct(weights, rate, gain)`` of an array of samples' depths."""
     @F.pandas_udf(MIXTURE)
     def run(rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for d in rows:
-            if d is None or not len(d):
-                out.append(([], None, None))
-                continue
-            weights, rate, posterior = mixture(np.asarray(d, float))
-            out.append((weights.tolist(), rate, information_gain(posterior)))
+        out = [([], None, None)] * len(rows)
+        for at, d in of_lengths(rows):
+            weights, rate, posterior = mixture(d)
+            for i, *row in zip(at.tolist(), weights.tolist(), rate.tolist(), information_gain(posterior).tolist(), strict=True):
+                out[i] = tuple(row)
         return pd.DataFrame(out, columns=["weights", "rate", "gain"])
 
     return run(depths)

@@ -7,6 +7,7 @@ Tiles are ``sample, chrom, tile, size``; contigs are ``chrom, length, ord``.  Al
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,38 +120,72 @@ def slopes(depths: DataFrame, contigs: DataFrame, sexes: tuple[str, ...] = ("X",
     return judged.groupBy("sample").agg(slope).where("slope IS NOT NULL")
 
 
-def normalised(depths: DataFrame) -> DataFrame:
-    """Depths over the cohort's depth around each tile, smoothed over seven tiles; needs five samples.
+def cohort_levels(depths: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``chrom, tile, level``: what the cohort's depths around each tile are divided by; null where they stay.
 
-    Each tile depends on the tiles before it, so a contig (some ten thousand tiles by samples) is one group.
+    A tile's level takes the depths of the tile before it as they have become, so the scan is sequential.  But what happens to a depth depends on its
+    sample's last tile alone, and linearly so: the scan runs on sums over samples of one last tile (a class), not on samples.  A contig's
+    classes and tiles (some ten thousand, a few classes) are one group.
     """
+    sums = depths.join(sizes, ["sample", "chrom"]).groupBy("chrom", "size", "tile").agg(F.sum("depth").alias("d"))
+    classes = sizes.groupBy("chrom", "size").agg(F.count("*").alias("n"))
+    rows = sums.join(classes, ["chrom", "size"])
+
+    def work(table: pa.Table) -> pa.Table:
+        size, tile, d, n = (table.column(c).to_numpy() for c in ("size", "tile", "d", "n"))
+        ends, which = np.unique(size, return_inverse=True)
+        count = np.zeros(len(ends))
+        count[which] = n
+        total, length = count.sum(), int(ends.max())
+        level = np.full(length, np.nan)
+        sums = np.zeros((len(ends), length + 4))
+        sums[which, tile] = d
+        for j in range(length if total >= 5 else 0):
+            live, right = ends > j, ends > j + 1
+            members = count[live].sum() * (2 if j else 1) + count[right].sum()
+            mean = (sums[live, j].sum() + (sums[live, j - 1].sum() if j else 0.0) + sums[right, j + 1].sum()) / members if members else 0.0
+            if members < 3 * total - 4 or mean < 0.1:
+                continue
+            level[j] = mean
+            sums[live, j] /= mean
+            if j > 2:
+                inner = ends - 3 > j
+                sums[inner, j] = (sums[inner, j - 3 : j + 1].sum(1) + sums[inner, j + 1 : j + 4].sum(1) / mean) / 7
+        known = np.flatnonzero(~np.isnan(level))
+        return pa.table({"chrom": pa.array([table.column("chrom")[0].as_py()] * len(known), pa.string()), "tile": known, "level": level[known]})
+
+    return rows.groupBy("chrom").applyInArrow(work, "chrom string, tile long, level double")
+
+
+def normalised(depths: DataFrame, block: int = 64) -> DataFrame:
+    """Depths over the cohort's depth around each tile, smoothed over seven tiles; needs five samples.
 
-    def work(pdf):
-        import pandas as pd
-
-        wide = pdf.pivot_table(index="tile", columns="sample", values="depth", aggfunc="first").sort_index()
-        wide = wide.reindex(range(int(wide.index.max()) + 1))
-        d, there = wide.fillna(0.0).to_numpy().T.copy(), wide.notna().to_numpy().T
-        there = np.flip(np.maximum.accumulate(np.flip(there, 1), 1), 1)  # a sample reaches to its last tile
-        n, length = d.shape
-        size = there.sum(1)
-        if n >= 5:
-            for j in range(length):
-                live = np.flatnonzero(size > j)
-                right = live[size[live] > j + 1]
-                count = len(live) * (2 if j else 1) + len(right)
-                total = d[live, j].sum() + (d[live, j - 1].sum() if j else 0.0) + (d[right, j + 1].sum() if len(right) else 0.0)
-                mean = total / count if count else 0.0
-                if count < 3 * n - 4 or mean < 0.1:
-                    continue
-                d[live, j] /= mean
-                if j > 2:
-                    inner = live[size[live] - 3 > j]
-                    d[inner, j] = (d[inner, j - 3 : j + 1].sum(1) + d[inner, j + 1 : j + 4].sum(1) / mean) / 7
-        s, t = np.nonzero(there)
-        return pd.DataFrame({"sample": wide.columns.to_numpy()[s], "chrom": pdf["chrom"].iloc[0], "tile": t.astype(np.int64), "depth": d[s, t]})
-
-    return depths.select("sample", "chrom", F.col("tile").cast("bigint").alias("tile"), "depth").groupBy("chrom").applyInPandas(work, "sample string, chrom string, tile long, depth double")
+    Missing tiles before a sample's last one count as 0.  Given the levels, samples do not depend on each other: blocks of samples are tasks.
+    """
+    own = staged(depths.select("sample", "chrom", F.col("tile").cast("bigint").alias("tile"), F.col("depth").cast("double").alias("depth")), "depths")
+    sizes = own.groupBy("sample", "chrom").agg((F.max("tile") + 1).alias("size"))
+    levels = staged(cohort_levels(own, sizes), "levels").groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("tile", "level"))).alias("levels"))  # a row a tile of the contig
+    blocks = F.pmod(F.xxhash64("sample"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("chrom")) / block)))
+    dealt = own.join(sizes.withColumn("block", blocks), ["sample", "chrom"]).select("chrom", "block", "sample", "size", "tile", "depth")
+
+    def work(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        names, which = np.unique(left.column("sample").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        size = np.zeros(len(names), np.int64)
+        size[which] = left.column("size").to_numpy()
+        d = np.zeros((len(names), int(size.max(initial=0)) + 4))
+        d[which, left.column("tile").to_numpy()] = left.column("depth").to_numpy()
+        for x in right.column("levels")[0].as_py() if right.num_rows else []:
+            j, mean = x["tile"], x["level"]
+            live = size > j
+            d[live, j] /= mean
+            if j > 2:
+                inner = size - 3 > j
+                d[inner, j] = (d[inner, j - 3 : j + 1].sum(1) + d[inner, j + 1 : j + 4].sum(1) / mean) / 7
+        s, t = np.nonzero(np.arange(d.shape[1]) < size[:, None])
+        return pa.table({"sample": pa.array(names[s], pa.string()), "chrom": pa.array([key[0].as_py()] * len(s), pa.string()), "tile": t.astype(np.int64), "depth": d[s, t]})
+
+    keyed = dealt.select("chrom", "block").distinct().join(levels, "chrom").select(F.col("chrom").alias("_chrom"), F.col("block").alias("_block"), "levels")
+    return dealt.groupBy("chrom", "block").cogroup(keyed.groupBy("_chrom", "_block")).applyInArrow(work, "sample string, chrom string, tile long, depth double")
 
 
 def projections(depths: DataFrame, components: int = 5, sexes: tuple[str, ...] = ("X", "Y")) -> DataFrame:

@@ -279,7 +279,20 @@ def offset_sizes(spark, d):
     return tiles.sizes_from_offsets(orders.withColumn("tile", (F.row_number().over(at) - 1).cast("bigint")))
 
 
-@query("normalised_tiles")
+_NORMALISED = """, who AS (SELECT chrom, sample, max(tile) + 1 AS size, row_number() OVER (PARTITION BY chrom ORDER BY sample) AS i FROM depths GROUP BY chrom, sample),
+sz AS (SELECT chrom, list(size ORDER BY i) AS size, list(sample ORDER BY i) AS names, count(*) AS n, max(size) AS last FROM who GROUP BY chrom),
+rt AS MATERIALIZED (SELECT w.chrom, g.tile, list(coalesce(d.depth, 0.0) ORDER BY w.i) AS r FROM who w JOIN sz USING (chrom), unnest(range(0, last + 4)) AS g(tile) LEFT JOIN depths d ON d.chrom = w.chrom AND d.sample = w.sample AND d.tile = g.tile GROUP BY w.chrom, g.tile),
+go AS (SELECT chrom, 0::BIGINT AS j, list_transform(size, lambda x: 0.0::DOUBLE) AS u1, list_transform(size, lambda x: 0.0::DOUBLE) AS u2, list_transform(size, lambda x: 0.0::DOUBLE) AS u3 FROM sz
+    UNION ALL SELECT chrom, j + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN size[i] <= j OR count < 3 * n - 4 OR mean < 0.1 THEN r0[i] WHEN j > 2 AND size[i] - 3 > j THEN (u3[i] + u2[i] + u1[i] + r0[i] / mean + (r1[i] + r2[i] + r3[i]) / mean) / 7 ELSE r0[i] / mean END), u1, u2
+    FROM (SELECT *, total / nullif(count, 0) AS mean FROM (SELECT go.*, n, size, a.r AS r0, b.r AS r1, c.r AS r2, d.r AS r3,
+        list_sum(list_transform(range(1, n + 1), lambda i: (size[i] > j)::INT * (CASE WHEN j > 0 THEN 2 ELSE 1 END) + (size[i] > j + 1)::INT)) AS count,
+        list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN size[i] > j THEN a.r[i] + (CASE WHEN j > 0 THEN u1[i] ELSE 0 END) ELSE 0 END + CASE WHEN size[i] > j + 1 THEN b.r[i] ELSE 0 END)) AS total
+        FROM go JOIN sz USING (chrom) JOIN rt a ON a.chrom = go.chrom AND a.tile = j JOIN rt b ON b.chrom = go.chrom AND b.tile = j + 1 JOIN rt c ON c.chrom = go.chrom AND c.tile = j + 2 JOIN rt d ON d.chrom = go.chrom AND d.tile = j + 3 WHERE j < last))),
+got AS (SELECT chrom, j - 1 AS tile, u1, unnest(range(1, n + 1)) AS i FROM go JOIN sz USING (chrom) WHERE j > 0)
+SELECT names[i] AS sample, chrom, tile, round(u1[i], 6) AS depth FROM got JOIN sz USING (chrom) WHERE tile < size[i]"""
+
+
+@query("normalised_tiles", sql("tiles medians depths", _NORMALISED))
 def normalised_tiles(spark, d):
     return tiles.normalised(_depths(spark, d)).withColumn("depth", F.round("depth", 6))
 
@@ -540,15 +553,37 @@ def without_components(spark, d):
 
 # ---- copy numbers ---------------------------------------------------------------------------
 def _vectors(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, x -> abs(x) * 200)").alias("depths"))
-
-
-@query("em_copies")
+    return table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, x -> abs(double(x)) * 200)").alias("depths"))
+
+
+_VECTORS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) * 200) AS d FROM embeddings WHERE len(embedding) > 0), p AS MATERIALIZED (SELECT vec_id, unnest(d)::DOUBLE AS x FROM v), s AS (SELECT vec_id, list_sort(d) AS s, len(d) AS n FROM v)"
+_CENTRES = ", ".join(f"two * {k} / 2" for k in range(4, 9))
+_EM = "WITH RECURSIVE " + _VECTORS + """, med AS (SELECT vec_id, (CASE WHEN n % 2 = 1 THEN s[n // 2 + 1] WHEN n = 2 THEN (s[1] + s[2]) / 2 ELSE (s[n // 2 + 1] + s[n // 2 + 2]) / 2 END)::DOUBLE AS two FROM s),
+em AS (SELECT vec_id, 0 AS k, list_transform(range(0, 9), lambda i: CASE WHEN i = 0 THEN 0.01 * two ELSE two * pow(i / 2, 1.1) END) AS c, 100::DOUBLE AS total, 100::DOUBLE AS largest FROM med
+    UNION ALL SELECT vec_id, k + 1, e, list_sum(list_transform(range(1, 10), lambda i: abs(e[i] - c[i]))), list_max(list_transform(range(1, 10), lambda i: abs(e[i] - c[i]))) FROM
+        (SELECT vec_id, k, c, [c[1], two / 2 - two / 2 / 1.5, two, two * 3 / 2 + two / 2 / 1.5, """ + _CENTRES + """] AS e FROM
+        (SELECT vec_id, k, c, CASE WHEN m[3] <> 0 THEN m[3] ELSE list_sum(list_transform(range(2, 9), lambda i: m[i] * (2 / (i - 1)) * q[i] / n)) END AS two FROM
+        (SELECT vec_id, k, c, count(*) AS n, [coalesce(avg(x) FILTER (st = 0), 0), coalesce(avg(x) FILTER (st = 1), 0), coalesce(avg(x) FILTER (st = 2), 0), coalesce(avg(x) FILTER (st = 3), 0), coalesce(avg(x) FILTER (st = 4), 0), coalesce(avg(x) FILTER (st = 5), 0), coalesce(avg(x) FILTER (st = 6), 0), coalesce(avg(x) FILTER (st = 7), 0), coalesce(avg(x) FILTER (st = 8), 0)] AS m, [count(*) FILTER (st = 0), count(*) FILTER (st = 1), count(*) FILTER (st = 2), count(*) FILTER (st = 3), count(*) FILTER (st = 4), count(*) FILTER (st = 5), count(*) FILTER (st = 6), count(*) FILTER (st = 7), count(*) FILTER (st = 8)] AS q FROM
+        (SELECT vec_id, k, c, x, CASE WHEN x <= c[1] THEN 0 WHEN x > c[9] THEN 8 ELSE r - 1 + (abs(x - c[r + 1]) < abs(x - c[r]))::INT END AS st FROM (SELECT em.vec_id, k, c, x, greatest(1, least(8, len(list_filter(c, lambda y: y < x)))) AS r FROM em JOIN p USING (vec_id) WHERE k < 10 AND total > 0.01 AND largest > 0.5)) GROUP BY vec_id, k, c)))),
+fin AS (SELECT vec_id, arg_max(c, k) AS c FROM em GROUP BY vec_id),
+call AS (SELECT vec_id, c, i, x, CASE WHEN x <= c[1] THEN 0 WHEN x > c[9] THEN 8 ELSE r - 1 + (abs(x - c[r + 1]) < abs(x - c[r]))::INT END AS st FROM (SELECT fin.vec_id, c, i, d[i]::DOUBLE AS x, greatest(1, least(8, len(list_filter(c, lambda y: y < d[i])))) AS r FROM (SELECT vec_id, d, unnest(range(1, len(d) + 1)) AS i FROM v) JOIN fin USING (vec_id)))
+SELECT vec_id, list_transform(first(c), lambda y: round(y, 6)) AS centres, list((CASE WHEN c[3] <= 0 THEN 0 WHEN st <> 2 AND x <= c[9] AND floor(x + 0.5) * ln(c[st + 1]) - c[st + 1] + ln(0.9) < floor(x + 0.5) * ln(c[3]) - c[3] THEN 2 ELSE st END)::INTEGER ORDER BY i) AS cn FROM call GROUP BY vec_id"""
+_MEANS = ", ".join(f"avg(t[{k}] / b)" for k in range(1, 9))
+_MIXTURE = "WITH RECURSIVE " + _VECTORS + """, mx AS (SELECT vec_id, 0 AS k, [0.001, 0.001, 0.965, 0.001, 0.001, 0.001, 0.001, 0.001]::DOUBLE[] AS w, 'infinity'::DOUBLE AS rate, avg(x) AS found, []::DOUBLE[] AS m, avg(x) AS mean, count(*) AS n FROM p GROUP BY vec_id
+    UNION ALL SELECT vec_id, k + 1, list_transform(range(1, 9), lambda i: (a[i] + CASE WHEN i = 3 THEN 11.0 / n ELSE 0 END) / (1 + 11.0 / n)), found, CASE WHEN load > 0 THEN mean / load ELSE found END, a, mean, n FROM
+        (SELECT *, list_sum(list_transform(range(1, 9), lambda i: a[i] * CASE WHEN i = 1 THEN 0.001 ELSE i - 1 END / 2)) AS load FROM
+        (SELECT vec_id, k, found, mean, n, [""" + _MEANS + """] AS a FROM
+        (SELECT *, list_transform(range(1, 9), lambda i: w[i] * exp(o * ln(l[i]) - l[i] - lgamma(o + 1))) AS t, list_sum(list_transform(range(2, 9), lambda i: w[i] * exp(o * ln(l[i]) - l[i] - lgamma(o + 1)))) + CASE WHEN o = 0 THEN w[1] ELSE 0 END AS b FROM
+        (SELECT mx.vec_id, k, w, found, mean, n, floor(x + 0.5) AS o, list_transform(range(1, 9), lambda i: CASE WHEN i = 1 THEN 0.0005 * found ELSE (i - 1) / 2 * found END) AS l FROM mx JOIN p USING (vec_id) WHERE k < 10 AND abs(rate - found) > 0.01)) GROUP BY vec_id, k, found, mean, n)))
+SELECT vec_id, round(arg_max(found, k), 6) AS rate, round(list_sum(list_transform(range(1, 9), lambda i: arg_max(m, k)[i] * abs(ln(CASE WHEN i = 1 THEN 0.0005 ELSE (i - 1) / 2 END)))), 6) AS gain FROM mx GROUP BY vec_id"""
+
+
+@query("em_copies", _EM)
 def em_copies(spark, d):
     return _vectors(spark, d).select("vec_id", copynumber.em(F.col("depths")).alias("em")).select("vec_id", F.expr("transform(em.centres, x -> round(x, 6))").alias("centres"), "em.cn")
 
 
-@query("mixture_copies")
+@query("mixture_copies", _MIXTURE)
 def mixture_copies(spark, d):
     return _vectors(spark, d).select("vec_id", copynumber.mixture_of(F.col("depths")).alias("m")).select("vec_id", F.round("m.rate", 6).alias("rate"), F.round("m.gain", 6).alias("gain"))
 

@@ -355,6 +355,19 @@ def test_normalised_needs_five_samples(spark):
     assert all((r["depth"] == 2.0) if r["tile"] in (0, 11) else 0.5 <= r["depth"] <= 1.5 for r in got)
 
 
+def test_many_rows_at_once_are_as_each_alone():
+    rng = np.random.default_rng(12)
+    rows = np.vstack([rng.integers(0, 90, (40, 9)) * 1.5, np.zeros((2, 9)), np.full((2, 9), 30.0)])
+    centres = copynumber.em_centres(rows)
+    weights, rate, posterior = copynumber.mixture(rows + 1)
+    gain = copynumber.information_gain(posterior)
+    for i, row in enumerate(rows):
+        own = copynumber.em_centres(row)
+        assert np.allclose(own, centres[i]) and (copynumber.copy_numbers(row, own) == copynumber.copy_numbers(rows, centres)[i]).all()
+        w, r, p = copynumber.mixture(row + 1)
+        assert np.allclose(w, weights[i]) and r == pytest.approx(rate[i]) and np.allclose(p, posterior[i]) and copynumber.information_gain(p) == pytest.approx(gain[i])
+
+
 def test_scalers_round_trip(spark):
     rng = np.random.default_rng(2)
     rows = [("c", j * 10, j * 10 + 10, f"s{i}", float(rng.random() * 9)) for i in range(4) for j in range(15)]
