@@ -135,3 +135,24 @@ def to_matrix(long: DataFrame, samples: list[str], value: str, keys: tuple[str,
 def misaligned(long: DataFrame, samples: int, keys: tuple[str, ...] = ("chrom", "start", "end")) -> DataFrame:
     """Windows that not every sample has: an exact positional join must find none."""
     return long.groupBy(*keys).agg(F.count_distinct("sample").alias("samples")).where(F.col("samples") != samples)
+
+
+def window_composition(windows: DataFrame, lines: DataFrame, lead: int = 0, width: int = 4_096) -> DataFrame:
+    """``windows`` (``chrom, start, end`` and more) with the shares ``gc, cpg, masked`` of their sequence; null where there is none.
+
+    ``lines``: ``chrom, start, sequence, after`` (pieces of the sequence, and the base that follows each).  A window takes its part of every line
+    that it meets; counts are summed.  ``lead`` bases before the window count too, as reads that begin there reach into it.
+    """
+    spans = windows.select("chrom", "start", "end").distinct().withColumn("from", F.greatest(F.lit(0), F.col("start") - lead))
+    pieces = lines.withColumn("end", F.col("start") + F.length("sequence"))
+    met = overlap_join(spans, pieces, ["chrom"], width, a_span=("from", "end"))
+    begin, end = F.greatest("from", "start_b"), F.least("end", "end_b")
+    part = F.substring(F.col("sequence_b"), begin - F.col("start_b") + 1, end - begin)
+    # a pair may begin on the last base of a line and end on the first of the next
+    pairs = F.when(F.col("end") > F.col("end_b"), F.concat("_part", "after_b")).otherwise(F.col("_part"))
+    count = lambda text, chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    counted = met.withColumn("_part", part).withColumn("_pairs", F.translate(pairs, "cg", "CG")).groupBy("chrom", "start", "end").agg(
+        F.sum(F.length("_part")).alias("_n"), F.sum(count(F.col("_part"), "GCgc")).alias("_gc"), F.sum(F.length("_pairs") - F.length(F.replace("_pairs", F.lit("CG"), F.lit("")))).alias("_cpg"), F.sum(count(F.col("_part"), "abcdefghijklmnopqrstuvwxyz")).alias("_low"),
+    )
+    shares = counted.select("chrom", "start", "end", *((F.col(c) / F.col("_n")).alias(n) for c, n in (("_gc", "gc"), ("_cpg", "cpg"), ("_low", "masked"))))
+    return windows.join(shares, ["chrom", "start", "end"], "left")

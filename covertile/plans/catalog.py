@@ -473,6 +473,20 @@ def composition(spark, d):
     return docs.select("doc_id", ft.composition(F.col("text")).alias("c")).select("doc_id", *(F.round(f"c.{x}", 6).alias(x) for x in ("gc", "cpg", "masked")))
 
 
+_PIECES = """WITH t AS (SELECT doc_id::VARCHAR AS chrom, text, length(text) AS n FROM documents WHERE text IS NOT NULL), w AS (SELECT chrom, k * 250 AS s, least(n, k * 250 + 250) AS e, substr(text, k * 250 + 1, 250) AS x FROM (SELECT *, unnest(range(0, (n + 249) // 250)) AS k FROM t)),
+y AS (SELECT *, replace(replace(x, 'c', 'C'), 'g', 'G') AS u FROM w)"""
+
+
+@query("window_composition", _PIECES + """ SELECT chrom, s AS start, e AS "end", round((length(u) - length(translate(u, 'GC', ''))) / length(x), 6) AS gc, round((length(u) - length(replace(u, 'CG', ''))) / length(x), 6) AS cpg,
+round((length(x) - length(translate(x, 'abcdefghijklmnopqrstuvwxyz', ''))) / length(x), 6) AS masked FROM y""")
+def window_composition(spark, d):
+    """Documents as contigs, wrapped into lines of 60 characters, and windows of 250."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("chrom"), "text", F.length("text").cast("bigint").alias("to"))
+    lines = docs.select("chrom", "text", F.explode(F.expr("transform(sequence(0L, to div 60), k -> k * 60)")).alias("start")).select("chrom", "start", F.expr("substring(text, CAST(start AS INT) + 1, 60)").alias("sequence"), F.expr("substring(text, CAST(start AS INT) + 61, 1)").alias("after"))
+    windows = intervals.grid(docs.select("chrom", F.lit(0).cast("bigint").alias("from"), "to"), 250)
+    return depth.window_composition(windows, lines.where("sequence <> ''"), width=60).withColumns({c: F.round(c, 6) for c in ("gc", "cpg", "masked")})
+
+
 # ---- matrices -------------------------------------------------------------------------------
 def _matrix(spark, d) -> DataFrame:
     """Window means with a covariate: the window's place on a circle, in whole steps."""

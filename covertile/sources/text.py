@@ -7,6 +7,7 @@ import gzip
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from ..functions.text import depth_file_name, region, short_name
 
 
@@ -95,3 +96,33 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.option("lineSep", ">").text(path).where("value <> ''")
     lines = F.split("value", "\n")
     return records.select(F.split(lines[0], r"\s")[0].alias("chrom"), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("sequence"))
+
+
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``chrom, start, sequence, after``: the sequence line by line with its position, and the first base of the next line of its contig.
+
+    Lines stay in Spark's splits of the file.  A line's contig and position come from the headers and lengths before it: sums
+    inside a split, and one row a split for what the splits before it hold, so no contig is ever one row.
+    """
+    line = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("at"))
+    rows = staged(line.where("value <> ''").select("_range", "at", "value", F.col("value").startswith(">").alias("head")), "fasta")
+    name, length = F.when(F.col("head"), F.split(F.expr("substring(value, 2)"), r"\s")[0]), F.when(F.col("head"), 0).otherwise(F.length("value")).cast("bigint")
+    first = F.when(~F.col("head"), F.substring("value", 1, 1)).otherwise("")
+    inside = Window.partitionBy("_range").orderBy("at")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_name", F.last(name, ignorenulls=True).over(upto)).withColumn("_sum", F.sum(length).over(upto)).withColumn("_base", F.last(F.when(F.col("head"), F.col("_sum")), ignorenulls=True).over(upto))
+    own = own.withColumn("after", F.lead(first).over(inside))
+    # a row a split: its last header, the bases behind that header, and its first line
+    summary = rows.withColumn("_sum", F.sum(length).over(upto)).groupBy("_range").agg(
+        F.max_by(F.struct(name.alias("n"), F.col("_sum").alias("s")), F.when(F.col("head"), F.col("at"))).alias("h"), F.sum(length).alias("_all"), F.min_by(first, "at").alias("_first"),
+    )
+    along = Window.partitionBy(F.lit(0)).orderBy("_range")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    total = F.coalesce(F.sum("_all").over(before), F.lit(0))
+    summary = summary.withColumn("_total", total).withColumn("_last", F.last(F.struct(F.col("h.n").alias("n"), (F.col("h.s") + F.col("_total")).alias("s")), ignorenulls=True).over(before))
+    heads = summary.withColumn("_e", F.when(F.col("h.n").isNotNull(), F.struct(F.col("h.n").alias("n"), (F.col("h.s") + F.col("_total")).alias("s"))))
+    heads = heads.select("_range", "_total", F.last("_e", ignorenulls=True).over(before).alias("_before"), F.lead("_first").over(along).alias("_next"))
+    met = own.join(F.broadcast(heads), "_range")  # a row a split of the file
+    place = F.when(F.col("_base").isNotNull(), F.col("_sum") - F.col("_base")).otherwise(F.col("_sum") + F.col("_total") - F.col("_before.s"))
+    found = met.where("NOT head").select(F.coalesce("_name", "_before.n").alias("chrom"), (place - F.length("value")).alias("start"), F.col("value").alias("sequence"), F.coalesce("after", "_next", F.lit("")).alias("after"))
+    return found

@@ -110,3 +110,32 @@ def test_references(spark, tmp_path):
     assert references.contig_length(references.contigs_of(spark, [str(tmp_path / "y.bam")]), "c9") == 12
     with pytest.raises(ValueError, match="neither"):
         references.contigs_of(spark, ["a.cram"])
+
+
+@pytest.mark.parametrize("split", [64, 200, 1 << 20])
+def test_fasta_lines_and_window_composition(spark, tmp_path, split):
+    import random
+
+    from covertile.operators import depth
+
+    rnd = random.Random(split)
+    contigs = {f"c{k}": "".join(rnd.choice("ACGTacgtNn") for _ in range(n)) for k, n in enumerate((1, 130, 611, 59, 60))}
+    (tmp_path / "x.fa").write_text("".join(f">{c} text\n" + "".join(seq[i : i + 60] + "\n" for i in range(0, len(seq), 60)) for c, seq in contigs.items()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        lines = text.fasta_lines(spark, str(tmp_path / "x.fa"))
+        rows = lines.collect()
+        assert len({r["chrom"] for r in rows}) == 5
+        for r in rows:
+            seq = contigs[r["chrom"]]
+            assert seq[r["start"] : r["start"] + len(r["sequence"])] == r["sequence"] and seq[r["start"] + len(r["sequence"]) :][:1] == r["after"]
+        windows = [(c, a, min(len(seq), a + 47)) for c, seq in contigs.items() for a in range(0, len(seq), 47)]
+        got = depth.window_composition(spark.createDataFrame(windows, "chrom string, start long, end long"), lines, lead=20, width=64).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == len(windows)
+    for r in got:
+        x = contigs[r["chrom"]][max(0, r["start"] - 20) : r["end"]]
+        up = x.upper()
+        assert r["gc"] == pytest.approx(sum(b in "GC" for b in up) / len(x)) and r["masked"] == pytest.approx(sum(b.islower() for b in x) / len(x))
+        assert r["cpg"] == pytest.approx(2 * up.count("CG") / len(x))
