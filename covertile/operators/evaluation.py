@@ -78,6 +78,11 @@ def confusion(calls: DataFrame, truths: DataFrame, least: float = 0.4, width: in
     return sums.where("tp > 0 OR fn > 0 OR fp > 0 OR tn > 0")
 
 
+def rated(scores: DataFrame) -> DataFrame:
+    """Every row of scores with its precision and recall (null without a base)."""
+    return scores.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+
+
 def tabulated(scores: DataFrame) -> DataFrame:
     """Sums per size class and, as ``all``, over all classes, with precision and recall (null without a base)."""
     sums = scores.rollup("size_class").agg(*(F.sum(c).alias(c) for c in ("tp", "fn", "fp", "tn")))

@@ -18,6 +18,10 @@ from . import cohort
 from .ranks import capped_weighted_median
 
 
+#: Charts and slopes are of contigs of more tiles than this.
+CHARTED_TILES = 2
+
+
 def sizes_from_offsets(offsets: DataFrame) -> DataFrame:
     """Tile sizes as differences of successive virtual offsets (``sample, chrom, tile, voffset``); n offsets make n - 1 tiles."""
     order = Window.partitionBy("sample", "chrom").orderBy("tile")
@@ -82,11 +86,11 @@ def _counters(cells: DataFrame, low: float = 0.15, near: tuple[float, float] = (
     ]
 
 
-def _slope(cells: DataFrame, contigs: DataFrame, least_tiles: int) -> tuple[DataFrame, object]:
+def _slope(cells: DataFrame, contigs: DataFrame, least_tiles: int, include_gl: bool = False) -> tuple[DataFrame, object]:
     """The cells with what decides on their contig, and the aggregate of them that is a sample's slope."""
     longest = F.max("last").over(Window.partitionBy("chrom"))
     judged = cells.withColumn("longest", longest).join(contigs.select("chrom", "length"), "chrom", "left")
-    used = F.col("ordinary") & (F.col("longest") + 1 > least_tiles) & ~bare_contig(F.col("chrom")).startswith("GL") & F.col("length").isNotNull()
+    used = F.col("ordinary") & (F.col("longest") + 1 > max(least_tiles, CHARTED_TILES)) & (F.lit(include_gl) | ~F.col("chrom").startswith("GL")) & F.col("length").isNotNull()
     fall = F.col("n_fall") / F.col("n") * F.col("length") / 1e6
     return judged, F.try_divide(F.sum(F.when(used, fall)), F.count_if(used)).alias("slope")
 
@@ -221,13 +225,19 @@ def with_components(pedigree: DataFrame, projected: DataFrame, components: int =
     return pedigree.join(named, "sample_id", "left").select(*pedigree.columns, *(f"PC{c}" for c in range(1, components + 1)))
 
 
-def pedigree(depths: DataFrame, contigs: DataFrame, sexes: tuple[str, ...] = ("X", "Y"), stats: DataFrame | None = None) -> DataFrame:
+def charted(depths: DataFrame, include_gl: bool = False) -> DataFrame:
+    """``chrom``: contigs of more than two tiles, unplaced ones (``GL...``) only if asked for; slopes and charts are of these."""
+    long = depths.groupBy("chrom").agg(F.max("tile").alias("last")).where(F.col("last") + 1 > CHARTED_TILES)
+    return long.where(F.lit(include_gl) | ~F.col("chrom").startswith("GL")).select("chrom")
+
+
+def pedigree(depths: DataFrame, contigs: DataFrame, sexes: tuple[str, ...] = ("X", "Y"), stats: DataFrame | None = None, include_gl: bool = False) -> DataFrame:
     """One row per sample: inferred sex, copies of the sex contigs, counters, slope, share outside, mapped reads."""
     # the sex contigs found become columns, so their few names are needed before the plan is made
     copies = sorted(r["chrom"] for r in depths.where(is_sex_contig(F.col("chrom"), sexes)).select("chrom").distinct().collect())
     wide = sex_copies(depths, sexes).groupBy("sample").pivot("chrom", copies).agg(F.first("cn"))
     cells = _cells(depths, sexes)
-    judged, slope = _slope(cells, contigs, least_tiles=100)
+    judged, slope = _slope(cells, contigs, 100, include_gl)
     out = judged.groupBy("sample").agg(*_counters(cells), slope).join(wide, "sample", "left")
     sex = F.coalesce(F.floor(F.col(copies[0]) + 0.5).cast("int"), F.lit(-9)) if copies else F.lit(-9)
     columns = [

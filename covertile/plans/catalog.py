@@ -9,6 +9,7 @@ from ..functions import math as fm
 from ..functions import text as ft
 from ..operators.sequences import ranked
 from ..operators import copynumber, depth, evaluation, intervals, matrix, ranks, readstats, split, tiles
+from .. import tools
 from .adapters import alignments, calls_and_truths, index_tiles, order_sides, read_regions, signal, sql, table, tile_contigs
 
 QUERIES: dict = {}
@@ -319,6 +320,23 @@ def sample_projections(spark, d):
     return tiles.projections(_depths(spark, d), sexes=SEXES).withColumns({"projection": F.round("projection", 2), "share": F.round("share", 6)})
 
 
+_PC = ", ".join(f"round(max(q) FILTER (component = {c}), 2) AS \"PC{c}\"" for c in range(1, 6))
+
+
+@query("pedigree_components", sql("tiles medians depths curve contigs", _COUNTERS + _CN + _SLOPES + _PROJECTED.rsplit("\nSELECT", 1)[0] + f""",
+pc AS (SELECT i, {_PC} FROM (SELECT i, component, p * sign(first_value(p) OVER (PARTITION BY component ORDER BY abs(p) DESC)) AS q FROM pr) GROUP BY i),
+pd AS (SELECT 'unknown' AS family_id, c.sample AS sample_id, '-9' AS paternal_id, '-9' AS maternal_id,
+coalesce(floor(max(cn) FILTER (chrom = '1-URGENT') + 0.5)::INT, -9) AS sex, '-9' AS phenotype, round(coalesce(max(cn) FILTER (chrom = '1-URGENT'), -0.1), 6) AS cn_a, round(coalesce(max(cn) FILTER (chrom = '5-LOW'), -0.1), 6) AS cn_b,
+n_out AS bins_out, n_low AS bins_lo, n_hi AS bins_hi, n_in AS bins_in, round(slope, 6) AS slope, round(n_out / n_in, 6) AS p_out
+FROM counters c JOIN slopes USING (sample) LEFT JOIN cn ON cn.sample = c.sample GROUP BY c.sample, n_out, n_low, n_hi, n_in, slope)
+SELECT pd.*, pc."PC1", pc."PC2", pc."PC3", pc."PC4", pc."PC5" FROM pd LEFT JOIN pc ON pc.i = sample_id"""))
+def pedigree_components(spark, d):
+    own = index_tiles(spark, d)
+    out = tools.index_coverage(own, tile_contigs(own), SEXES, None)["pedigree"]
+    out = out.withColumnRenamed("cn_1-URGENT", "cn_a").withColumnRenamed("cn_5-LOW", "cn_b")
+    return out.withColumns({**{c: F.round(c, 6) for c in ("cn_a", "cn_b", "slope", "p_out")}, **{f"PC{c}": F.round(f"PC{c}", 2) for c in range(1, 6)}})
+
+
 # ---- even regions ---------------------------------------------------------------------------
 _CHOP = """, sums AS (SELECT chrom, tile, sum(size)::DOUBLE / 1e9 AS size FROM tiles GROUP BY ALL), st AS (SELECT chrom, avg(size) AS m, coalesce(stddev_samp(size), 0) AS sd FROM sums GROUP BY chrom),
 chop AS (SELECT chrom, tile, CASE WHEN size > m + 3 * sd THEN 8 * m ELSE size END AS size FROM sums JOIN st USING (chrom))"""
@@ -378,6 +396,11 @@ def call_accuracy(spark, d):
     return evaluation.tabulated(call_confusion(spark, d)).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
+@query("call_rates", sql("calls", _EVAL + " SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall FROM scores"))
+def call_rates(spark, d):
+    return tools.call_report(*calls_and_truths(spark, d), 0.4, 100_000)["rows"].withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+
+
 @query("truths_by_sample", sql("calls", 'SELECT chrom, s AS start, e AS "end", cn, sample FROM own'))
 def truths_by_sample(spark, d):
     return evaluation.by_sample(calls_and_truths(spark, d)[1])
@@ -570,25 +593,25 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, x -> abs(double(x)) * 200)").alias("depths"))
 
 
-_VECTORS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) * 200) AS d FROM embeddings WHERE len(embedding) > 0), p AS MATERIALIZED (SELECT vec_id, unnest(d)::DOUBLE AS x FROM v), s AS (SELECT vec_id, list_sort(d) AS s, len(d) AS n FROM v)"
+_VECTORS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) * 200) AS d FROM embeddings WHERE len(embedding) > 0), vp AS MATERIALIZED (SELECT vec_id, unnest(d)::DOUBLE AS x FROM v), vs AS (SELECT vec_id, list_sort(d) AS s, len(d) AS n FROM v)"
 _CENTRES = ", ".join(f"two * {k} / 2" for k in range(4, 9))
-_EM = "WITH RECURSIVE " + _VECTORS + """, med AS (SELECT vec_id, (CASE WHEN n % 2 = 1 THEN s[n // 2 + 1] WHEN n = 2 THEN (s[1] + s[2]) / 2 ELSE (s[n // 2 + 1] + s[n // 2 + 2]) / 2 END)::DOUBLE AS two FROM s),
+_EM = "WITH RECURSIVE " + _VECTORS + """, med AS (SELECT vec_id, (CASE WHEN n % 2 = 1 THEN s[n // 2 + 1] WHEN n = 2 THEN (s[1] + s[2]) / 2 ELSE (s[n // 2 + 1] + s[n // 2 + 2]) / 2 END)::DOUBLE AS two FROM vs),
 em AS (SELECT vec_id, 0 AS k, list_transform(range(0, 9), lambda i: CASE WHEN i = 0 THEN 0.01 * two ELSE two * pow(i / 2, 1.1) END) AS c, 100::DOUBLE AS total, 100::DOUBLE AS largest FROM med
     UNION ALL SELECT vec_id, k + 1, e, list_sum(list_transform(range(1, 10), lambda i: abs(e[i] - c[i]))), list_max(list_transform(range(1, 10), lambda i: abs(e[i] - c[i]))) FROM
         (SELECT vec_id, k, c, [c[1], two / 2 - two / 2 / 1.5, two, two * 3 / 2 + two / 2 / 1.5, """ + _CENTRES + """] AS e FROM
         (SELECT vec_id, k, c, CASE WHEN m[3] <> 0 THEN m[3] ELSE list_sum(list_transform(range(2, 9), lambda i: m[i] * (2 / (i - 1)) * q[i] / n)) END AS two FROM
         (SELECT vec_id, k, c, count(*) AS n, [coalesce(avg(x) FILTER (st = 0), 0), coalesce(avg(x) FILTER (st = 1), 0), coalesce(avg(x) FILTER (st = 2), 0), coalesce(avg(x) FILTER (st = 3), 0), coalesce(avg(x) FILTER (st = 4), 0), coalesce(avg(x) FILTER (st = 5), 0), coalesce(avg(x) FILTER (st = 6), 0), coalesce(avg(x) FILTER (st = 7), 0), coalesce(avg(x) FILTER (st = 8), 0)] AS m, [count(*) FILTER (st = 0), count(*) FILTER (st = 1), count(*) FILTER (st = 2), count(*) FILTER (st = 3), count(*) FILTER (st = 4), count(*) FILTER (st = 5), count(*) FILTER (st = 6), count(*) FILTER (st = 7), count(*) FILTER (st = 8)] AS q FROM
-        (SELECT vec_id, k, c, x, CASE WHEN x <= c[1] THEN 0 WHEN x > c[9] THEN 8 ELSE r - 1 + (abs(x - c[r + 1]) < abs(x - c[r]))::INT END AS st FROM (SELECT em.vec_id, k, c, x, greatest(1, least(8, len(list_filter(c, lambda y: y < x)))) AS r FROM em JOIN p USING (vec_id) WHERE k < 10 AND total > 0.01 AND largest > 0.5)) GROUP BY vec_id, k, c)))),
+        (SELECT vec_id, k, c, x, CASE WHEN x <= c[1] THEN 0 WHEN x > c[9] THEN 8 ELSE r - 1 + (abs(x - c[r + 1]) < abs(x - c[r]))::INT END AS st FROM (SELECT em.vec_id, k, c, x, greatest(1, least(8, len(list_filter(c, lambda y: y < x)))) AS r FROM em JOIN vp USING (vec_id) WHERE k < 10 AND total > 0.01 AND largest > 0.5)) GROUP BY vec_id, k, c)))),
 fin AS (SELECT vec_id, arg_max(c, k) AS c FROM em GROUP BY vec_id),
 call AS (SELECT vec_id, c, i, x, CASE WHEN x <= c[1] THEN 0 WHEN x > c[9] THEN 8 ELSE r - 1 + (abs(x - c[r + 1]) < abs(x - c[r]))::INT END AS st FROM (SELECT fin.vec_id, c, i, d[i]::DOUBLE AS x, greatest(1, least(8, len(list_filter(c, lambda y: y < d[i])))) AS r FROM (SELECT vec_id, d, unnest(range(1, len(d) + 1)) AS i FROM v) JOIN fin USING (vec_id)))
 SELECT vec_id, list_transform(first(c), lambda y: round(y, 6)) AS centres, list((CASE WHEN c[3] <= 0 THEN 0 WHEN st <> 2 AND x <= c[9] AND floor(x + 0.5) * ln(c[st + 1]) - c[st + 1] + ln(0.9) < floor(x + 0.5) * ln(c[3]) - c[3] THEN 2 ELSE st END)::INTEGER ORDER BY i) AS cn FROM call GROUP BY vec_id"""
 _MEANS = ", ".join(f"avg(t[{k}] / b)" for k in range(1, 9))
-_MIXTURE = "WITH RECURSIVE " + _VECTORS + """, mx AS (SELECT vec_id, 0 AS k, [0.001, 0.001, 0.965, 0.001, 0.001, 0.001, 0.001, 0.001]::DOUBLE[] AS w, 'infinity'::DOUBLE AS rate, avg(x) AS found, []::DOUBLE[] AS m, avg(x) AS mean, count(*) AS n FROM p GROUP BY vec_id
+_MIXTURE = "WITH RECURSIVE " + _VECTORS + """, mx AS (SELECT vec_id, 0 AS k, [0.001, 0.001, 0.965, 0.001, 0.001, 0.001, 0.001, 0.001]::DOUBLE[] AS w, 'infinity'::DOUBLE AS rate, avg(x) AS found, []::DOUBLE[] AS m, avg(x) AS mean, count(*) AS n FROM vp GROUP BY vec_id
     UNION ALL SELECT vec_id, k + 1, list_transform(range(1, 9), lambda i: (a[i] + CASE WHEN i = 3 THEN 11.0 / n ELSE 0 END) / (1 + 11.0 / n)), found, CASE WHEN load > 0 THEN mean / load ELSE found END, a, mean, n FROM
         (SELECT *, list_sum(list_transform(range(1, 9), lambda i: a[i] * CASE WHEN i = 1 THEN 0.001 ELSE i - 1 END / 2)) AS load FROM
         (SELECT vec_id, k, found, mean, n, [""" + _MEANS + """] AS a FROM
         (SELECT *, list_transform(range(1, 9), lambda i: w[i] * exp(o * ln(l[i]) - l[i] - lgamma(o + 1))) AS t, list_sum(list_transform(range(2, 9), lambda i: w[i] * exp(o * ln(l[i]) - l[i] - lgamma(o + 1)))) + CASE WHEN o = 0 THEN w[1] ELSE 0 END AS b FROM
-        (SELECT mx.vec_id, k, w, found, mean, n, floor(x + 0.5) AS o, list_transform(range(1, 9), lambda i: CASE WHEN i = 1 THEN 0.0005 * found ELSE (i - 1) / 2 * found END) AS l FROM mx JOIN p USING (vec_id) WHERE k < 10 AND abs(rate - found) > 0.01)) GROUP BY vec_id, k, found, mean, n)))
+        (SELECT mx.vec_id, k, w, found, mean, n, floor(x + 0.5) AS o, list_transform(range(1, 9), lambda i: CASE WHEN i = 1 THEN 0.0005 * found ELSE (i - 1) / 2 * found END) AS l FROM mx JOIN vp USING (vec_id) WHERE k < 10 AND abs(rate - found) > 0.01)) GROUP BY vec_id, k, found, mean, n)))
 SELECT vec_id, round(arg_max(found, k), 6) AS rate, round(list_sum(list_transform(range(1, 9), lambda i: arg_max(m, k)[i] * abs(ln(CASE WHEN i = 1 THEN 0.0005 ELSE (i - 1) / 2 END)))), 6) AS gain FROM mx GROUP BY vec_id"""
 
 
@@ -602,6 +625,22 @@ def mixture_copies(spark, d):
     return _vectors(spark, d).select("vec_id", copynumber.mixture_of(F.col("depths")).alias("m")).select("vec_id", F.round("m.rate", 6).alias("rate"), F.round("m.gain", 6).alias("gain"))
 
 
+_RUNS = ", " + _WINDOWS + """, v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY chrom, s) AS vec_id, chrom, s, e, list(mean ORDER BY sample) AS d, list(sample ORDER BY sample) AS names FROM means GROUP BY chrom, s, e),
+vp AS MATERIALIZED (SELECT vec_id, unnest(d)::DOUBLE AS x FROM v), vs AS (SELECT vec_id, list_sort(d) AS s, len(d) AS n FROM v)""" + _EM.removeprefix("WITH RECURSIVE " + _VECTORS).rsplit("\nSELECT", 1)[0] + """,
+st AS (SELECT names[call.i] AS sample, chrom, s, e, CASE WHEN c[3] > 0 THEN CASE WHEN x = 0 THEN '-infinity'::DOUBLE ELSE log2(x / c[3]) END END AS change FROM call JOIN v USING (vec_id)),
+b AS (SELECT *, coalesce(lag(change) OVER (PARTITION BY sample, chrom ORDER BY s, e), change) AS was FROM st),
+ab AS (SELECT * FROM b WHERE (change >= 0.4 AND was >= 0.4) OR (change <= -0.8 AND was <= -0.8)),
+f AS (SELECT *, CASE WHEN s - lag(e) OVER w < 200 THEN 0 ELSE 1 END AS fresh FROM ab WINDOW w AS (PARTITION BY sample, chrom ORDER BY s, e)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY sample, chrom ORDER BY s, e) AS run FROM f)
+SELECT sample, chrom, min(s) AS start, max(e) AS "end", count(*) AS n FROM r WHERE NOT (change > -0.5 AND change < 0.3) GROUP BY sample, chrom, run"""
+
+
+@query("called_runs", sql("aln regions", _RUNS))
+def called_runs(spark, d):
+    """From reads to calls: window depths, copy numbers of each window's samples, runs."""
+    return tools.called_runs(_windows(spark, d).withColumnRenamed("mean", "depth"), 200).drop("windows")
+
+
 @query("fold_changes", "SELECT o_orderkey, round(log2(o_totalprice / 150000), 6) AS change, NOT (log2(o_totalprice / 150000) > -0.5 AND log2(o_totalprice / 150000) < 0.3) AS aberrant FROM orders WHERE o_totalprice > 0")
 def fold_changes(spark, d):
     change = fm.fold_change(F.col("o_totalprice"), F.lit(150_000.0))
