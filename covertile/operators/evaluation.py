@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import SIZE_CLASSES, clamped_copies, overlap_share, size_class
+from ..staging import staged
 from .intervals import overlap_join
 
 
@@ -54,20 +55,22 @@ def confusion(calls: DataFrame, truths: DataFrame, least: float = 0.4, width: in
     negative truths are counts less the pairs found, so truths are never multiplied by samples.
     """
     site = ["chrom", "start", "end", "cn"]
-    calls = calls.select("sample", *site).distinct()
-    truths = truths.groupBy(*site).agg(F.array_distinct(F.flatten(F.collect_list("samples"))).alias("samples"))
     sized = size_class(F.col("end") - F.col("start")).alias("size_class")
-    keyed = lambda df: df.withColumn("_state", clamped_copies(F.col("cn")))
-    met = overlap_join(keyed(calls), keyed(truths), ["chrom", "_state"], width)
+    number = F.monotonically_increasing_id()  # lasts, as the tables are written
+    calls = staged(calls.select("sample", *site).distinct().select("*", number.alias("_call"), sized, clamped_copies(F.col("cn")).alias("_state")), "calls")
+    truths = truths.groupBy(*site).agg(F.array_distinct(F.flatten(F.collect_list("samples"))).alias("samples"))
+    truths = staged(truths.select("*", number.alias("_truth"), sized, clamped_copies(F.col("cn")).alias("_state")), "truths")
+    met = overlap_join(calls.drop("cn"), truths.drop("cn"), ["chrom", "_state"], width)
     met = met.where(overlap_share(F.col("start"), F.col("end"), F.col("start_b"), F.col("end_b")) >= least).withColumn("own", F.array_contains("samples_b", F.col("sample")))
+    met = staged(met.select("sample", "own", "_call", "size_class", F.col("_truth_b").alias("_truth"), "size_class_b"), "met")
     count = F.count("*").alias("n")
-    n_calls = calls.groupBy("sample", sized).agg(count)
-    n_own = truths.select(F.explode("samples").alias("sample"), sized).groupBy("sample", "size_class").agg(count)
-    good = met.where("own").select("sample", *site).distinct().groupBy("sample", sized).agg(count)
-    hits = met.select("sample", "own", "chrom", F.col("start_b").alias("start"), F.col("end_b").alias("end"), F.col("cn_b").alias("cn")).distinct().groupBy("sample", "own", sized).agg(count)
+    n_calls = calls.groupBy("sample", "size_class").agg(count)
+    n_own = truths.select(F.explode("samples").alias("sample"), "size_class").groupBy("sample", "size_class").agg(count)
+    good = met.where("own").groupBy("_call").agg(F.first("sample").alias("sample"), F.first("size_class").alias("size_class")).groupBy("sample", "size_class").agg(count)
+    hits = met.groupBy("sample", "own", "_truth").agg(F.first("size_class_b").alias("size_class")).groupBy("sample", "own", "size_class").agg(count)
     names = n_calls.select("sample").union(n_own.select("sample")).where("sample IS NOT NULL").distinct()
     classes = names.withColumn("size_class", F.explode(F.array(*map(F.lit, SIZE_CLASSES))))
-    cells = classes.join(truths.groupBy(sized).agg(count), "size_class")
+    cells = classes.join(truths.groupBy("size_class").agg(count), "size_class")
 
     def part(df: DataFrame, **share: str) -> DataFrame:
         return df.select("sample", "size_class", *(F.expr(share.get(c, "0")).cast("bigint").alias(c) for c in ("tp", "fn", "fp", "tn")))

@@ -233,6 +233,7 @@ def charted(depths: DataFrame, include_gl: bool = False) -> DataFrame:
 
 def pedigree(depths: DataFrame, contigs: DataFrame, sexes: tuple[str, ...] = ("X", "Y"), stats: DataFrame | None = None, include_gl: bool = False) -> DataFrame:
     """One row per sample: inferred sex, copies of the sex contigs, counters, slope, share outside, mapped reads."""
+    depths = staged(depths, "depths")  # sex copies, counters and slopes each read them
     # the sex contigs found become columns, so their few names are needed before the plan is made
     copies = sorted(r["chrom"] for r in depths.where(is_sex_contig(F.col("chrom"), sexes)).select("chrom").distinct().collect())
     wide = sex_copies(depths, sexes).groupBy("sample").pivot("chrom", copies).agg(F.first("cn"))

@@ -10,6 +10,7 @@ from ..functions import text as ft
 from ..operators.sequences import ranked
 from ..operators import copynumber, depth, evaluation, intervals, matrix, ranks, readstats, split, tiles
 from .. import tools
+from ..staging import staged
 from .adapters import alignments, calls_and_truths, index_tiles, order_sides, read_regions, signal, sql, table, tile_contigs
 
 QUERIES: dict = {}
@@ -245,7 +246,7 @@ coalesce(floor(max(cn) FILTER (chrom = '1-URGENT') + 0.5)::INT, -9) AS sex, '-9'
 n_out AS bins_out, n_low AS bins_lo, n_hi AS bins_hi, n_in AS bins_in, round(slope, 6) AS slope, round(n_out / n_in, 6) AS p_out
 FROM counters c JOIN slopes USING (sample) LEFT JOIN cn ON cn.sample = c.sample GROUP BY c.sample, n_out, n_low, n_hi, n_in, slope"""))
 def pedigree(spark, d):
-    own = index_tiles(spark, d)
+    own = staged(index_tiles(spark, d), "tiles")
     out = tiles.pedigree(tiles.scaled(own), tile_contigs(own), SEXES)
     out = out.withColumnRenamed("cn_1-URGENT", "cn_a").withColumnRenamed("cn_5-LOW", "cn_b")
     return out.withColumns({c: F.round(c, 6) for c in ("cn_a", "cn_b", "slope", "p_out")})
@@ -331,7 +332,7 @@ n_out AS bins_out, n_low AS bins_lo, n_hi AS bins_hi, n_in AS bins_in, round(slo
 FROM counters c JOIN slopes USING (sample) LEFT JOIN cn ON cn.sample = c.sample GROUP BY c.sample, n_out, n_low, n_hi, n_in, slope)
 SELECT pd.*, pc."PC1", pc."PC2", pc."PC3", pc."PC4", pc."PC5" FROM pd LEFT JOIN pc ON pc.i = sample_id"""))
 def pedigree_components(spark, d):
-    own = index_tiles(spark, d)
+    own = staged(index_tiles(spark, d), "tiles")
     out = tools.index_coverage(own, tile_contigs(own), SEXES, None)["pedigree"]
     out = out.withColumnRenamed("cn_1-URGENT", "cn_a").withColumnRenamed("cn_5-LOW", "cn_b")
     return out.withColumns({**{c: F.round(c, 6) for c in ("cn_a", "cn_b", "slope", "p_out")}, **{f"PC{c}": F.round(f"PC{c}", 2) for c in range(1, 6)}})
