@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..functions import text as ft
 from ..operators.sequences import ranked
 from ..operators import copynumber, depth, evaluation, intervals, matrix, ranks, readstats, split, tiles
 from .. import tools
-from ..staging import staged
+from ..sources import bam
+from ..staging import shared_dir, staged
 from .adapters import alignments, calls_and_truths, index_tiles, order_sides, read_regions, signal, sql, table, tile_contigs
 
 QUERIES: dict = {}
@@ -462,6 +465,20 @@ def template_histogram(spark, d):
     return readstats.template_histogram(_reads(spark, d), 1_000_000, 100).withColumn("share", F.round("share", 6))
 
 
+@query("stored_reads", """SELECT (l_suppkey % 5)::INTEGER AS ref_id, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) * 1000 AS pos, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) * 1000 + l_quantity::BIGINT * 10 AS "end",
+l_linenumber::INTEGER AS mapq, (CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE 2 END)::INTEGER AS flag, l_partkey AS tlen, (l_quantity * 10)::INTEGER AS read_len, l_orderkey::VARCHAR || '.' || l_linenumber::VARCHAR AS name FROM lineitem""")
+def stored_reads(spark, d):
+    """Line items written as alignment files with their indexes, and read back in chunks between indexed offsets."""
+    pos = F.datediff(F.col("l_shipdate").cast("date"), F.expr("DATE'1992-01-01'")).cast("bigint") * 1000
+    rows = table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 5).alias("ref_id"), pos.alias("pos"), (pos + F.col("l_quantity").cast("bigint") * 10).alias("end"), F.col("l_linenumber").alias("mapq"), F.when(F.col("l_partkey") % 4 == 0, 0).otherwise(2).alias("flag"),
+        F.lit(-1).alias("mate_ref"), F.lit(-1).alias("mate_pos"), F.col("l_partkey").alias("tlen"), F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("name"),
+    )
+    path = f"{shared_dir(spark)}/covertile/reads-{uuid.uuid4().hex}"
+    bam.write_bam(rows, path, [(f"c{k}", 1 << 28) for k in range(5)])
+    return bam.read_bam(spark, path, 20_000).select("ref_id", "pos", "end", "mapq", "flag", "tlen", "read_len", "name")
+
+
 @query("sample_names", "SELECT n_name AS file, list_sort(list(DISTINCT substr(s_name, 1, 14))) AS samples, count(DISTINCT substr(s_name, 1, 14)) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def sample_names(spark, d):
     groups = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("file"), F.substring("s_name", 1, 14).alias("sm"))

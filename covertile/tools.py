@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import EXCLUDE_CONTIGS
 from .operators import copynumber, depth, evaluation, matrix, readstats, split, tiles
-from .sources import binary, sinks, text
+from .sources import bgzf, binary, sinks, text
 from .staging import staged
 
 
@@ -64,7 +64,7 @@ def index_coverage(own: DataFrame, contigs: DataFrame, sexes: tuple[str, ...] =
         names = sorted(r[0] for r in depths.select("sample").distinct().collect())  # columns of the tables
         order = contigs.select("chrom", "ord")
         ordered = lambda df: df.join(order, "chrom")
-        sinks.write_tsv(sinks.formatted(ordered(tiles.bed_matrix(depths, names))), f"{out}/depths", ["ord", "start"], compress=True, without=("ord",))
+        bgzf.write_bgzf(sinks.formatted(ordered(tiles.bed_matrix(depths, names))), f"{out}/depths", ["ord", "start"], without=("ord",))
         sinks.write_tsv(ordered(sinks.curve_rows(curve, names)), f"{out}/curves", ["ord", "x"], without=("ord",))
         sinks.write_tsv(pedigree, f"{out}/pedigree", ["sample_id"])
     return found

@@ -139,3 +139,51 @@ def test_fasta_lines_and_window_composition(spark, tmp_path, split):
         up = x.upper()
         assert r["gc"] == pytest.approx(sum(b in "GC" for b in up) / len(x)) and r["masked"] == pytest.approx(sum(b.islower() for b in x) / len(x))
         assert r["cpg"] == pytest.approx(2 * up.count("CG") / len(x))
+
+
+def test_bam_records_in_chunks(spark, tmp_path):
+    import random
+
+    from covertile.sources import bam
+
+    rnd = random.Random(3)
+    want = [(c, p, p + rnd.randrange(1, 400), rnd.randrange(61), 2, -1, -1, rnd.randrange(-500, 500), f"read{k}" + "x" * rnd.randrange(100)) for k, (c, p) in enumerate((rnd.randrange(3), rnd.randrange(3_000_000)) for _ in range(6000))]
+    df = spark.createDataFrame(want, "ref_id int, pos long, end long, mapq int, flag int, mate_ref int, mate_pos long, tlen long, name string")
+    bam.write_bam(df, str(tmp_path / "a"), [("c1", 1 << 28), ("c2", 5000), ("c3", 1 << 28)])
+    bam.write_bam(df.repartition(7), str(tmp_path / "b"), [("c1", 1 << 28), ("c2", 5000), ("c3", 1 << 28)])
+    for chunk in (1, 1 << 30):
+        got = bam.read_bam(spark, str(tmp_path / "a"), chunk)
+        assert sorted(tuple(r) for r in got.select(df.columns).collect()) == sorted(want)
+        assert (got.rdd.getNumPartitions() > 8) == (chunk == 1)
+    row = got.where("name LIKE 'read17x%' OR name = 'read17'").first()
+    assert row["n_cigar"] == 1 and row["cigar_first"] == "M" and row["read_len"] == row["end"] - row["pos"]
+    assert sum(r["mapped"] for r in binary.bam_indexes(spark, str(tmp_path / "a" / "*.bai")).collect()) == 6000
+    assert {r["chrom"] for r in binary.header_contigs(binary.bam_headers(spark, str(tmp_path / "a" / "*.bam"))).collect()} == {"c1", "c2", "c3"}
+    same = sorted(f.name for f in (tmp_path / "a").glob("part*"))
+    assert same and b"".join((tmp_path / "a" / n).read_bytes() for n in same) == b"".join((tmp_path / "b" / n).read_bytes() for n in same if (tmp_path / "b" / n).exists())
+
+
+def test_cigars_of_several_operations():
+    from covertile.sources import bam
+
+    ops = [(5, 4), (20, 0), (3, 1), (7, 2), (100, 3), (9, 0), (2, 5)]
+    body = struct.pack("<iiBBHHHiiii", 0, 99, 2, 60, 0, len(ops), 16, 0, -1, -1, 0) + b"r\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops)
+    raw = struct.pack("<i", len(body)) + body
+    columns, upto = bam.decoded(raw + raw[:10], len(raw) + 10)
+    assert upto == len(raw) and columns["end"].tolist() == [99 + 20 + 7 + 100 + 9] and columns["read_len"].tolist() == [5 + 20 + 3 + 9] and columns["cigar_first"].tolist() == ["S"]
+
+
+def test_blocked_gzip_table(spark, tmp_path):
+    from covertile.sources import bgzf
+
+    df = spark.range(20_000).selectExpr("id % 3 AS ord", "concat('c', id % 3) AS chrom", "id AS start", "CAST(id AS double) / 4 AS x")
+    whole = []
+    for name in "ab":
+        bgzf.write_bgzf(df.repartition(5), str(tmp_path / name), ["ord", "start"], without=("ord",))
+        whole.append(b"".join(f.read_bytes() for f in sorted((tmp_path / name).glob("part*"))))
+    assert whole[0] == whole[1] and whole[0].endswith(bgzf.END) and whole[0].count(bgzf.END) == 1
+    parts = list(bgzf.blocks_from(memoryview(whole[0])))
+    assert parts[-1][1] == len(whole[0]) and all(len(raw) <= bgzf.BLOCK for *_, raw in parts)
+    lines = gzip.decompress(whole[0]).decode().split("\n")
+    assert lines[0] == "#chrom\tstart\tx" and lines[1] == "c0\t0\t0.0" and len(lines) == 20_002
+    assert [int(x.split("\t")[1]) for x in lines[1:-1]] == sorted(range(20_000), key=lambda i: (i % 3, i))
