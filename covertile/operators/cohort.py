@@ -136,7 +136,7 @@ def multiplied(tiles: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
     return summed(met.mapInArrow(work, "i long, v binary"), ["i"], "v")
 
 
-def leading(tiles: DataFrame, k: int, components: int, centre: bool, rounds: int = 200, tolerance: float = 1e-12) -> tuple[DataFrame, np.ndarray, float, int]:
+def leading(tiles: DataFrame, k: int, components: int, centre: bool, rounds: int = 200, tolerance: float = 1e-13) -> tuple[DataFrame, np.ndarray, float, int]:
     """The leading eigenvectors of the product matrix as a panel ``i, v`` of so many columns, their values, the sum of all values, and the columns.
 
     ``centre``: of the products of values less their mean over the samples.  Subspace iteration with a few columns more than asked
@@ -163,12 +163,13 @@ def leading(tiles: DataFrame, k: int, components: int, centre: bool, rounds: int
     last = None
     for _ in range(rounds):
         basis, values = turned(moved)
-        if last is not None and np.abs(values[:components] - last[:components]).max() <= tolerance * max(values[0], 1e-300):
+        # squares, as that is what the values come from: their rounding is that of the largest one's square
+        if last is not None and np.abs(values[:components] ** 2 - last[:components] ** 2).max() <= tolerance * max(values[0] ** 2, 1e-300):
             break
         before, last, moved = moved, values, staged(multiplied(tiles, basis, width), "panel")
         release(before)
-    basis = turned(staged(basis, "panel"))[0]  # once more, as one pass leaves rounding
-    basis = staged(basis, "panel")
+    # once more, as one pass leaves rounding
+    basis = staged(turned(staged(turned(moved)[0], "panel"))[0], "panel")
     moved = staged(multiplied(tiles, basis, width), "panel")
     both = basis.join(small(moved.withColumnRenamed("v", "w"), PANEL_ROWS), "i").select("i", F.concat("v", "w").alias("v"))
     inner = small_sum(both, lambda i, x: x.reshape(2, BLOCK, width)[0].T @ x.reshape(2, BLOCK, width)[1], 2 * width, (width, width))
