@@ -21,34 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, columns, dealt, inner_products, quantised, sides, top, vectors_by_length, whole
 from .common import staged, tidy
-from .topk_search import inner_products, quantised
 
-#: Rows of a block, of either side, and scores that are sorted at a time.
-BLOCK, SCORES = 32_768, 1_000_000
-
-
-def vectors_by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Rows of an Arrow table by the length of their vectors, in order of id, and the vectors as a matrix."""
-    lists = table.column("v").combine_chunks()
-    size = lists.value_lengths().to_numpy(zero_copy_only=False)
-    ids = table.column("id").to_numpy()
-    out = {}
-    for dim in np.unique(size).tolist():
-        own = np.flatnonzero(size == dim)
-        own = own[np.argsort(ids[own], kind="stable")]
-        out[dim] = own, lists.take(pa.array(own)).flatten().to_numpy().reshape(len(own), dim)
-    return out
-
-
-def sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
-    """A cell's anchors and its rows."""
-    anchor = table.column("anchor")
-    return table.filter(anchor), table.filter(pc.invert(anchor))
+#: Scores that are sorted at a time.
+SCORES = 1_000_000
 
 
 def sorted_scores(anchors: pa.Table, rows: pa.Table):
@@ -66,10 +46,6 @@ def sorted_scores(anchors: pa.Table, rows: pa.Table):
                 yield a, place[by], s[by]
 
 
-def columns(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [table.column(c).to_numpy() for c in names]
-
-
 def best_of_label(table: pa.Table, k: int) -> pa.Table:
     """The best ``k`` rows of each anchor's label."""
     anchors, rows = sides(table)
@@ -98,28 +74,6 @@ def within_limits(table: pa.Table, k: int, low: int, high: int) -> pa.Table:
     return pa.table(dict(zip(("anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
-def dealt(anchors: DataFrame, rows: DataFrame):
-    """Both sides in cells by ``g, i, j``: a group's anchors in ``p`` blocks, its rows in ``q`` (columns of both), each block of one side with all of the other."""
-
-    def side(df: DataFrame, own: str, other: str, anchor: bool) -> DataFrame:
-        met = df.withColumn("_own", F.pmod(F.xxhash64("id"), F.col(own))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-        i, j = ("_own", "_other") if anchor else ("_other", "_own")
-        return met.select("g", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(anchor).alias("anchor"), "id", "label", "v", *(["positives"] if "positives" in anchors.columns else []))
-
-    if "positives" in anchors.columns:
-        rows = rows.withColumn("positives", F.lit(None).cast(anchors.schema["positives"].dataType))
-    return side(anchors, "p", "q", True).unionByName(side(rows, "q", "p", False)).groupBy("g", "i", "j")
-
-
-def top(df: DataFrame, keys: list[str], score: str, ident: str, k: int) -> DataFrame:
-    """The best ``k`` rows of each key with ``rank`` from 1; lists are cut before they are shuffled, and by branches of cells before they meet."""
-    others = [c for c in df.columns if c not in (*keys, score, ident)]
-    best = F.slice(F.sort_array(F.collect_list(F.struct(score, (-F.col(ident)).alias("_minus"), *others)), asc=False), 1, k)
-    level = df.groupBy(*keys, F.pmod(F.spark_partition_id(), F.lit(64)).alias("_branch")).agg(best.alias("_top")).select(*keys, F.inline("_top")).withColumn(ident, -F.col("_minus")).drop("_minus")
-    final = level.groupBy(*keys).agg(best.alias("_top")).select(*keys, F.posexplode("_top").alias("_at", "_x"))
-    return final.select(*keys, (F.col("_at") + 1).cast("int").alias("rank"), (-F.col("_x._minus")).alias(ident), f"_x.{score}", *(f"_x.{c}" for c in others))
-
-
 def mine(df: DataFrame, anchor: str, key: str = "vec_id", label: str = "label", vector: str = "embedding", positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: int = 256, block: int = BLOCK) -> DataFrame:
     """``anchor_id, positive_id, rank int, negative_id, positive_score, negative_score`` for the rows for which the condition ``anchor`` holds."""
     spark = df.sparkSession
@@ -136,14 +90,12 @@ def mine(df: DataFrame, anchor: str, key: str = "vec_id", label: str = "label",
     own = staged(own.withColumn("g", group), "labels")
     parts = own.groupBy("g").agg(F.ceil(F.sum("anchors") / block).cast("long").alias("p"), F.ceil(F.sum("rows") / block).cast("long").alias("q"))
     named = own.select("label", "g").join(parts, "g")
-    cells = dealt(anchors.join(named, "label"), rows.drop("asks").join(named, "label"))
+    cells = dealt(anchors.join(named, "label"), rows.drop("asks").join(named, "label"), "label")
     near = cells.applyInArrow(tidy(lambda table: best_of_label(table, positives)), "anchor_id long, positive_id long, positive_score long")
     best = staged(top(near, ["anchor_id"], "positive_score", "positive_id", positives), "positives")
     lists = best.groupBy(F.col("anchor_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("positives"))  # of ``positives`` rows at most
-    # at least a cell for each core, at most a block on either side
-    q = max(1, -(-total // block), min(spark.sparkContext.defaultParallelism, total // 1024))
-    whole = {"g": F.lit(0), "p": F.lit(max(1, -(-asked // block))).cast("long"), "q": F.lit(q).cast("long")}
-    every = dealt(anchors.join(lists, "id").withColumns(whole), rows.drop("asks").withColumns(whole))
+    place = whole(total, asked, block, spark.sparkContext.defaultParallelism)
+    every = dealt(anchors.join(lists, "id").withColumns(place), rows.drop("asks").withColumns(place), "label", "positives")
     far = every.applyInArrow(tidy(lambda table: within_limits(table, negatives, low, high)), "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
     out = top(far, ["anchor_id", "positive_id", "positive_score"], "negative_score", "negative_id", negatives)
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,4 +242,23 @@ QUERIES = {
     "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_minhash": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licenses": op9_sql(), "op11_mixing": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_filter_audit": OP13_SQL}
+
+
+class Texts(Mapping):
+    """SQL by query; a text that has to be worked out first (a trained model's) is made when it is asked for."""
+
+    def __init__(self, **texts: str | Callable[[], str]):
+        self.texts = texts
+
+    def __getitem__(self, name: str) -> str:
+        text = self.texts[name]
+        return text() if callable(text) else text
+
+    def __iter__(self):
+        return iter(self.texts)
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+
+ORACLE_SQL = Texts(op3_topk=OP3_SQL, op5_minhash=OP5_SQL, op8_url_filter=OP8_SQL, op9_licenses=op9_sql, op11_mixing=OP11_SQL, op12_hard_negatives=OP12_SQL, op13_filter_audit=OP13_SQL)

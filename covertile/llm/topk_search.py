@@ -1,42 +1,24 @@
 """Exact top-k inner-product search: tiled matrix products, partial selection, tree merging.
 
-Queries are taken in slabs of bounded size.  Every task multiplies a slab with tiles of its own rows,
-keeps the best k of each tile by partial selection, folds the tile into its running lists, and emits
-one list per query; the lists of all tasks are merged as a tree of two levels: per query and one of
-``fan`` branches, then per query.
+Queries and rows meet in cells, a block of queries with a block of rows.  A cell multiplies tiles of both, keeps the best k of each tile
+by partial selection and folds the tile into its queries' running lists; the lists of all cells are merged as a tree of
+two levels: per query and one of 64 branches, then per query.  Nothing passes the driver but counts.
 
 Components become ``floor(scale * x)`` with x as a double, so scores are exact integers and ties are
 real: they go to the smaller id.  Vectors meet vectors of their own length only.  Null ids, null vectors and null or
-non-finite components take no part.  Scores beyond 64 bits are held at the ends of the range.
+non-finite components take no part.  Rows that share an id are rows of their own, and none of them is an answer to that id's queries; queries that
+share an id have one list.  Scores beyond 64 bits are held at the ends of the range.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow
-
-
-def quantised(df: DataFrame, key: str, vector: str, scale: int, *further: str) -> DataFrame:
-    """``key, v array<bigint>`` and further columns of the vectors that take part."""
-    whole = f"{key} IS NOT NULL AND {vector} IS NOT NULL AND size({vector}) > 0 AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(double(x)) < double('infinity'))"
-    return df.where(whole).selectExpr(key, *further, f"transform({vector}, x -> floor({scale} * double(x))) AS v")
-
-
-NOTHING = np.iinfo(np.int64).min
-
-
-def inner_products(q: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Exact integer products of long matrices: in doubles where every sum stays below 2**53, else with whole numbers of any size."""
-    most = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
-    if most(q) * most(block) * max(1, q.shape[1]) < 2**53:
-        return q.astype(np.float64) @ block.astype(np.float64)
-    return np.clip(q.astype(object) @ block.astype(object), NOTHING + 1, np.iinfo(np.int64).max).astype(np.int64)
+from .blocks import BLOCK, NOTHING, columns, dealt, inner_products, quantised, sides, top, vectors_by_length, whole
+from .common import staged, tidy
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,63 +32,39 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, by, 1), np.take_along_axis(ids, by, 1)
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, slab: int = 100_000, tile: int = 512, tile_queries: int = 256, fan: int = 32) -> DataFrame:
-    """``query_id, rank int, <key>, score long`` for every query with a usable vector; a query's own row is left out.
-
-    ``slab`` x dimension x 8 bytes are held by the driver and each Python worker at a time (51 MB at
-    64 components); more queries are searched slab after slab, each with one scan of the rows.
-    """
-    spark = df.sparkSession
-    rows, wanted = quantised(df, key, vector, scale), quantised(queries, key, vector, scale)
-    total = wanted.count()
-    slabs = max(1, math.ceil(1.2 * total / slab))
-    out = None
-    for number in range(slabs):
-        part = (wanted.where(F.pmod(F.xxhash64(key), F.lit(slabs)) == number) if slabs > 1 else wanted).toArrow()
-        if not part.num_rows and number:
+def cell_tops(table: pa.Table, k: int, tile: int, tile_queries: int) -> pa.Table:
+    """The best k rows of a cell for each of its queries."""
+    asking, rows = sides(table)
+    (own,), (ids,) = columns(asking, "id"), columns(rows, "id")
+    others, found = vectors_by_length(rows), [(np.zeros(0, np.int64),) * 3]
+    for dim, (at, q) in vectors_by_length(asking).items():
+        if dim not in others:
             continue
-        ids = part.column(key).to_numpy().astype(np.int64)
-        lists = part.column("v").combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.int64()))
-        dims = lists.value_lengths().to_numpy(zero_copy_only=False)
-        by_length = {}
-        for dim in np.unique(dims).tolist():
-            own = np.flatnonzero(dims == dim)
-            by_length[dim] = ids[own], lists.take(pa.array(own)).flatten().to_numpy().reshape(len(own), dim)
-        shared = spark.sparkContext.broadcast(by_length)
-
-        def work(batches, shared=shared):
-            tops = {dim: (np.full((len(qid), k), NOTHING), np.full((len(qid), k), np.iinfo(np.int64).max)) for dim, (qid, _) in shared.value.items()}
-            for batch in batches:
-                lists = batch.column(1)
-                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-                for dim, (qid, q) in shared.value.items():
-                    top_s, top_i = tops[dim]
-                    fits = np.flatnonzero(sizes == dim)
-                    for a in range(0, len(fits), tile):
-                        at = pa.array(fits[a : a + tile])
-                        ids = batch.column(0).take(at).to_numpy(zero_copy_only=False).astype(np.int64)
-                        block = lists.take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim).T
-                        for b in range(0, len(qid), tile_queries):
-                            scores = inner_products(q[b : b + tile_queries], block)
-                            other = qid[b : b + tile_queries, None] != ids[None, :]
-                            # only queries with a score that can enter their list
-                            hot = np.flatnonzero(((scores >= top_s[b : b + tile_queries, -1:]) & other).any(axis=1))
-                            if not len(hot):
-                                continue
-                            s, i = _best(np.where(other[hot], scores[hot].astype(np.int64), NOTHING), np.broadcast_to(ids, (len(hot), len(ids))), k)
-                            hot += b
-                            top_s[hot], top_i[hot] = _best(np.concatenate([top_s[hot], s], 1), np.concatenate([top_i[hot], i], 1), k)
-            for dim, (qid, _) in shared.value.items():
-                top_s, top_i = tops[dim]
-                r, c = np.nonzero(top_s > NOTHING)
-                for a in range(0, len(r), 50_000):
-                    rr, cc = r[a : a + 50_000], c[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[rr]), pa.array(top_i[rr, cc]), pa.array(top_s[rr, cc])], ["query_id", key, "score"])
-
-        lists = in_arrow(rows, work, f"query_id long, `{key}` long, score long")
-        out = lists if out is None else out.unionByName(lists)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col(key)).alias("minus"))), asc=False), 1, k)
-    level = out.groupBy("query_id", F.pmod(F.spark_partition_id(), F.lit(fan)).alias("branch")).agg(best.alias("top"))
-    level = level.select("query_id", F.inline("top")).withColumn(key, -F.col("minus"))
-    final = level.groupBy("query_id").agg(best.alias("top"))
-    return final.select("query_id", F.posexplode("top").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), (-F.col("x.minus")).alias(key), F.col("x.score").alias("score"))
+        place, matrix = others[dim]
+        qid = own[at]
+        top_s, top_i = np.full((len(qid), k), NOTHING), np.full((len(qid), k), np.iinfo(np.int64).max)
+        for a in range(0, len(place), tile):
+            near, block = ids[place[a : a + tile]], matrix[a : a + tile].T
+            for b in range(0, len(qid), tile_queries):
+                scores = inner_products(q[b : b + tile_queries], block)
+                other = qid[b : b + tile_queries, None] != near[None, :]
+                # only queries with a score that can enter their list
+                hot = np.flatnonzero(((scores >= top_s[b : b + tile_queries, -1:]) & other).any(axis=1))
+                if not len(hot):
+                    continue
+                s, i = _best(np.where(other[hot], scores[hot].astype(np.int64), NOTHING), np.broadcast_to(near, (len(hot), len(near))), k)
+                hot += b
+                top_s[hot], top_i[hot] = _best(np.concatenate([top_s[hot], s], 1), np.concatenate([top_i[hot], i], 1), k)
+        r, c = np.nonzero(top_s > NOTHING)
+        found.append((qid[r], top_i[r, c], top_s[r, c]))
+    return pa.table(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = BLOCK, tile: int = 512, tile_queries: int = 256) -> DataFrame:
+    """``query_id, rank int, <key>, score long`` for every query with a usable vector; a query's own row is left out."""
+    named = lambda x: quantised(x.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")), "id", "vector", scale)
+    rows, wanted = staged(named(df), "vectors"), staged(named(queries), "queries")
+    place = whole(rows.count(), wanted.count(), block, df.sparkSession.sparkContext.defaultParallelism)
+    cells = dealt(wanted.withColumns(place), rows.withColumns(place))
+    lists = cells.applyInArrow(tidy(lambda table: cell_tops(table, k, tile, tile_queries)), "query_id long, id long, score long")
+    return top(lists, ["query_id"], "score", "id", k).select("query_id", "rank", F.col("id").alias(key), "score")

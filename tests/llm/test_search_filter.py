@@ -25,7 +25,7 @@ def test_search_equals_brute_force(spark):
     rows += [(150, None), (151, [None, 1.0, 1.0, 1.0]), (153, [float("nan"), 1.0, 1.0, 1.0]), (156, [float("inf"), 1.0, 1.0, 1.0]), (159, []), (162, rows[0][1]), (165, rows[0][1])]
     df = spark.createDataFrame([(i, v, i) for i, v in rows], "vec_id long, embedding array<float>, score long").repartition(5)
     want = brute(rows, 5)
-    assert search(df) == want == search(df, tile=7, tile_queries=3, fan=2) == search(df, slab=20)
+    assert search(df) == want == search(df, tile=7, tile_queries=3) == search(df, block=20)
 
 
 def test_search_with_few_or_no_rows(spark):
