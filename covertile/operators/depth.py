@@ -55,9 +55,10 @@ def class_blocks(reads: DataFrame, regions: DataFrame, least: int = 4, most: int
     return islands(runs.withColumn("class", depth_class(F.col("_depth"), least, most)), [*keys], state="class", shard=shard)
 
 
-def sufficient_runs(reads: DataFrame, samples: int, least: int = 7, share: float = 0.5, shard: int = SHARD) -> DataFrame:
+def sufficient_runs(reads: DataFrame | None, samples: int, least: int = 7, share: float = 0.5, shard: int = SHARD, segments: DataFrame | None = None) -> DataFrame:
     """``chrom, _bin, start, end``: runs (cut at shards) of sites where strictly more than ``int(.5 + share * samples)`` samples reach the depth."""
-    deep = pileup_segments(reads, shard=shard).where(F.col("depth") >= least)  # a sample's segments do not overlap
+    segments = pileup_segments(reads, shard=shard) if segments is None else segments  # a sample's do not overlap
+    deep = segments.where(F.col("depth") >= least)
     return sweep({"_n": deep}, ["chrom"], shard).where(F.col("_n") > int(0.5 + share * samples)).drop("_n")
 
 
@@ -91,10 +92,10 @@ def site_blocks(runs: DataFrame, skip: int = 10, size: int = 15, longest: int =
     return fits.select("chrom", "start", "end").unionByName(parts.select("chrom", "start", "end"))
 
 
-def block_means(reads: DataFrame, blocks: DataFrame, width: int = SHARD // 8) -> DataFrame:
-    """Mean depth of every sample in every block: depth summed over the block's whole span."""
+def block_means(reads: DataFrame | None, blocks: DataFrame, width: int = SHARD // 8, segments: DataFrame | None = None) -> DataFrame:
+    """Mean depth of every sample in every block: depth summed over the block's whole span; ``segments``: of ``pileup_segments``, where known."""
     blocks = blocks.select("chrom", "start", "end")
-    met = overlap_join(pileup_segments(reads), blocks, ["chrom"], width, levels=(levels_to(SHARD, width), levels_of(blocks, "start", "end", width)))
+    met = overlap_join(pileup_segments(reads) if segments is None else segments, blocks, ["chrom"], width, levels=(levels_to(SHARD, width), levels_of(blocks, "start", "end", width)))
     part = (F.least("end", "end_b") - F.greatest("start", "start_b")) * F.col("depth")
     return met.groupBy("chrom", F.col("start_b").alias("start"), F.col("end_b").alias("end"), "sample").agg((F.sum(part) / (F.first("end_b") - F.first("start_b"))).alias("mean"))
 

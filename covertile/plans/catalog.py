@@ -76,8 +76,8 @@ b AS (SELECT chrom, min(pos) AS s, max(pos) + 1 AS e FROM i GROUP BY chrom, isla
 
 
 def _blocks(spark, d) -> tuple[DataFrame, DataFrame]:
-    reads = alignments(spark, d)
-    return reads, depth.site_blocks(depth.sufficient_runs(reads, 3, least=45, share=0.5))
+    segments = staged(depth.pileup_segments(alignments(spark, d)), "segments")
+    return segments, depth.site_blocks(depth.sufficient_runs(None, 3, least=45, share=0.5, segments=segments))
 
 
 @query("sample_blocks", sql("aln", _SITES + ' SELECT chrom, s AS start, e AS "end" FROM b'))
@@ -87,8 +87,8 @@ def sample_blocks(spark, d):
 
 @query("block_means", sql("aln", _SITES + ' SELECT b.chrom, b.s AS start, b.e AS "end", c.sample, round(sum(c.n) / (b.e - b.s), 6) AS mean FROM b JOIN c ON c.chrom = b.chrom AND c.pos >= b.s AND c.pos < b.e GROUP BY b.chrom, b.s, b.e, c.sample'))
 def block_means(spark, d):
-    reads, blocks = _blocks(spark, d)
-    return depth.block_means(reads, blocks, 1024).withColumn("mean", F.round("mean", 6))
+    segments, blocks = _blocks(spark, d)
+    return depth.block_means(None, blocks, 1024, segments).withColumn("mean", F.round("mean", 6))
 
 
 _WIDE = f""", {_WINDOWS}, g AS (SELECT *, (row_number() OVER (PARTITION BY sample, chrom ORDER BY s) - 1) // 4 AS k FROM means),

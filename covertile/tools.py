@@ -24,7 +24,8 @@ def coverage_depth(reads: DataFrame, regions: DataFrame, window: int = 250, mapq
 def sample_depths(reads: DataFrame, samples: int, mapq: int = 10, least: int = 7, share: float = 0.5, skip: int = 10, size: int = 15, longest: int = 10_000_000) -> DataFrame:
     """Mean depths of all samples in the blocks where enough of them are covered."""
     used = depth.usable(reads, mapq)
-    return depth.block_means(used, depth.site_blocks(depth.sufficient_runs(used, samples, least, share), skip, size, longest))
+    segments = staged(depth.pileup_segments(used), "segments")
+    return depth.block_means(used, depth.site_blocks(depth.sufficient_runs(used, samples, least, share, segments=segments), skip, size, longest), segments=segments)
 
 
 def window_matrix(spark: SparkSession, paths: str | list[str], size: int) -> DataFrame:
