@@ -8,7 +8,8 @@ The windows of one anchor form a context of at most ``2 * length - k`` bytes.
    smallest document in the batch travel on; for the others the windows are known to be repeats.
    Thus a passage that a third of all documents share leaves a task once per batch.
 2. By anchor: of equal contexts all but the smallest document's are repeats.  Anchors with unequal
-   contexts of several documents can still share windows; one copy of each is asked for.
+   contexts of several documents can still share windows; one copy of each is asked for, with the
+   starts of its twins (equal contexts of the same document, which lose and keep the same bytes).
 3. Those contexts are fetched from the texts and dealt by anchor; anchors with very many of them
    are dealt by 15 more bytes on the left and on the right, one of which any shared window holds.
 4. Per bucket, a Burrows-Wheeler transform of the contexts is expanded breadth-first: intervals of
@@ -66,6 +67,11 @@ def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+def summed(x: np.ndarray) -> np.ndarray:
+    """What ``deltas`` were taken of, in its own type."""
+    return np.cumsum(x, dtype=x.dtype)
+
+
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(key.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int32)
 
@@ -127,8 +133,11 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     return row, lo - offsets[row], hi - lo, h, mix64(hashed(lo, hi) + h * np.uint64(0x9E3779B97F4A7C15) + (mine - lo).astype(np.uint64))
 
 
-def find_contexts(df: DataFrame, key: str, text: str, buckets: int, length: int, k: int, gather_bytes: int = 12_000_000) -> DataFrame:
-    """Blocks of contexts by anchor, and of spans that a smaller document among the same ``gather_bytes`` repeats, by document."""
+def find_contexts(df: DataFrame, key: str, text: str, buckets: int, length: int, k: int, gather_bytes: int = 12_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
+    """Blocks of contexts by anchor, and of spans that a smaller document among the same ``gather_bytes`` repeats, by document.
+
+    A text of over 400,000 bytes is taken in slices of window starts; a context cut there becomes two of the same anchor.
+    """
 
     def gathered(batches):
         parts, held = [], 0
@@ -136,8 +145,11 @@ def find_contexts(df: DataFrame, key: str, text: str, buckets: int, length: int,
             data, offsets = flat_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in row_chunks(offsets, 400_000):
-                row, *rest = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, k)
-                parts.append((ids[a + row], rest[0].astype(np.uint32), rest[1].astype(np.uint16), rest[2], rest[3]))
+                begin, end = int(offsets[a]), int(offsets[b])
+                for p in range(begin, end, slice_bytes if b == a + 1 else max(1, end - begin)):
+                    q = min(p + slice_bytes + length - 1, end) if b == a + 1 else end
+                    row, start, size, anchor, content = contexts(data[p:q], np.clip(offsets[a : b + 1], p, q) - p, length, k)
+                    parts.append((ids[a + row], (start + p - begin).astype(np.uint32), size.astype(np.uint16), anchor, content))
             held += len(data)
             if held >= gather_bytes:
                 yield parts
@@ -186,7 +198,7 @@ def resolve_contexts(found: DataFrame, buckets: int, hot: int) -> DataFrame:
             same = anchor[by[1:]] == anchor[by[:-1]]
             by = by[np.r_[False, same] | np.r_[same, False]] if len(by) > 1 else by[:0]
             anchor, content, doc, start, size = (x[by] for x in (anchor, content, doc, start, size))
-            by = np.lexsort((doc, content, anchor))
+            by = np.lexsort((start, doc, content, anchor))
             anchor, content, doc, start, size = (x[by] for x in (anchor, content, doc, start, size))
             if len(doc):
                 new = np.r_[True, (content[1:] != content[:-1]) | (anchor[1:] != anchor[:-1])]
@@ -199,6 +211,7 @@ def resolve_contexts(found: DataFrame, buckets: int, hot: int) -> DataFrame:
                 owners = doc[first]
                 several = (count > 1) & (np.minimum.reduceat(owners, group) < np.maximum.reduceat(owners, group))
                 ask = first[np.repeat(several, count)]
+                twins = (np.add.reduceat(~repeat, first) - 1)[np.repeat(several, count)]
                 busy = np.repeat(count > hot, count)[np.repeat(several, count)]
                 to = _bucket(doc[ask], buckets)
                 made = []
@@ -206,7 +219,8 @@ def resolve_contexts(found: DataFrame, buckets: int, hot: int) -> DataFrame:
                     at = np.flatnonzero(to == b)
                     at = at[np.argsort(doc[ask[at]], kind="stable")]
                     i = ask[at]
-                    made.append((b, int(size[i].sum(dtype=np.int64)), dump(anchor[i], deltas(doc[i]), start[i], size[i], busy[at].astype(np.uint8))))
+                    more = start[np.repeat(i + 1, twins[at]) + segment_arange(twins[at])]
+                    made.append((b, int(size[i].sum(dtype=np.int64)), dump(anchor[i], deltas(doc[i]), start[i], size[i], busy[at].astype(np.uint8), twins[at].astype(np.uint32), deltas(more))))
                 if made:
                     out.append(pa.Table.from_batches([_rows("ask", made)]))
         return pa.concat_tables([t.cast(_KIND) for t in out])
@@ -254,7 +268,9 @@ def fetch_contexts(texts: DataFrame, asked: DataFrame, buckets: int, length: int
         if not got:
             return pa.Table.from_batches([], _KIND)
         ids, begin, _, data = _texts(table)
-        anchor, doc, start, size, busy = (np.concatenate([np.cumsum(g[c]) if c == 1 else g[c] for g in got]) for c in range(5))
+        anchor, doc, start, size, busy, twins, more = (np.concatenate([summed(g[c]) if c in (1, 6) else g[c] for g in got]) for c in range(7))
+        twins = twins.astype(np.int64)
+        their = np.cumsum(twins) - twins
         lo, size = begin[np.searchsorted(ids, doc)] + start, size.astype(np.int64)
         deal = [(np.arange(len(doc)), anchor)]
         if busy.any():
@@ -282,7 +298,8 @@ def fetch_contexts(texts: DataFrame, asked: DataFrame, buckets: int, length: int
                 at = at[by]
                 body = data[np.repeat(lo[at], size[at]) + segment_arange(size[at])]
                 part = (mix64(by_key[to == b]) % np.uint64(PARTS)).astype(np.uint8)[by]
-                made.append((b, len(body), dump(deltas(doc[at]), start[at], size[at].astype(np.uint16), part, body)))
+                also = more[np.repeat(their[at], twins[at]) + segment_arange(twins[at])]
+                made.append((b, len(body), dump(deltas(doc[at]), start[at], size[at].astype(np.uint16), part, body, twins[at].astype(np.uint32), deltas(also))))
         return pa.Table.from_batches([_rows("bytes", made)])
 
     return asked.unionByName(texts).groupBy("bucket").applyInArrow(tidy(work), BLOCK)
@@ -359,15 +376,18 @@ def repeated_windows(doc: np.ndarray, size: np.ndarray, data: np.ndarray, length
 def expand_buckets(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         got = [load(b.as_py()) for b in table.column("block")]
-        doc, start, size, part, data = (np.concatenate([np.cumsum(g[c]) if c == 0 else g[c] for g in got]) for c in range(5))
+        doc, start, size, part, data, twins, more = (np.concatenate([summed(g[c]) if c in (0, 6) else g[c] for g in got]) for c in range(7))
         del got
-        size = size.astype(np.int64)
-        begin, found = np.cumsum(size) - size, []
+        size, twins = size.astype(np.int64), twins.astype(np.int64)
+        begin, their, found = np.cumsum(size) - size, np.cumsum(twins) - twins, []
         for p in np.unique(part):  # contexts that share a window share a part
             own = np.flatnonzero(part == p)
             which, offset = repeated_windows(doc[own], size[own], data[np.repeat(begin[own], size[own]) + segment_arange(size[own])], length)
-            at = start[own][which].astype(np.int64) + offset
-            found.append(merged(doc[own][which], at, at + length))
+            which, lo, hi = merged(own[which], offset, offset + length)
+            n = twins[which]
+            also = more[np.repeat(their[which], n) + segment_arange(n)].astype(np.int64)
+            at = np.r_[start[which].astype(np.int64), also]
+            found.append(merged(np.r_[doc[which], np.repeat(doc[which], n)], at + np.r_[lo, np.repeat(lo, n)], at + np.r_[hi, np.repeat(hi, n)]))
         return pa.Table.from_batches([span_rows(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)])
 
     return blocks.groupBy("bucket").applyInArrow(tidy(work), BLOCK)
@@ -400,7 +420,7 @@ def cut_spans(texts: DataFrame, spans: DataFrame, key: str, as_text: bool) -> Da
     return texts.unionByName(spans).groupBy("bucket").applyInArrow(tidy(work), f"`{key}` long, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, bucket_bytes: int = 8_000_000, hot: int = 20_000, as_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, bucket_bytes: int = 8_000_000, hot: int = 20_000, as_text: bool = False, slice_bytes: int = 4_000_000) -> DataFrame:
     """``key, n_bytes, spans, kept``: the bytes of every text that no smaller document repeats, and what went.
 
     ``kept`` is binary, as a cut may part a character; ``as_text`` makes it a string without such parts.
@@ -412,7 +432,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     df = df.where(F.col(key).isNotNull())
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(min(65_536, max(8, total // bucket_bytes)))
-    resolved = staged(resolve_contexts(find_contexts(df, key, text, buckets, length, k), buckets, hot), "spans")
+    resolved = staged(resolve_contexts(find_contexts(df, key, text, buckets, length, k, slice_bytes=slice_bytes), buckets, hot), "spans")
     texts = pack_texts(df, key, text, buckets)
     more = expand_buckets(fetch_contexts(texts, resolved.where("kind = 'ask'"), buckets, length, k), buckets, length)
     out = cut_spans(texts, resolved.where("kind = 'span'").unionByName(more), key, as_text)

@@ -45,6 +45,20 @@ def test_repeats_equal_brute_force(spark, length, k, hot):
     assert got == repeats(rows, length)
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_contexts_that_repeat_inside_a_document_lose_the_same_bytes(spark, hot):
+    """A document holds a passage several times that a smaller one shares in part; long texts go in slices."""
+    rnd = np.random.default_rng(3)
+    some = lambda n: "".join(rnd.choice(list("abcdefgh \n"), n))
+    passage = some(55)
+    rows = [(-9, some(30) + passage + some(30)), (4, "".join(f"x{passage[:53]}y{some(k)}" for k in range(6))), (7, "#" + "-" * 150), (8, "." + "-" * 90 + "+" + "-" * 200 + some(9))]
+    rows += [(20 + k, passage[k:] * 4 + some(7) + passage[: 50 + k] * 3) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for how in ({}, {"slice_bytes": 40}):
+        got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in suffix_dedup.remove_repeats(df, bucket_bytes=500, hot=hot, **how).collect()}
+        assert got == repeats(rows, 50)
+
+
 def test_kept_texts_keep_columns(spark):
     df = spark.createDataFrame([(1, "é" * 60, "de", "s"), (2, "x" + "é" * 60, "de", "s"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
     out = suffix_dedup.kept_texts(df)
