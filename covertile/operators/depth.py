@@ -138,15 +138,16 @@ def misaligned(long: DataFrame, samples: int, keys: tuple[str, ...] = ("chrom",
     return long.groupBy(*keys).agg(F.count_distinct("sample").alias("samples")).where(F.col("samples") != samples)
 
 
-def window_composition(windows: DataFrame, lines: DataFrame, lead: int = 0, width: int = 4_096) -> DataFrame:
+def window_composition(windows: DataFrame, lines: DataFrame, lead: int = 0, width: int = 4_096, levels: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """``windows`` (``chrom, start, end`` and more) with the shares ``gc, cpg, masked`` of their sequence; null where there is none.
 
     ``lines``: ``chrom, start, sequence, after`` (pieces of the sequence, and the base that follows each).  A window takes its part of every line
     that it meets; counts are summed.  ``lead`` bases before the window count too, as reads that begin there reach into it.
+    ``levels``: as for ``overlap_join``.
     """
     spans = windows.select("chrom", "start", "end").distinct().withColumn("from", F.greatest(F.lit(0), F.col("start") - lead))
     pieces = lines.withColumn("end", F.col("start") + F.length("sequence"))
-    met = overlap_join(spans, pieces, ["chrom"], width, a_span=("from", "end"))
+    met = overlap_join(spans, pieces, ["chrom"], width, a_span=("from", "end"), levels=levels)
     begin, end = F.greatest("from", "start_b"), F.least("end", "end_b")
     part = F.substring(F.col("sequence_b"), begin - F.col("start_b") + 1, end - begin)
     # a pair may begin on the last base of a line and end on the first of the next

@@ -523,9 +523,11 @@ round((length(x) - length(translate(x, 'abcdefghijklmnopqrstuvwxyz', ''))) / len
 def window_composition(spark, d):
     """Documents as contigs, wrapped into lines of 60 characters, and windows of 250."""
     docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("chrom"), "text", F.length("text").cast("bigint").alias("to"))
-    lines = docs.select("chrom", "text", F.explode(F.expr("transform(sequence(0L, to div 60), k -> k * 60)")).alias("start")).select("chrom", "start", F.expr("substring(text, CAST(start AS INT) + 1, 60)").alias("sequence"), F.expr("substring(text, CAST(start AS INT) + 61, 1)").alias("after"))
+    # cut in one pass: a substring a line would walk each text, and carry it, once for every line
+    cut = docs.select("chrom", F.regexp_extract_all("text", F.lit("(?s).{1,60}"), F.lit(0)).alias("cut"))
+    lines = cut.select("chrom", F.expr("inline(transform(cut, (x, k) -> struct(k * 60L AS start, x AS sequence, coalesce(substring(get(cut, k + 1), 1, 1), '') AS after)))"))
     windows = intervals.grid(docs.select("chrom", F.lit(0).cast("bigint").alias("from"), "to"), 250)
-    return depth.window_composition(windows, lines.where("sequence <> ''"), width=60).withColumns({c: F.round(c, 6) for c in ("gc", "cpg", "masked")})
+    return depth.window_composition(windows, lines, width=60, levels=([0], [0])).withColumns({c: F.round(c, 6) for c in ("gc", "cpg", "masked")})
 
 
 # ---- matrices -------------------------------------------------------------------------------
