@@ -46,13 +46,14 @@ def matches(calls: DataFrame, truths: DataFrame, least: float = 0.4, width: int
     return met.where((overlap_share(F.col("start"), F.col("end"), F.col("start_b"), F.col("end_b")) >= least) & (clamped_copies(F.col("cn")) == clamped_copies(F.col("cn_b"))))
 
 
-def confusion(calls: DataFrame, truths: DataFrame, least: float = 0.4, width: int = 50) -> DataFrame:
+def confusion(calls: DataFrame, truths: DataFrame, least: float = 0.4, width: int = 50, task_rows: int = 1_000_000) -> DataFrame:
     """``sample, size_class, tp, fn, fp, tn``.
 
     A truth with a matching call is found (counted once), one without is missed.  A call that matches no
     truth of its sample is false.  A truth that no row gives to the sample and that no call of the
     sample matches is a true negative.  Truths meet the calls of all samples in one join; missed and
-    negative truths are counts less the pairs found, so truths are never multiplied by samples.
+    negative truths are counts less the pairs found, so truths are never multiplied by samples.  The pairs
+    are counted by call and by truth in tasks of some ``task_rows``, however many there are.
     """
     site = ["chrom", "start", "end", "cn"]
     sized = size_class(F.col("end") - F.col("start")).alias("size_class")
@@ -63,11 +64,13 @@ def confusion(calls: DataFrame, truths: DataFrame, least: float = 0.4, width: in
     met = overlap_join(calls.drop("cn"), truths.drop("cn"), ["chrom", "_state"], width)
     met = met.where(overlap_share(F.col("start"), F.col("end"), F.col("start_b"), F.col("end_b")) >= least).withColumn("own", F.array_contains("samples_b", F.col("sample")))
     met = staged(met.select("sample", "own", "_call", "size_class", F.col("_truth_b").alias("_truth"), "size_class_b"), "met")
+    # a split of the written pairs, which compress well, can hold tens of millions of keys: they are dealt before they are hashed
+    tasks = met.count() // task_rows + 1
     count = F.count("*").alias("n")
     n_calls = calls.groupBy("sample", "size_class").agg(count)
     n_own = truths.select(F.explode("samples").alias("sample"), "size_class").groupBy("sample", "size_class").agg(count)
-    good = met.where("own").groupBy("_call").agg(F.first("sample").alias("sample"), F.first("size_class").alias("size_class")).groupBy("sample", "size_class").agg(count)
-    hits = met.groupBy("sample", "own", "_truth").agg(F.first("size_class_b").alias("size_class")).groupBy("sample", "own", "size_class").agg(count)
+    good = met.where("own").select("_call", "sample", "size_class").repartition(tasks, "_call").groupBy("_call").agg(F.first("sample").alias("sample"), F.first("size_class").alias("size_class")).groupBy("sample", "size_class").agg(count)
+    hits = met.select("sample", "own", "_truth", "size_class_b").repartition(tasks, "_truth").groupBy("sample", "own", "_truth").agg(F.first("size_class_b").alias("size_class")).groupBy("sample", "own", "size_class").agg(count)
     names = n_calls.select("sample").union(n_own.select("sample")).where("sample IS NOT NULL").distinct()
     classes = names.withColumn("size_class", F.explode(F.array(*map(F.lit, SIZE_CLASSES))))
     cells = classes.join(truths.groupBy("size_class").agg(count), "size_class")

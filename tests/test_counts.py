@@ -117,3 +117,13 @@ def test_chart_rows(spark):
     assert len(thin) == 300 and thin[0] == (3 * 16384, 2.5) and thin[1][0] == 8 * 16384
     assert {r["sample"]: r["background"] for r in tiles.background(df, 2).select("sample", "background").distinct().collect()} == {"s": False, "t": False, "u": True}
     assert spark.range(1).select(fm.virtual_offset(F.lit(5), F.lit(9))).first()[0] == 5 * 65536 + 9
+
+
+def test_pairs_are_dealt_before_they_are_counted(spark):
+    """Pairs go to tasks of ``task_rows`` by call and by truth (before: every split of the written pairs was hashed as a whole)."""
+    calls = spark.createDataFrame([("1", 100 * k, 100 * k + 90, f"s{k % 3}", k % 5) for k in range(120)], "chrom string, start long, end long, sample string, cn int")
+    truths = spark.createDataFrame([("1", 100 * k + 9 * (k % 4), 100 * k + 95, ["s0", f"s{k % 2}"], k % 5) for k in range(120)], "chrom string, start long, end long, samples array<string>, cn int")
+    dealt = evaluation.confusion(calls, truths, task_rows=20)
+    plan = dealt._jdf.queryExecution().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "hashpartitioning(_truth" in plan and "hashpartitioning(_call" in plan
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, evaluation.confusion(calls, truths).collect()))
