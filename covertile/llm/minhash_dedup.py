@@ -285,13 +285,17 @@ def cell_pairs(table: pa.Table, percent: int, nearest: int | None) -> pa.Table:
     return pa.table({"a": np.minimum(ident[x], ident[y]), "b": np.maximum(ident[x], ident[y]), "leader": group[x], "cut": cut})
 
 
-def across(groups: DataFrame, rows: DataFrame, labels: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+def _if_small(df: DataFrame) -> DataFrame:
+    return small(df, SMALL_ROWS)
+
+
+def across(groups: DataFrame, rows: DataFrame, labels: DataFrame, percent: int, nearest: int | None, handed=_if_small) -> DataFrame:
     """``a, b, leader, cut``: pairs of one group and several components that the sketches leave (``groups``: id, leader).
 
     Rows outside a group's largest component lead.  Groups are dealt into cells by hash: small ones share a cell,
     large ones are cut into leading parts x parts, so no group has to fit a task.
     """
-    known = staged(groups.join(small(labels, SMALL_ROWS), "id"), "known")
+    known = staged(groups.join(handed(labels), "id"), "known")
     # a set of n shingles has a sketch of n / 2 to n bytes
     counts = known.groupBy("leader", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     sums = counts.groupBy("leader").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("labels > 1")
@@ -299,7 +303,7 @@ def across(groups: DataFrame, rows: DataFrame, labels: DataFrame, percent: int,
     left = F.col("c") - F.col("top.c")
     open_ = staged(sums.select("leader", F.col("top.label").alias("main"), F.col("c").alias("size"), parts(F.col("c"), F.col("w")).alias("p"), parts(left, left * F.col("w") / F.col("c")).alias("q")), "open")
     packs = max(1, int(open_.where("p = 1").agg(F.sum("size")).first()[0] or 0) // CELL_ROWS)
-    members = known.join(small(open_, SMALL_ROWS), "leader")
+    members = known.join(handed(open_), "leader")
     h, pack = F.xxhash64("id"), F.pmod(F.xxhash64("leader"), F.lit(packs))
     place = lambda i, j: F.when((F.col("p") == 1) & (F.col("q") == 1), F.struct(F.lit(-1).cast("long").alias("g"), pack.alias("i"), F.lit(0).cast("long").alias("j"))).otherwise(F.struct(F.col("leader").alias("g"), i.cast("long").alias("i"), j.cast("long").alias("j")))
     other = members.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1))).withColumn("cell", place(F.col("i"), F.pmod(h, F.col("p"))))
@@ -308,7 +312,7 @@ def across(groups: DataFrame, rows: DataFrame, labels: DataFrame, percent: int,
     return dealt.join(rows, "id").groupBy("cell").applyInArrow(tidy(lambda table: cell_pairs(table, percent, nearest)), "a long, b long, leader long, cut boolean")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, handed=_if_small) -> DataFrame:
     """``id, label`` of every vertex of ``a, b`` links: the smallest id that it reaches.
 
     Each pass hooks every vertex to its smallest neighbour and contracts the links accordingly; the
@@ -319,7 +323,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         hook = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "hooks")
-        side = small(hook, SMALL_ROWS)
+        side = handed(hook)
         if labels is None:
             labels = hook
         else:
@@ -343,7 +347,9 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     shared = staged(hashed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("bucket", "leader"), "buckets")
     groups = staged(hashed.join(shared, "bucket").select("id", "leader").distinct(), "groups")
     seen = staged(groups.select("id").distinct(), "active")
-    active = small(seen, SMALL_ROWS)
+    # labels, hooks, leaders and groups are named by ids of this table and have no more rows than it: one count tells for all
+    handed = F.broadcast if seen.count() <= SMALL_ROWS else _if_small
+    active = handed(seen)
     rows = staged(signed.select("id", "n", "sketch", "bits").join(active, "id"), "sketches")
     texts = staged(_compressed(df, key, text).join(active, "id"), "texts")
     labels = rows.select("id", "n", F.col("id").alias("label"))
@@ -351,24 +357,24 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """The labels after the pairs that are links."""
         found = staged(confirm(pairs, texts, width, percent), "tested").where("linked")
-        known = small(labels, SMALL_ROWS)
+        known = handed(labels)
         one, two = (known.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        moved = components(found.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        step = small(moved, SMALL_ROWS).select(F.col("id").alias("label"), F.col("label").alias("next"))
+        moved = components(found.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), handed)
+        step = handed(moved).select(F.col("id").alias("label"), F.col("label").alias("next"))
         return staged(labels.join(step, "label", "left").select("id", "n", F.coalesce("next", "label").alias("label")), "labels")
 
     labels = joined(staged(near_leaders(groups.where("id <> leader"), rows, percent), "pairs"), labels)
     left = groups
     for nearest in (NEAREST, None):
-        pairs = staged(across(left, rows, labels, percent, nearest), "pairs")
+        pairs = staged(across(left, rows, labels, percent, nearest, handed), "pairs")
         before, labels = labels, joined(pairs.select("a", "b").distinct(), labels)
         # in all other groups every pair across components was confirmed or excluded
         again = staged(pairs.where("cut").select("leader").distinct(), "again")
         release(pairs, before)
         if again.isEmpty():
             break
-        left = groups.join(small(again, SMALL_ROWS), "leader")
-    classes = own.join(small(labels, SMALL_ROWS).select(F.col("id").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
+        left = groups.join(handed(again), "leader")
+    classes = own.join(handed(labels).select(F.col("id").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
     classes = staged(classes, "classes")
     release(own, shared, groups, seen, rows, texts, labels)
     out = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")

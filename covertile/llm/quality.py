@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, flat_bytes, in_arrow, lowered, mix64, row_chunks, word_spans
+from .common import byte_hashes, flat_bytes, give_back, in_arrow, lowered, mix64, row_chunks, word_spans
 
 FEATURES = [
     "log_bytes", "log_words", "word_length", "longest_word", "letters", "upper", "digits", "spaces", "marks", "symbols", "other_bytes",
@@ -216,7 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = np.argsort(rows.column(key).to_numpy(), kind="stable")
     x = rows.column("x").combine_chunks()
     x = np.asarray(x.flatten()).reshape(-1, len(FEATURES))[order] if rows.num_rows else np.zeros((0, len(FEATURES)))
-    return BoostedTrees.fit(x, rows.column(label).to_numpy().astype(float)[order], **grown)
+    trees = BoostedTrees.fit(x, rows.column(label).to_numpy().astype(float)[order], **grown)
+    del rows, x, order
+    give_back()  # what the fit took of the driver's memory
+    return trees
 
 
 def with_scores(df: DataFrame, model: BoostedTrees, text: str = "text", chunk_bytes: int = 800_000) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, byte_hashes, flat_bytes, in_arrow, row_chunks, segment_arange, small
+from .common import RangeHash, byte_hashes, flat_bytes, give_back, in_arrow, row_chunks, segment_arange, small
 
 ORDER = 6
 #: Absolute discounts by count (1, 2, 3 or more) of class counts and of shared continuation counts.
@@ -251,7 +251,9 @@ def models_without(keys: np.ndarray, counts: np.ndarray, fold: int | None = None
     """Models of all counts (by n-gram, class and fold) but those of a fold."""
     weights = counts.sum(2) - (0 if fold is None else counts[:, :, fold])
     seen = weights.sum(1) > 0
-    return SpellingModels.of_grams(keys[seen], weights[seen])
+    models = SpellingModels.of_grams(keys[seen], weights[seen])
+    give_back()
+    return models
 
 
 class ToxicityModel:
@@ -333,6 +335,7 @@ def sample_evidence(labelled: DataFrame, models: list[SpellingModels], key: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], *(pa.array(x[:, j]) for j in range(wide))], ["_key", "_class", *(f"x{j}" for j in range(wide))])
 
     rows = in_arrow(labelled.select(F.xxhash64(key).alias("_key"), text, label, "_fold"), work, "_key long, _class int, " + ", ".join(f"x{j} double" for j in range(wide))).toArrow()
+    shared.destroy()
     x, toxic = np.stack([rows.column(f"x{j}").to_numpy() for j in range(wide)], 1), rows.column("_class").to_numpy().astype(int)
     by = np.lexsort((*x.T, toxic, rows.column("_key").to_numpy()))
     return x[by], toxic[by]
@@ -353,7 +356,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     drawn = [labelled.where(F.col(label) == c).select(key, label).distinct().orderBy(F.xxhash64(key), key).limit(most_rows) for c in (0, 1)]
     sample = with_texts(F.broadcast(drawn[0].unionByName(drawn[1])))
     x, toxic = sample_evidence(sample, [models_without(keys, counts, f) for f in range(folds)], key, text, label)
-    return ToxicityModel.of_counts(share, keys, counts, x, toxic)
+    model = ToxicityModel.of_counts(share, keys, counts, x, toxic)
+    del keys, counts, x, toxic
+    give_back()  # what the fit took of the driver's memory
+    return model
 
 
 def with_scores(df: DataFrame, model: ToxicityModel, text: str = "text", chunk_bytes: int = 800_000) -> DataFrame:

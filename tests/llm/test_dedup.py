@@ -134,6 +134,16 @@ def test_classes_equal_brute_force(spark, width):
     assert got == classes(rows, width)
 
 
+def test_tables_of_few_ids_are_counted_once(spark, monkeypatch):
+    """Labels, hooks, leaders and groups have no more rows than the ids that share a bucket: no job counts each of them again."""
+    counted = []
+    monkeypatch.setattr(minhash_dedup, "small", lambda df, rows: counted.append(rows) or df)
+    texts = [f"w{k} a b c d e f g h i j k l m n o p q r s t u v w x y z {'tail' * (k % 3)}" for k in range(12)] * 2
+    got = minhash_dedup.link_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert not counted
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_dedup.link_classes(df).count() == 0

@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -123,6 +124,17 @@ def by_hand(line):
     return guess
 
 
+def test_fit_leaves_no_models_of_folds_behind(spark):
+    """The models of the folds serve one job; the driver keeps their broadcast no longer than that."""
+    texts = [f"plain words of number {k} " + ("vile grunk" if k % 4 == 0 else "kind praise") for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(60)], "doc_id long, toxic int")
+    before = set(os.listdir(spark.sparkContext._temp_dir))
+    model = toxicity.fit(docs, labels)
+    assert set(os.listdir(spark.sparkContext._temp_dir)) <= before
+    assert np.diff(model.scores(pa.array(["kind praise", "vile grunk"])))[0] > 0
+
+
 def test_licences(spark):
     for line, want in LICENSED.items():
         assert by_hand(line) == want
