@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covertile.llm.common import read, staged
+from covertile.llm.common import noted, read, release, staged
 from covertile.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -79,8 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
+    """The last stage's rows; a stage's input and the tables it staged on its way go as soon as its result is written."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
-    name, stage = STAGES[-1]
-    return staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, stage in STAGES:
+        with noted() as tables:
+            out = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(docs, *(t for t in tables if t is not out))
+        docs = out
+    return docs

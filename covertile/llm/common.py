@@ -8,7 +8,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from ..staging import release, shared_dir, small, staged  # noqa: F401
+from ..staging import noted, release, shared_dir, small, staged  # noqa: F401
 
 
 def read(spark, sf_dir: str, table: str):

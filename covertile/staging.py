@@ -6,10 +6,13 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import functions as F
 
 _STAGED: list = []
+_NOTED: ContextVar[list | None] = ContextVar("noted", default=None)
 
 
 def shared_dir(spark) -> str:
@@ -33,14 +36,27 @@ def staged(df, name: str):
     _STAGED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_in = path
+    if (inside := _NOTED.get()) is not None:
+        inside.append(out)
     return out
 
 
+@contextmanager
+def noted():
+    """A list that gets every table that is staged inside, so that all can be released once their result is staged."""
+    tables: list = []
+    before = _NOTED.set(tables)
+    try:
+        yield tables
+    finally:
+        _NOTED.reset(before)
+
+
 def release(*tables) -> None:
-    """Delete staged tables that nothing reads any more; others are left alone."""
+    """Delete staged tables that nothing reads any more; others, and those already released, are left alone."""
     for table in tables:
         path = getattr(table, "staged_in", None)
-        if path:
+        if path and (table.sparkSession, path) in _STAGED:
             _delete(table.sparkSession, path)
             _STAGED.remove((table.sparkSession, path))
 

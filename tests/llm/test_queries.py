@@ -121,3 +121,27 @@ def test_pipeline_stages(spark, sf):
     packed = stages["packing"](spark, cut, sf).collect()
     assert {r["doc_id"] for r in packed} == set(want)
     assert len(pipeline.run(spark, sf).columns) == 8
+
+
+def test_pipeline_leaves_only_its_result(spark, sf, monkeypatch):
+    """A stage begins with its input alone in the shared folder, and the run ends with its result alone."""
+    import os
+
+    import corpus_pipeline as pipeline
+
+    from covertile.llm.common import release, shared_dir
+
+    folder = f"{shared_dir(spark)}/covertile"
+    tables = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before, found = tables(), []
+
+    def told(stage):
+        return lambda *given: (found.append(len(tables() - before)), stage(*given))[1]
+
+    monkeypatch.setattr(pipeline, "STAGES", [(name, told(stage)) for name, stage in pipeline.STAGES])
+    out = pipeline.run(spark, sf)
+    assert found == [0, 1, 1, 1, 1]
+    assert {t.rpartition("-")[0] for t in tables() - before} == {"stage-packing"} and out.count() > 0
+    release(out)
+    release(out)  # what is gone already is left alone
+    assert tables() == before
